@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlab.llm import leakage, lookalike, topn
+from cohortlab.llm import dispersion, leakage, lookalike, neardup, overlap, packing, topn, truncation
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,6 +19,100 @@ def p1_found(spark: SparkSession, sf: str, n: int = 5) -> DataFrame:
     return topn.top_n(items, ["island_id", "generation"], "fitness", "candidate_id", n).select("island_id", "generation", "candidate_id")
 
 
+AXES = ["cognitive_core", "motivation_core", "regulation_core"]
+
+
+def _points(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of all slots and simulations; a repeated row counts once."""
+    slots = _t(spark, sf, "slots").select(F.col("slot_id").alias("id"), F.lit("slots").alias("kind"), dispersion.axis_point(F.col("target_axes"), AXES).alias("point"))
+    sims = _t(spark, sf, "simulations").select(F.col("sim_id").cast("string").alias("id"), F.lit("simulations").alias("kind"), dispersion.axis_point(F.col("axis_scores"), AXES).alias("point"))
+    return slots.unionByName(sims)
+
+
+def p4_varied(spark: SparkSession, sf: str, k: int = 100) -> DataFrame:
+    """``k`` varied slots and ``k`` varied simulations."""
+    chosen = dispersion.varied(_points(spark, sf), k, len(AXES))
+    return chosen.select("kind", "id", F.col("cell").alias("region"), *[F.col("point")[i].alias(a) for i, a in enumerate(AXES)])
+
+
+def p4_report(spark: SparkSession, sf: str, k: int = 100) -> DataFrame:
+    """Rows against selected points per region."""
+    points = _points(spark, sf)
+    return dispersion.variety_report(points, dispersion.varied(points, k, len(AXES)), len(AXES))
+
+
+def _persona_texts(spark: SparkSession, sf: str) -> DataFrame:
+    fields = {"narrative": F.col("cognitive_motivation_profile.narrative"), "moral_tension": F.col("values_identity.moral_tension"), "family_context": F.col("demographics.family_context")}
+    return truncation.values(_t(spark, sf, "personas"), "persona_id", "source", fields)
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Persona texts that lost their tail."""
+    return truncation.scored(_persona_texts(spark, sf)).where("cut").select(F.col("id").alias("persona_id"), "field").distinct()
+
+
+def p5_report(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each source truncates each field."""
+    return truncation.cut_report(truncation.scored(_persona_texts(spark, sf)))
+
+
+def _near_rows(spark: SparkSession, sf: str) -> DataFrame:
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("space"), F.col(c).alias("text")) for k, c in (("narrative", "cognitive_motivation_profile.narrative"), ("family_context", "demographics.family_context"))]))
+    return _t(spark, sf, "personas").select(F.col("persona_id").alias("id"), each.alias("v")).select("id", "v.space", "v.text")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of personas with nearly the same narrative or family context."""
+    return neardup.near_pairs(_near_rows(spark, sf)).select(F.col("id_a").alias("persona_id_a"), F.col("id_b").alias("persona_id_b"), F.col("space").alias("field"))
+
+
+def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Group and number of links of every persona text that has a near copy."""
+    return neardup.groups(neardup.near_pairs(_near_rows(spark, sf))).select(F.col("space").alias("field"), F.col("id").alias("persona_id"), "class_id", "links")
+
+
+def p6_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of near-duplicate pairs of narratives within each run, beside the rate that its evaluations report."""
+    near = neardup.near_pairs(_near_rows(spark, sf)).where("space = 'narrative'")
+    runs = _t(spark, sf, "personas").where("cognitive_motivation_profile.narrative is not null").select("persona_id", "run_id").distinct()
+    pairs = near.join(runs.select(F.col("persona_id").alias("id_a"), "run_id"), "id_a").join(runs.select(F.col("persona_id").alias("id_b"), F.col("run_id").alias("run_b")), "id_b").where("run_id = run_b").groupBy("run_id").agg(F.count("*").alias("pairs"))
+    sizes = runs.groupBy("run_id").agg(F.count("*").cast("bigint").alias("n_personas"))
+    told = _t(spark, sf, "evaluations").groupBy("run_id").agg(F.max_by("near_duplicate_rate", "evaluated_at").alias("reported"))
+    n = F.col("n_personas")
+    return sizes.join(pairs, "run_id", "left").join(told, "run_id", "left").select("run_id", "n_personas", F.coalesce("pairs", F.lit(0)).cast("bigint").alias("n_pairs"), F.round(F.coalesce(F.try_divide(F.coalesce("pairs", F.lit(0)).cast("double"), n * (n - 1) / 2), F.lit(0.0)), 6).alias("rate"), F.round("reported", 6).alias("reported"))
+
+
+def _overlap(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.across(_t(spark, sf, "survey_items"), "item_id", "text", "split")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Survey items of train and of a held-out split that are alike or nearly alike."""
+    return _overlap(spark, sf).select(F.least("id_train", "id_held").alias("item_id_a"), F.greatest("id_train", "id_held").alias("item_id_b"))
+
+
+def p7_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Every overlap with the share of either item that the aligned chain covers."""
+    return _overlap(spark, sf).select("id_train", "id_held", *[F.round(c, 6).alias(c) for c in ("similarity", "cover_train", "cover_held")])
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlapping items per split and instrument."""
+    return overlap.overlap_report(_t(spark, sf, "survey_items"), _overlap(spark, sf), "item_id", "split", "instrument")
+
+
+def p8_containers(spark: SparkSession, sf: str, capacity: int = 2048, vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> DataFrame:
+    """Container of every document (or part of one that is larger than a container)."""
+    sizes = packing.token_counts(_t(spark, sf, "documents"), "doc_id", "text", vocabulary)
+    return packing.pack(sizes, "item", "tokens", capacity).select(F.col("item").cast("bigint").alias("doc_id"), "part", "tokens", "container", "room")
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers, tokens and the share of capacity in use, by level of packing."""
+    one = p8_containers(spark, sf).groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("items"))
+    return one.groupBy(F.substring_index("container", "-", 1).alias("level")).agg(F.count("*").cast("bigint").alias("n_containers"), F.sum("items").cast("bigint").alias("n_items"), F.sum("tokens").cast("bigint").alias("n_tokens"), F.round(F.sum("tokens") / (F.count("*") * 2048.0), 6).alias("fill"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold 13 consecutive words of a held-out item."""
     return leakage.contains(_t(spark, sf, "documents"), "doc_id", "text", _t(spark, sf, "heldout_items"), "item_id", "text").select("doc_id", "item_id")
@@ -46,9 +140,31 @@ def p10_report(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.report(_t(spark, sf, "documents"), "doc_id", "text", "source")
 
 
-QUERIES = {"p1_found": p1_found, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_forms": p10_forms, "p10_report": p10_report}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        *(p1_found, p4_varied, p4_report, p5_found, p5_report, p6_found, p6_groups, p6_rates, p7_found, p7_coverage),
+        *(p7_report, p8_containers, p8_fill, p9_found, p9_items, p10_found, p10_forms, p10_report),
+    )
+}
 
 SQL = {
+    "p6_found": """
+        with v as (select distinct persona_id, 'narrative' as field, cognitive_motivation_profile.narrative as t from personas
+            union select distinct persona_id, 'family_context', demographics.family_context from personas),
+        w as (select persona_id, field, regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+') as l from v where t is not null),
+        s as (select persona_id, field, list_distinct(l) as u, len(list_distinct(l)) as n from w where len(l) >= 12),
+        x as (select persona_id, field, n, unnest(u) as word from s),
+        o as (select a.persona_id as pa, b.persona_id as pb, a.field, a.n as na, b.n as nb, count(*) as c
+            from x a join x b on a.word = b.word and a.field = b.field and a.persona_id < b.persona_id group by all)
+        select pa as persona_id_a, pb as persona_id_b, field from o where c::double / (na + nb - c) >= 0.8 group by all""",
+    "p7_found": """
+        with v as (select distinct item_id, lower(trim(split)) as side, text from survey_items where text is not null),
+        s as (select item_id, side, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as u from v),
+        x as (select item_id, side, len(u) as n, unnest(u) as word from s),
+        o as (select a.item_id as ia, b.item_id as ib, a.n as na, b.n as nb, count(*) as c
+            from x a join x b on a.word = b.word and a.side = 'train' and b.side in ('validation', 'test') group by all)
+        select least(ia, ib) as item_id_a, greatest(ia, ib) as item_id_b from o where c::double / (na + nb - c) >= 0.75 group by all""",
     "p1_found": """
         with last as (select candidate_id, arg_max({'i': island_id, 'g': generation, 'f': fitness, 'e': evaluated}, (recorded_at, ingested_at)) as r from candidates group by candidate_id),
         ok as (select candidate_id, cast(r.i as bigint) as island_id, cast(r.g as bigint) as generation, r.f as fitness from last where r.e and r.i is not null and r.f is not null and not isnan(r.f)),
