@@ -155,7 +155,7 @@ def regions_of(points: DataFrame, dims: int, regions: int) -> DataFrame:
     return points.withColumn("cell", cell)
 
 
-def varied(points: DataFrame, k: int, dims: int, *, regions: int = 125, keep: int = 16, block: int = 100_000) -> DataFrame:
+def varied(points: DataFrame, k: int, dims: int, *, regions: int | None = None, keep: int = 16, block: int = 100_000) -> DataFrame:
     """``id, kind, cell, point`` of ``k`` varied points of every kind (all, if there are fewer different ones).
 
     ``points`` has ``id`` and ``kind`` (strings) and ``point`` (array of doubles in 0..1). Null ids are left out;
@@ -163,13 +163,14 @@ def varied(points: DataFrame, k: int, dims: int, *, regions: int = 125, keep: in
     bounded size.
     """
     spark = points.sparkSession
+    regions = regions or max(1, k // 2)  # so that every occupied region finds a place
     cells = regions_of(points.where("id is not null and point is not null"), dims, regions).select("id", "kind", "cell", "point")
     cores = cells.mapInArrow(_cores(keep, block), "id string, kind string, cell bigint, point array<double>")
     merged = cores.repartition(width(spark), "kind", "cell").mapInArrow(_cores(keep, block), "id string, kind string, cell bigint, point array<double>")
     return merged.repartition(1).mapInArrow(_search(k), "id string, kind string, cell bigint, point array<double>")
 
 
-def variety_report(points: DataFrame, chosen: DataFrame, dims: int, regions: int = 125) -> DataFrame:
+def variety_report(points: DataFrame, chosen: DataFrame, dims: int, regions: int) -> DataFrame:
     """Per kind and region: rows, their share, selected points and their share."""
     all_ = regions_of(points.where("id is not null and point is not null"), dims, regions).groupBy("kind", "cell").agg(F.count("*").cast("bigint").alias("n_rows"))
     sel = chosen.groupBy("kind", "cell").agg(F.count("*").cast("bigint").alias("n_selected"))

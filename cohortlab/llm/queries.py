@@ -38,7 +38,7 @@ def p4_varied(spark: SparkSession, sf: str, k: int = 100) -> DataFrame:
 def p4_report(spark: SparkSession, sf: str, k: int = 100) -> DataFrame:
     """Rows against selected points per region."""
     points = _points(spark, sf)
-    return dispersion.variety_report(points, dispersion.varied(points, k, len(AXES)), len(AXES))
+    return dispersion.variety_report(points, dispersion.varied(points, k, len(AXES)), len(AXES), k // 2)
 
 
 def _persona_texts(spark: SparkSession, sf: str) -> DataFrame:
