@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlab.workspace import materialize
+
 #: Letters of other scripts that are drawn like a Latin letter; fixed values. Cyrillic, then Greek, then Armenian and others.
 ALIKE = {
     "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
@@ -172,7 +174,7 @@ def alike(df: DataFrame, id: str, text: str, expand: int = 64) -> DataFrame:
     link between different texts is lost. A repeated (id, text) counts once; one id with two texts is no pair with
     itself. Forms are grouped by hash; only forms of two or more texts are joined.
     """
-    rows = classes(df, id, text).distinct()
+    rows = materialize(classes(df, id, text).distinct(), "forms")  # read four times below, rewritten once
     texts = rows.groupBy("class", "raw").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     forms = texts.groupBy("class").agg(F.count("*").alias("texts"), F.sum("n").alias("ids")).where("texts > 1")
     some = rows.join(forms.select("class", "ids"), "class")
