@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortlab.plans import hierarchy_queries
+from cohortlab.plans import diversity_queries, hierarchy_queries, persona_queries, survey_queries
 
-MODULES = (hierarchy_queries,)
+MODULES = (hierarchy_queries, persona_queries, survey_queries, diversity_queries)
 
 
 def queries() -> dict:

@@ -53,14 +53,19 @@ def write_split(items: DataFrame, path: str) -> None:
     items.orderBy("survey_id", "item_pos").write.mode("overwrite").json(path)
 
 
-def split_hash(items: DataFrame, split: str, by: list[str]) -> DataFrame:
-    """``split, n_items, digest``: SHA-256 over the items' canonical JSON in (survey, position, id) order.
+def combined_digest(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``by..., n_items, digest`` from hex digests ``d``: a digest of a multiset by count and sums, so it merges anywhere.
 
-    Each item is hashed where it lies; only fixed-size digests are brought into order.
+    What matters in an item, its place included, must be part of its own digest.
     """
-    each = F.sha2(F.to_json(F.struct(*[c(x) for x in sorted(by)])), 256)
-    rows = items.select(c(split).alias("split"), F.struct("survey_id", "item_pos", "item_id").alias("at"), each.alias("d"))
-    return rows.groupBy("split").agg(F.count("*").cast("bigint").alias("n_items"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "d"))), lambda e: e["d"]), ""), 256).alias("digest"))
+    part = lambda at: F.sum(F.conv(F.substring("d", at, 15), 16, 10).cast("decimal(38,0)"))
+    return rows.groupBy(*by).agg(F.count("*").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), part(1).cast("string"), part(16).cast("string")), 256).alias("digest"))
+
+
+def split_hash(items: DataFrame, split: str, fields: list[str]) -> DataFrame:
+    """``split, n_items, digest`` over the items' canonical JSON (fields in name order, with survey and position)."""
+    each = F.sha2(F.to_json(F.struct(*[c(x) for x in sorted({*fields, "survey_id", "item_pos", "item_id"})])), 256)
+    return combined_digest(items.select(c(split).alias("split"), each.alias("d")), ["split"])
 
 
 def count_patterns(lines: DataFrame, text: str, patterns: dict[str, str], by: list[str]) -> DataFrame:
