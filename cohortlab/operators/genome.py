@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cohortlab.functions.scalars import clip
 
@@ -104,7 +105,7 @@ def mutate(jobs: DataFrame, seed: int) -> DataFrame:
 
     Each row has its own generator from (seed, generation, island, child), so results don't depend on partitioning.
     """
-    kinds = jobs.schema.add("child", "string")
+    kinds = StructType([*jobs.schema.fields, StructField("child", StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

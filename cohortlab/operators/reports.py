@@ -78,10 +78,13 @@ def first_reach(gens: DataFrame, by: list[str]) -> DataFrame:
     return gens.join(last, by).where(F.abs(c("best_so_far") - c("final")) < 1e-12).groupBy(*by, "final", "last").agg(F.min("generation").alias("first")).withColumn("stagnation", c("last") - c("first"))
 
 
-def groups_report(df: DataFrame, by: list[str], value: str = "fitness") -> DataFrame:
-    """Per group: rows, rows with a value, mean, population deviation, best and least; the mean skips missing values."""
+def groups_report(df: DataFrame, by: list[str], value: str = "fitness", means: tuple[str, ...] = ()) -> DataFrame:
+    """Per group: rows, rows with a value, mean, population deviation, best and least; the mean skips missing values.
+
+    ``means`` names further columns of which ``mean_<name>`` is given. A null group is a group.
+    """
     v = F.when(~F.isnan(value), c(value))
-    return df.groupBy(*by).agg(F.count("*").cast("bigint").alias("n"), F.count(v).cast("bigint").alias("n_scored"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.max(v).alias("best"), F.min(v).alias("least"))
+    return df.groupBy(*by).agg(F.count("*").cast("bigint").alias("n"), F.count(v).cast("bigint").alias("n_scored"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.max(v).alias("best"), F.min(v).alias("least"), *[F.avg(m).alias(f"mean_{m}") for m in means])
 
 
 def elites(long: DataFrame, by: list[str]) -> DataFrame:
