@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def balanced(text: str | None) -> str | None:
@@ -36,7 +37,7 @@ def balanced(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_object(text: pd.Series) -> pd.Series:
     """:func:`balanced` for a column."""
     return text.map(balanced, na_action="ignore")
@@ -59,19 +60,19 @@ def canonical(text: str | None, drop: tuple[str, ...] = ()) -> str | None:
     return json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def genome_hash(text: pd.Series) -> pd.Series:
     """SHA-256 of the canonical JSON; null if there is none."""
     return text.map(lambda t: None if (c := canonical(t)) is None else hashlib.sha256(c.encode()).hexdigest(), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def phenotype_hash(text: pd.Series) -> pd.Series:
     """SHA-256 of the canonical JSON without its lineage keys."""
     return text.map(lambda t: None if (c := canonical(t, LINEAGE)) is None else hashlib.sha256(c.encode()).hexdigest(), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def text_blob(text: pd.Series) -> pd.Series:
     """All text values of a JSON document, lower-cased, in order, joined by blanks."""
 
