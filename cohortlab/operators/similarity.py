@@ -1,6 +1,7 @@
 """Exact similarity self-join of token sets by size and prefix filters, within groups.
 
-Tokens are ordered by how rare they are over all rows. Two sets of similarity >= t share a token among the first
+Tokens are ordered by length, the longest first: an order that needs no counts, puts rare words first and is the same
+for all rows, which is all that exactness asks for. Two sets of similarity >= t share a token among the first
 ``n - ceil(t n) + 1`` of each, so only these prefixes are joined, on (group, token), with sizes within a factor t.
 Candidates are verified on the whole sets.
 """
@@ -21,10 +22,10 @@ def prefix_pairs(rows: DataFrame, t: float) -> DataFrame:
     Two empty sets of a group are alike (similarity 1). Null ids and arrays match nothing.
     """
     rows = rows.where("id is not null and tokens is not null").select("grp", "id", "tokens")
-    words = rows.select("grp", "id", F.size("tokens").alias("n"), F.explode("tokens").alias("w"))
-    df = words.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = words.join(df, "w").groupBy("grp", "id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o"))
-    head = ranked.select("grp", "id", "n", F.explode(F.slice("o", 1, F.greatest(F.lit(1), c("n") - F.ceil(t * c("n") - 1e-9) + 1).cast("int"))).alias("p")).select("grp", "id", "n", c("p.w").alias("w"))
+    n = F.size("tokens")
+    ordered = F.array_sort(F.transform("tokens", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
+    prefix = F.slice(ordered, 1, F.greatest(F.lit(1), n - F.ceil(t * n - 1e-9) + 1).cast("int"))
+    head = rows.select("grp", "id", n.alias("n"), F.explode(prefix).alias("p")).select("grp", "id", "n", c("p.w").alias("w"))
     a, b = (head.select("grp", "w", c("id").alias(x), c("n").alias(f"n{x}")) for x in "ab")
     sizes = (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9) & (c("a") < c("b"))
     cand = a.join(b, ["grp", "w"]).where(sizes).select("grp", "a", "b").distinct()

@@ -240,7 +240,7 @@ def _dup_rows(spark, sf):
 def near_duplicate_rates(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate pairs per run over all its personas' texts, exactly, by prefix filter."""
     rows = _dup_rows(spark, sf)
-    d = similarity.duplicate_rate(rows, similarity.prefix_pairs(rows, 0.5))
+    d = similarity.duplicate_rate(rows, similarity.prefix_pairs(rows, 0.8))
     return d.select(c("grp").alias("run_id"), "n", "n_pairs", F.round("rate", 6).alias("rate"))
 
 
@@ -375,6 +375,6 @@ SQL = {
     "halton_points": f"with g as (select unnest(range(1, 4097)) as i) select i, {_radical(2)} as x0, {_radical(3)} as x1, {_radical(5)} as x2 from g",
     "persona_tokens": f"with {T.TRAITS}, k as (select persona_id, {_tok} as l from t) select persona_id, len(l) as n_tokens, list_min(l) as first_token from k",
     "near_duplicate_rates": f"""with {T.TRAITS}, k as (select run_id, persona_id, {_tok} as l from t where run_id is not null), n as (select run_id, count(*) as n from k group by run_id),
-        p as (select a.run_id, count(*) as n_pairs from k a join k b on a.run_id = b.run_id and a.persona_id < b.persona_id where len(list_intersect(a.l, b.l))::double / (len(a.l) + len(b.l) - len(list_intersect(a.l, b.l))) >= 0.5 group by a.run_id)
+        p as (select a.run_id, count(*) as n_pairs from k a join k b on a.run_id = b.run_id and a.persona_id < b.persona_id where len(list_intersect(a.l, b.l))::double / (len(a.l) + len(b.l) - len(list_intersect(a.l, b.l))) >= 0.8 group by a.run_id)
         select run_id, n, coalesce(n_pairs, 0) as n_pairs, round(case when n < 2 then 0.0 else coalesce(n_pairs, 0) / (n * (n - 1) / 2.0) end, 6) as rate from n left join p using (run_id)""",
 }
