@@ -2,7 +2,10 @@
 
 1. Each task turns its texts into records (hash of the text, bitmap, size) under block keys, one packed blob per target
    partition. Exact copies inside a task are one record; a text's words never travel.
-2. A partition joins its blocks by signature trees and gives pairs of text hashes that can reach the threshold.
+2. A partition joins its blocks by signature trees and gives pairs of text hashes that can reach the threshold. A block
+   of more than ``HOT`` records (a phrase that very many texts share) isn't joined in one task: its texts are keyed anew
+   by the words of their prefixes under a fixed order from rare to frequent, which is exact: two sets of similarity t
+   share a word among the first n - ceil(t n) + 1 of each.
 3. Only texts that occur in such a pair are fetched, once each, and compared word by word.
 4. Pairs of texts become pairs of ids. Texts with many copies are linked through representatives.
 """
@@ -17,11 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.llm import sigtree
-from cohortlab.llm.words import Memo, distinct, hashed, words
+from cohortlab.llm.words import Memo, distinct, hashed, inside, mix, rolling, words
 from cohortlab.workspace import materialize, width
 
 #: Texts a task holds before it writes its blobs.
 HELD = 50_000
+#: Records of a block above which it is split by prefixes.
+HOT = 4096
+#: Texts from which frequent words and grams are learnt. They order keys and never decide whether a pair is found.
+SAMPLE = 20_000
 RECORD = np.dtype([("key", "<u4"), ("ref", "<i8"), ("bits", "<u8", (sigtree.WORDS,)), ("size", "<u4"), ("side", "i1")])
 
 #: Gives block keys: (hashes of all words, offsets, distinct hashes, their offsets) -> (keys in a row, offsets).
@@ -70,8 +77,8 @@ def _pack(keyer: Keyer, partitions: int, min_words: int):
     return run
 
 
-def _join(t: float, two_sides: bool):
-    """Input: part, blob. Output: a, b (text hashes, each pair once a partition)."""
+def _join(t: float, two_sides: bool, hot: int | None):
+    """Input: part, blob. Output: a, b (text hashes, each pair once a partition); b is null for a text of a hot block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, blobs = [], []
@@ -86,9 +93,14 @@ def _join(t: float, two_sides: bool):
         order = np.lexsort((rows["ref"], key))
         rows, key = rows[order], key[order]
         fresh = np.append(True, (key[1:] != key[:-1]) | (rows["ref"][1:] != rows["ref"][:-1]))
+        rows, key = rows[fresh], key[fresh]
         n = np.diff(np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)))
-        alone = np.repeat(n == 1, n)
-        rows, key = rows[fresh & ~alone], key[fresh & ~alone]
+        size = np.repeat(n, n)
+        if hot is not None and (size > hot).any():
+            far = np.unique(rows["ref"][size > hot])
+            yield pa.record_batch([pa.array(far), pa.nulls(len(far), pa.int64())], ["a", "b"])
+        some = (size > 1) if hot is None else (size > 1) & (size <= hot)
+        rows, key = rows[some], key[some]
         r = sigtree.Records(rows["ref"], rows["bits"], rows["size"], rows["side"])
         held, count = [], 0
         for i, j in sigtree.block_pairs(key, r, t, two_sides):
@@ -141,38 +153,99 @@ def _verify(t: float, min_words: int, more: Callable | None):
     return run
 
 
-def similar(rows: DataFrame, t: float, keyer: Keyer, *, min_words: int = 1, two_sides: bool = False, more: Callable | None = None, expand: int = 64) -> DataFrame:
+def _texts(rows: DataFrame, refs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row per wanted text: that of its smallest id, so that no key of the join holds the copies of a text."""
+    owners = refs.join(groups.select("ref", F.col("first").alias("id")), "ref")
+    return rows.join(owners, ["id", "ref"], "left_semi").dropDuplicates(["ref"])
+
+
+def frequent(rows: DataFrame, gram: int, share: float = 0.0005, sample: int = SAMPLE) -> dict[int, int]:
+    """Hash to count of the word grams that at least a share of a bounded sample of texts holds; at most ``1 / share`` a word of a text."""
+    total = max(1, rows.count())
+    some = rows.where(F.pmod(F.xxhash64("ref", F.lit(1)), F.lit(1_000_000)) <= int(1_000_000 * min(1.0, sample / total)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo()
+        for batch in batches:
+            flat, offsets = hashed(batch.column(0).to_pylist(), memo)
+            grams = rolling(flat, gram) if gram > 1 else flat
+            ok, text = inside(offsets, gram, len(grams))
+            pairs = np.unique(np.rec.fromarrays([grams[ok], text[ok]]))
+            h, n = np.unique(np.asarray(pairs["f0"]), return_counts=True)
+            yield pa.record_batch([pa.array(h.astype(np.int64)), pa.array(n)], ["h", "n"])
+
+    counts = some.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    return {r[0] & (1 << 64) - 1: r[1] for r in counts.where(F.col("n") >= max(3, int(share * min(total, sample)))).collect()}
+
+
+def prefix_keyer(t: float, order: dict[int, int]) -> Keyer:
+    """Keys of the rarest words of each set, as many as two sets of similarity ``t`` must have one in common."""
+    known = np.array(sorted(order), np.uint64)
+    counts = np.array([order[int(k)] for k in known], np.int64)
+
+    def keyer(flat: np.ndarray, offsets: np.ndarray, sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        df = np.zeros(len(sets), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, sets), len(known) - 1)
+            df = np.where(known[at] == sets, counts[at], 0)
+        text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        by = np.lexsort((sets, df, text))
+        place = np.arange(len(sets)) - bounds[:-1][text]
+        size = np.diff(bounds)
+        keep = place < (size - np.ceil(t * size - 1e-9).astype(np.int64) + 1)[text]
+        return mix(sets[by][keep]), np.concatenate([[0], np.cumsum(np.bincount(text[keep], minlength=len(size)))]).astype(np.int64)
+
+    return keyer
+
+
+def similar(rows: DataFrame, t: float, keyer: Keyer, *, min_words: int = 1, two_sides: bool = False, more: Callable | None = None, expand: int = 64, hot: int = HOT) -> DataFrame:
     """``id_a, id_b, space, similarity, cover_a, cover_b``: ids whose texts have similarity >= ``t``.
 
     ``rows`` has ``id`` (string), ``space`` (string; only texts of one space are compared), ``side`` (0 or 1) and
     ``text``. Self-join: the smaller id first. Two sides: side 0 first. Copies of a text: up to ``expand`` of them are
-    paired in full, more are linked through the text's smallest id, so no link between different texts is lost.
+    paired in full; of more copies each is linked to the smallest id of its text and, if the text has at most ``expand``
+    similar texts, to the smallest id of each of those; the smallest ids are always linked. So pairs grow with the rows
+    and no link between different texts is lost.
     Null ids and texts, and texts of fewer than ``min_words`` words or none, match nothing; repeated rows count once.
     """
     spark = rows.sparkSession
     rows = rows.where("id is not null and length(text) > 0").withColumn("side", F.col("side").cast("tinyint"))
     rows = rows.withColumn("ref", F.xxhash64("space", "side", "text")).withColumn("room", F.xxhash64("space"))
     parts = width(spark)
-    blobs = rows.select("ref", "room", F.col("side").cast("bigint"), "text").mapInArrow(_pack(keyer, parts, min_words), "part int, blob binary")
-    pairs = blobs.repartition(parts, "part").mapInArrow(_join(t, two_sides), "a bigint, b bigint").distinct()
+
+    def joined(some: DataFrame, keys: Keyer, limit: int | None) -> DataFrame:
+        blobs = some.select("ref", "room", F.col("side").cast("bigint"), "text").mapInArrow(_pack(keys, parts, min_words), "part int, blob binary")
+        return blobs.repartition(parts, "part").mapInArrow(_join(t, two_sides, limit), "a bigint, b bigint").distinct()
+
+    found = materialize(joined(rows, keyer, hot), "found")
     members = materialize(rows.select("ref", "id", "space", "side", F.hash("text").alias("check")).distinct(), "members")
     groups = members.groupBy("ref").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.first("space").alias("space"))
+    pairs = found.where("b is not null")
+    far = found.where("b is null").select(F.col("a").alias("ref"))
+    if far.limit(1).count():
+        order = frequent(rows, 1)
+        pairs = pairs.unionByName(joined(_texts(rows, far, groups), prefix_keyer(t, order), None)).distinct()
     if not two_sides:
         copies = groups.where("n > 1").select(F.col("ref").alias("a"), F.col("ref").alias("b"))
         pairs = pairs.unionByName(copies)
     pairs = materialize(pairs, "pairs")
     needed = pairs.select(F.col("a").alias("ref")).union(pairs.select("b")).distinct()
-    texts = materialize(rows.select("ref", "text").join(needed, "ref", "left_semi").groupBy("ref").agg(F.min("text").alias("text")), "texts")
+    texts = materialize(_texts(rows, needed, groups).select("ref", "text"), "texts")
     both = pairs.join(texts.select(F.col("ref").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("ref").alias("b"), F.col("text").alias("text_b")), "b")
     good = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(t, min_words, more), "a bigint, b bigint, similarity double, cover_a double, cover_b double"), "good")
-    g = good.join(groups.select(F.col("ref").alias("a"), F.col("n").alias("na"), F.col("first").alias("fa"), "space"), "a").join(groups.select(F.col("ref").alias("b"), F.col("n").alias("nb"), F.col("first").alias("fb")), "b")
+    side = lambda x: groups.select(F.col("ref").alias(x), F.col("n").alias(f"n{x}"), F.col("first").alias(f"f{x}"), *(["space"] if x == "a" else []))
+    links = good.select("a").union(good.where("a <> b").select("b")).groupBy("a").agg(F.count("*").alias("links"))
+    deg = lambda x: links.select(F.col("a").alias(x), F.col("links").alias(f"l{x}"))
+    g = good.join(side("a"), "a").join(side("b"), "b").join(deg("a"), "a").join(deg("b"), "b")
     small = (F.col("na") <= expand) & (F.col("nb") <= expand)
     m = lambda x, y: members.select(F.col("ref").alias(x), F.col("id").alias(y))
     rest = ["space", "similarity", "cover_a", "cover_b"]
     full = g.where(small).join(m("a", "ia"), "a").join(m("b", "ib"), "b").select("ia", "ib", *rest)
-    left = g.where(~small).join(m("a", "ia"), "a").select("ia", F.col("fb").alias("ib"), *rest)
-    right = g.where(~small).join(m("b", "ib"), "b").select(F.col("fa").alias("ia"), "ib", *rest)
-    out = full.unionByName(left).unionByName(right).where("ia <> ib")
+    # Many copies: each is linked to the first id of every other text if those are few, the first id always.
+    left = g.where(~small & ((F.col("la") <= expand) | (F.col("a") == F.col("b")))).join(m("a", "ia"), "a").select("ia", F.col("fb").alias("ib"), *rest)
+    right = g.where(~small & (F.col("lb") <= expand)).join(m("b", "ib"), "b").select(F.col("fa").alias("ia"), "ib", *rest)
+    firsts = g.where(~small).select(F.col("fa").alias("ia"), F.col("fb").alias("ib"), *rest)
+    out = full.unionByName(left).unionByName(right).unionByName(firsts).where("ia <> ib")
     if not two_sides:
         flip = F.col("ia") > F.col("ib")
         out = out.select(F.least("ia", "ib").alias("ia"), F.greatest("ia", "ib").alias("ib"), "space", "similarity", F.when(flip, F.col("cover_b")).otherwise(F.col("cover_a")).alias("cover_a"), F.when(flip, F.col("cover_a")).otherwise(F.col("cover_b")).alias("cover_b"))
