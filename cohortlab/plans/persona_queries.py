@@ -9,6 +9,7 @@ from cohortlab.functions import scalars as S
 from cohortlab.operators import builder, personas, rules, sampling, scoring, similarity, student
 from cohortlab.operators.personas import AXES
 from cohortlab.plans import sqltext as T
+from cohortlab.workspace import materialize
 
 c = F.col
 
@@ -233,8 +234,9 @@ def persona_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _dup_rows(spark, sf):
-    v = rules.validate(_traits(spark, sf)).where("run_id is not null")
-    return v.select(c("run_id").alias("grp"), c("persona_id").alias("id"), S.tokens(F.concat_ws(" ", *TEXTS)).alias("tokens"))
+    v = _traits(spark, sf).where("run_id is not null")
+    rows = v.select(c("run_id").alias("grp"), c("persona_id").alias("id"), S.tokens(F.concat_ws(" ", *TEXTS)).alias("tokens"))
+    return materialize(rows, "tokens")
 
 
 def near_duplicate_rates(spark: SparkSession, sf: str) -> DataFrame:
