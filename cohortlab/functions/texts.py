@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from cohortlab.functions.scalars import clip
+
 
 def balanced(text: str | None) -> str | None:
     """The first complete ``{...}`` of a reply, outside of strings; code fences around it don't matter."""
@@ -103,4 +105,4 @@ def salvage(reply: Column, item: str) -> Column:
 def answer(kind: Column, value: Column) -> Column:
     """A parsed answer as 1..5: JSON numbers are cut, true counts as 1, text must be a whole number; all else is 3."""
     n = F.when(kind == "number", F.floor(F.abs(value.try_cast("double"))) * F.signum(value.try_cast("double"))).when(kind == "boolean", F.when(value == "true", 1.0).otherwise(0.0)).when(kind == "string", F.trim(value).try_cast("int").cast("double"))
-    return F.coalesce(F.least(F.greatest(n, F.lit(1.0)), F.lit(5.0)), F.lit(3.0)).cast("int")
+    return F.coalesce(clip(n, 1.0, 5.0), F.lit(3.0)).cast("int")

@@ -51,14 +51,14 @@ def bootstrap(df: DataFrame, by: list[str], value: str, draws: int = 1000, seed:
     sums that combine map-side; no group is gathered anywhere. One row: the interval is its value.
     """
     rows = df.where(c(value).isNotNull()).withColumn("_h", F.xxhash64(*by, value, *[x for x in df.columns if x not in (*by, value)]))
-    each = rows.select(*by, c(value).alias("v"), "_h", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("d"))
-    u = (F.pmod(F.xxhash64("_h", "d", F.lit(seed)), F.lit(1 << 30)).cast("double") + 0.5) / float(1 << 30)
+    each = rows.select(*by, c(value).alias("_v"), "_h", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_d"))
+    u = (F.pmod(F.xxhash64("_h", "_d", F.lit(seed)), F.lit(1 << 30)).cast("double") + 0.5) / float(1 << 30)
     k = F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.91969860, 2).when(u < 0.98101184, 3).when(u < 0.99634015, 4).otherwise(5)
-    sums = each.withColumn("k", k).groupBy(*by, "d").agg(F.sum(c("k") * c("v")).alias("s"), F.sum("k").alias("w"))
-    ci = sums.where("w > 0").groupBy(*by).agg(F.percentile(c("s") / c("w"), F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
+    sums = each.withColumn("_k", k).groupBy(*by, "_d").agg(F.sum(c("_k") * c("_v")).alias("_s"), F.sum("_k").alias("_w"))
+    ci = sums.where("_w > 0").groupBy(*by).agg(F.percentile(c("_s") / c("_w"), F.array(F.lit(0.025), F.lit(0.975))).alias("_p"))
     base = rows.groupBy(*by).agg(F.count("*").cast("bigint").alias("n"), F.avg(value).alias("mean"))
     one = c("n") == 1
-    return base.join(ci, by, "left").select(*by, "n", "mean", F.when(one, c("mean")).otherwise(c("p")[0]).alias("low"), F.when(one, c("mean")).otherwise(c("p")[1]).alias("high"))
+    return base.join(ci, by, "left").select(*by, "n", "mean", F.when(one, c("mean")).otherwise(c("_p")[0]).alias("low"), F.when(one, c("mean")).otherwise(c("_p")[1]).alias("high"))
 
 
 def generations(df: DataFrame, by: list[str]) -> DataFrame:

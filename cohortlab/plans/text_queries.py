@@ -91,6 +91,7 @@ SQL = {
     "document_scenarios": "select doc_id, array_to_string(list_filter([" + ", ".join(f"case when not {_has(w)} then '{n}' end" for n, w in rules.SCENARIOS.items()) + "], lambda x: x is not null), ',') as missing from documents",
     "token_statistics": "select doc_id, len(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-zA-Z][a-zA-Z_''\\-]{2,}'))) as n_tokens from documents",
     "salvaged_answers": f"""with {_rep} select event_id, coalesce(try_cast(nullif(regexp_extract(coalesce(reply, ''), '"k"\\s*[:=]?\\s*"?([1-5])', 1), '') as bigint), 3) as answer from r""",
-    "parsed_answers": f"""with {_rep}, k as (select event_id, case when json_valid(reply) then json_extract(reply, '$.k') end as k from r)
-        select event_id, cast(coalesce(least(5, greatest(1, case json_type(k) when 'UBIGINT' then trunc(cast(k as double)) when 'BIGINT' then trunc(cast(k as double)) when 'DOUBLE' then trunc(cast(k as double)) when 'BOOLEAN' then cast(cast(k as boolean) as int) when 'VARCHAR' then try_cast(json_extract_string(k, '$') as int) end)), 3) as bigint) as answer from k""",
+    "parsed_answers": f"""with {_rep}, k as (select event_id, case when json_valid(reply) then json_extract(reply, '$.k') end as k from r),
+        n as (select event_id, case when json_type(k) in ('UBIGINT', 'BIGINT', 'DOUBLE') then trunc(cast(k as double)) when json_type(k) = 'BOOLEAN' then cast(cast(k as boolean) as int) when json_type(k) = 'VARCHAR' then try_cast(json_extract_string(k, '$') as int) end as n from k)
+        select event_id, cast(case when n is null then 3 when n < 1 then 1 when n > 5 then 5 else n end as bigint) as answer from n""",
 }
