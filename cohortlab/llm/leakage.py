@@ -40,19 +40,20 @@ def window_minima(flat: np.ndarray, span: int, shingle: int) -> np.ndarray:
 class Index:
     """Windows of the items: their minima for the search, their shingles for the check."""
 
-    def __init__(self, items: list[tuple[int, str]], span: int, shingle: int):
-        self.span, self.shingle = span, shingle
-        form, memo = transducer(), Memo()
-        flat, offsets = hashed([t for _, t in items], memo, form)
-        n = len(flat) - span + 1
-        ok, text = inside(offsets, span, n)
-        at = np.flatnonzero(ok)
-        self.minima = np.unique(window_minima(flat, span, shingle)[at]) if len(at) else np.zeros(0, np.uint64)
-        grams = rolling(flat, span)[at] if len(at) else np.zeros(0, np.uint64)
-        order = np.argsort(grams, kind="stable")
-        self.grams, self.item = grams[order], text[at][order]
-        self.windows = flat[at[order][:, None] + np.arange(span)] if len(at) else np.zeros((0, span), np.uint64)
-        self.ids = np.array([i for i, _ in items], np.int64)
+    def __init__(self, span: int, shingle: int, minima: np.ndarray, grams: np.ndarray, item: np.ndarray, windows: np.ndarray, ids: np.ndarray):
+        self.span, self.shingle, self.minima, self.grams, self.item, self.windows, self.ids = span, shingle, minima, grams, item, windows, ids
+
+
+def index_of(items: list[tuple[int, str]], span: int, shingle: int) -> Index:
+    """The index of some items."""
+    flat, offsets = hashed([t for _, t in items], Memo(), transducer())
+    ok, text = inside(offsets, span, len(flat) - span + 1)
+    at = np.flatnonzero(ok)
+    minima = np.unique(window_minima(flat, span, shingle)[at]) if len(at) else np.zeros(0, np.uint64)
+    grams = rolling(flat, span)[at] if len(at) else np.zeros(0, np.uint64)
+    order = np.argsort(grams, kind="stable")
+    windows = flat[at[order][:, None] + np.arange(span)] if len(at) else np.zeros((0, span), np.uint64)
+    return Index(span, shingle, minima, grams[order], text[at][order], windows, np.array([i for i, _ in items], np.int64))
 
 
 def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -61,7 +62,7 @@ def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
 
 
-def _search(index: Index, kind: pa.DataType):
+def _search(index: Index):
     form = transducer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +108,7 @@ def contains(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str,
     blocks: list[DataFrame] = []
 
     def add() -> None:
-        blocks.append(rows.mapInArrow(_search(Index(held.copy(), span, shingle), None), f"doc {kind}, item bigint, windows bigint"))
+        blocks.append(rows.mapInArrow(_search(index_of(held, span, shingle)), f"doc {kind}, item bigint, windows bigint"))
         held.clear()
 
     for r in wanted.toLocalIterator():
