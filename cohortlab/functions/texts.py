@@ -45,20 +45,21 @@ def first_object(text: pd.Series) -> pd.Series:
     return text.map(balanced, na_action="ignore")
 
 
-#: Keys that tell where a genome comes from, not what it is; fixed values.
-LINEAGE = ("last_mutation", "last_evolution_operator", "openevolve_mutation")
+def lineage(key: str) -> bool:
+    """Whether a genome's key tells where it comes from, not what it is: the last steps and any engine's mutation entry."""
+    return key.startswith("last_") or key.endswith("_mutation")
 
 
-def canonical(text: str | None, drop: tuple[str, ...] = ()) -> str | None:
-    """JSON with sorted keys and no spare blanks; None for text that isn't JSON."""
+def canonical(text: str | None, whole: bool = True) -> str | None:
+    """JSON with sorted keys and no spare blanks, perhaps without lineage keys; None for text that isn't JSON."""
     if text is None:
         return None
     try:
         x = json.loads(text)
     except ValueError:
         return None
-    if isinstance(x, dict):
-        x = {k: v for k, v in x.items() if k not in drop}
+    if isinstance(x, dict) and not whole:
+        x = {k: v for k, v in x.items() if not lineage(k)}
     return json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
@@ -71,7 +72,7 @@ def genome_hash(text: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def phenotype_hash(text: pd.Series) -> pd.Series:
     """SHA-256 of the canonical JSON without its lineage keys."""
-    return text.map(lambda t: None if (c := canonical(t, LINEAGE)) is None else hashlib.sha256(c.encode()).hexdigest(), na_action="ignore")
+    return text.map(lambda t: None if (c := canonical(t, False)) is None else hashlib.sha256(c.encode()).hexdigest(), na_action="ignore")
 
 
 @F.pandas_udf(StringType())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlab.functions.scalars import clip, percent_delta
+from cohortlab.functions.scalars import percent_delta
 from cohortlab.functions.texts import genome_hash, phenotype_hash
 from cohortlab.operators import genome, reports, search, windows
 from cohortlab.plans import sqltext as T

@@ -308,7 +308,7 @@ _C = [
 _difficulty = "case when regulation_core >= 0.7 then 'reframes' when energy >= 0.6 then 'seeks_help' when regulation_core <= 0.25 then 'freezes' else 'doubles_down' end"
 _consistent = f"""{T.ALIGNED}, d as (select *, {_difficulty} as difficulty from a), x as (select *, {_issues_sql(_C)} as issues from d),
     y as (select *, case when issues = '' then [] else string_split(issues, ',') end as il from x),
-    z as (select *, 0.08 * len(list_filter(il, lambda q: q like '%:error')) + 0.035 * len(list_filter(il, lambda q: q like '%:warning')) as penalty from y),
+    z as (select *, 0.08::double * len(list_filter(il, lambda q: q like '%:error')) + 0.035::double * len(list_filter(il, lambda q: q like '%:warning')) as penalty from y),
     k as (select *, greatest(0.0, 1.0 - least(0.65, penalty)) as rule_score from z),
     w as (select *, 0.7 * axis_alignment + 0.3 * rule_score as score from k)"""
 _ctx_cues = ", ".join(f"max(greatest(case when {T.contains('tx', a)} then 1.0 else 0.0 end, {w} * case when {T.contains('tx', b)} then 1.0 else 0.0 end)) as {n}" for n, (a, b, w) in student.CUES.items())
@@ -329,7 +329,7 @@ _levels = f"""{T.SLOTS}, ix as (select *, cast('0x' || substring(md5(slot_id), 1
     lv as (select *, coalesce(target_cognitive_core, 0.5) as cog, coalesce(target_motivation_core, 0.5) as mot, coalesce(target_regulation_core, 0.5) as reg, constraints.primary_drive as drive,
         constraints.stress_band as stress_band, constraints.social_energy_band as energy_band, constraints.derived_performance_band as performance_band,
         case constraints.stress_band when 'low' then 0.2 when 'low_mid' then 0.38 when 'mid' then 0.52 when 'mid_high' then 0.68 when 'high' then 0.8 else 0.52 end as sb,
-        greatest(0.0, least(1.0, case constraints.social_energy_band when 'low' then 0.22 when 'low_mid' then 0.38 when 'mid' then 0.52 when 'mid_high' then 0.68 when 'high' then 0.82 else 0.52 end + ((i % 3) - 1) * 0.04)) as energy,
+        greatest(0.0, least(1.0, case constraints.social_energy_band when 'low' then 0.22::double when 'low_mid' then 0.38 when 'mid' then 0.52 when 'mid_high' then 0.68 when 'high' then 0.82 else 0.52 end + ((i % 3) - 1) * 0.04)) as energy,
         case constraints.grade_or_stage when 'middle_school' then 12 when 'high_school' then 15 when 'vocational' then 16 when 'undergraduate' then 18 when 'graduate' then 22 when 'early_career' then 22 else 15 end as lo,
         case constraints.grade_or_stage when 'middle_school' then 15 when 'high_school' then 18 when 'vocational' then 20 when 'undergraduate' then 23 when 'graduate' then 28 when 'early_career' then 30 else 22 end as hi from ix)"""
 _band = lambda x: f"case when {x} <= 0.34 then 'low' when {x} >= 0.66 then 'high' else 'mid' end"

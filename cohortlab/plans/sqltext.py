@@ -34,7 +34,6 @@ _gaps = ", ".join(f"abs(f.{a} - s.target_{a})" for a in AXES)
 #: ``a``: filled personas with their alignment to their slot.
 ALIGNED = f"""{FILLED}, {SLOTS}, a as (select f.*, coalesce(greatest(0.0, least(1.0, 1.0 - list_avg(list_filter([{_gaps}], lambda x: x is not null)))), 1.0) as axis_alignment from f left join s on s.slot_id = f.persona_id)"""
 #: ``i``: one row per item. ``ans``: one row per (simulation, item).
-ITEMS = "i as (select item_id, r.* from (select item_id, arg_max({'survey_id': survey_id, 'item_pos': item_pos, 'split': split, 'construct': construct, 'text': text, 'direction': direction, 'axis_weights': axis_weights, 'instrument': instrument}, added_at) as r from survey_items where item_id is not null group by item_id))"
 ITEMS = "i0 as (select item_id, arg_max({'survey_id': survey_id, 'item_pos': item_pos, 'split': split, 'construct': construct, 'text': text, 'direction': direction, 'axis_weights': axis_weights, 'instrument': instrument}, added_at) as r from survey_items where item_id is not null group by item_id), i as (select item_id, r.survey_id as survey_id, r.item_pos as item_pos, r.split as split, r.construct as construct, r.text as text, r.direction as direction, r.axis_weights as axis_weights, r.instrument as instrument from i0)"
 SIMS = "sim0 as (select sim_id, arg_max({'persona_id': persona_id, 'survey_id': survey_id, 'responses': responses, 'axis_scores': axis_scores, 'backend': backend, 'run_id': run_id}, ingested_at) as r from simulations group by sim_id), sim as (select sim_id, r.persona_id as persona_id, r.survey_id as survey_id, r.responses as responses, r.axis_scores as axis_scores, r.backend as backend, r.run_id as run_id from sim0)"
 ANSWERS = f"{SIMS}, ans as (select sim_id, persona_id, survey_id, e.key as item_id, e.value as response from (select sim_id, persona_id, survey_id, unnest(map_entries(responses)) as e from sim))"

@@ -10,15 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 c = F.col
-CANDIDATE = "candidate_id string, parent_id string, island_id int, generation int, fitness double, evaluated boolean, metrics map<string,double>, genome string, last_evolution_operator string, openevolve_mutation string, last_mutation struct<mode:string,scale:double>"
+CANDIDATE = "candidate_id string, parent_id string, island_id int, generation int, fitness double, evaluated boolean, metrics map<string,double>, genome string, last_evolution_operator string, last_mutation struct<mode:string,scale:double>"
 EVALUATION = "candidate struct<candidate_id:string,parent_id:string,generation:int>, fitness double, metrics map<string,double>, per_seed array<struct<seed:int,score:double,personas:array<string>>>, status string"
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Candidate files of a folder with defaults for missing parts; unreadable files and those without fitness drop out."""
-    raw = spark.read.schema(CANDIDATE + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def candidates(spark: SparkSession, path: str, engine: str = "engine_mutation") -> DataFrame:
+    """Candidate files of a folder with defaults for missing parts; unreadable files and those without fitness drop out.
+
+    ``engine`` names the field in which the search engine keeps the mutation that made a candidate.
+    """
+    raw = spark.read.schema(f"{CANDIDATE}, {engine} string, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     rows = raw.where("_corrupt_record is null and fitness is not null").drop("_corrupt_record")
-    return rows.withColumns({"generation": F.coalesce("generation", F.lit(0)), "evaluated": F.coalesce("evaluated", F.lit(True)), "metrics": F.coalesce("metrics", F.create_map().cast("map<string,double>")), "operator_id": operator_id("openevolve_mutation", "last_evolution_operator"), "mode": F.coalesce("last_mutation.mode", F.lit(""))})
+    return rows.withColumns({"generation": F.coalesce("generation", F.lit(0)), "evaluated": F.coalesce("evaluated", F.lit(True)), "metrics": F.coalesce("metrics", F.create_map().cast("map<string,double>")), "operator_id": operator_id(engine, "last_evolution_operator"), "mode": F.coalesce("last_mutation.mode", F.lit(""))})
 
 
 def operator_id(mutation: str, operator: str) -> Column:

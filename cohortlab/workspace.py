@@ -44,6 +44,14 @@ def drop(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this process has materialized; no result that reads them may be in use any more."""
+    for session, path in _written:
+        if session is spark:
+            _delete(spark, path)
+    _written[:] = [x for x in _written if x[0] is not spark]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

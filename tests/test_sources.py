@@ -5,7 +5,7 @@ from cohortlab.sources.slot_source import SlotSource
 
 
 def test_candidate_files(spark, tmp_path):
-    for name, x in {"a": {"candidate_id": "a", "fitness": 0.5, "last_evolution_operator": {"id": "op3"}}, "b": {"candidate_id": "b"}, "c": {"candidate_id": "c", "fitness": 0.1, "openevolve_mutation": {"operator_id": "op9"}, "last_mutation": {"mode": "mixed", "scale": 0.1}}, "d": {"candidate_id": "d", "fitness": 0.2, "last_evolution_operator": "op1"}}.items():
+    for name, x in {"a": {"candidate_id": "a", "fitness": 0.5, "last_evolution_operator": {"id": "op3"}}, "b": {"candidate_id": "b"}, "c": {"candidate_id": "c", "fitness": 0.1, "engine_mutation": {"operator_id": "op9"}, "last_mutation": {"mode": "mixed", "scale": 0.1}}, "d": {"candidate_id": "d", "fitness": 0.2, "last_evolution_operator": "op1"}}.items():
         (tmp_path / f"{name}.json").write_text(json.dumps(x))
     (tmp_path / "broken.json").write_text('{"candidate_id": "x", "fit')
     rows = {r["candidate_id"]: (r["operator_id"], r["mode"], r["generation"]) for r in artifacts.candidates(spark, str(tmp_path)).collect()}
