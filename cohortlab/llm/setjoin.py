@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.llm import sigtree
 from cohortlab.llm.words import Memo, distinct, hashed, inside, mix, rolling, words
-from cohortlab.workspace import materialize, width
+from cohortlab.workspace import drop, materialize, width
 
 #: Texts a task holds before it writes its blobs.
 HELD = 50_000
@@ -155,7 +155,7 @@ def _verify(t: float, min_words: int, more: Callable | None):
 
 def _texts(rows: DataFrame, refs: DataFrame, groups: DataFrame) -> DataFrame:
     """One row per wanted text: that of its smallest id, so that no key of the join holds the copies of a text."""
-    owners = refs.join(groups.select("ref", F.col("first").alias("id")), "ref")
+    owners = materialize(refs.join(groups.select("ref", F.col("first").alias("id")), "ref"), "owners")  # of known size: Spark may broadcast it
     return rows.join(owners, ["id", "ref"], "left_semi").dropDuplicates(["ref"])
 
 
@@ -229,10 +229,12 @@ def similar(rows: DataFrame, t: float, keyer: Keyer, *, min_words: int = 1, two_
         copies = groups.where("n > 1").select(F.col("ref").alias("a"), F.col("ref").alias("b"))
         pairs = pairs.unionByName(copies)
     pairs = materialize(pairs, "pairs")
+    drop(found)
     needed = pairs.select(F.col("a").alias("ref")).union(pairs.select("b")).distinct()
     texts = materialize(_texts(rows, needed, groups).select("ref", "text"), "texts")
     both = pairs.join(texts.select(F.col("ref").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("ref").alias("b"), F.col("text").alias("text_b")), "b")
     good = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(t, min_words, more), "a bigint, b bigint, similarity double, cover_a double, cover_b double"), "good")
+    drop(texts), drop(pairs)
     side = lambda x: groups.select(F.col("ref").alias(x), F.col("n").alias(f"n{x}"), F.col("first").alias(f"f{x}"), *(["space"] if x == "a" else []))
     links = good.select("a").union(good.where("a <> b").select("b")).groupBy("a").agg(F.count("*").alias("links"))
     deg = lambda x: links.select(F.col("a").alias(x), F.col("links").alias(f"l{x}"))
