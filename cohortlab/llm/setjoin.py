@@ -40,10 +40,12 @@ def _pack(keyer: Keyer, partitions: int, min_words: int):
 
     def blobs(ref, space, side, texts, memo) -> Iterator[pa.RecordBatch]:
         flat, offsets = hashed(texts, memo)
-        enough = np.flatnonzero(np.diff(offsets) >= max(1, min_words))
+        length = np.diff(offsets)
+        enough = np.flatnonzero(length >= max(1, min_words))
         if not len(enough):
             return
-        flat, offsets = hashed([texts[i] for i in enough], memo) if len(enough) < len(texts) else (flat, offsets)
+        flat = flat[np.repeat(length >= max(1, min_words), length)]
+        offsets = np.concatenate([[0], np.cumsum(length[enough])])
         ref, space, side = ref[enough], space[enough], side[enough]
         sets, bounds = distinct(flat, offsets)
         keys, ends = keyer(flat, offsets, sets, bounds)
