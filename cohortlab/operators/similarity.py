@@ -1,9 +1,10 @@
-"""Exact similarity self-join of token sets by size and prefix filters, within groups.
+"""Exact similarity self-join of token sets within groups, by runs of tokens in hash order.
 
-Tokens are ordered by length, the longest first: an order that needs no counts, puts rare words first and is the same
-for all rows, which is all that exactness asks for. Two sets of similarity >= t share a token among the first
-``n - ceil(t n) + 1`` of each, so only these prefixes are joined, on (group, token), with sizes within a factor t.
-Candidates are verified on the whole sets.
+Two sets of similarity t have ``c`` common and ``d`` private tokens with c >= d t / (1 - t). In any fixed order the
+private tokens part the common ones into at most d + 1 runs, so one run has at least floor(t / (1 - t)) tokens (4 for
+0.8) unless the sets are small, which then have half-length runs. Every run of that many tokens of a set is a key; sets
+that share a key and agree in size are verified on their whole sets. Order by hash mixes rare and frequent tokens, so
+keys are far rarer than tokens, and no count of tokens is needed.
 """
 
 from __future__ import annotations
@@ -16,19 +17,23 @@ from cohortlab.functions.scalars import jaccard
 c = F.col
 
 
-def prefix_pairs(rows: DataFrame, t: float) -> DataFrame:
+def similar_pairs(rows: DataFrame, t: float) -> DataFrame:
     """``grp, a, b, similarity`` with a < b and similarity >= ``t``; ``rows`` has ``grp, id, tokens`` (distinct arrays).
 
     Two empty sets of a group are alike (similarity 1). Null ids and arrays match nothing.
     """
     rows = rows.where("id is not null and tokens is not null").select("grp", "id", "tokens")
-    n = F.size("tokens")
-    ordered = F.array_sort(F.transform("tokens", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
-    prefix = F.slice(ordered, 1, F.greatest(F.lit(1), n - F.ceil(t * n - 1e-9) + 1).cast("int"))
-    head = rows.select("grp", "id", n.alias("n"), F.explode(prefix).alias("p")).select("grp", "id", "n", c("p.w").alias("w"))
+    run = max(1, int(t / (1 - t) + 1e-9))
+    half = -(-run // 2)
+    n, h = F.size("tokens"), F.col("h")
+    parts = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - k + 1)), lambda i: F.xxhash64(F.slice(h, i, F.lit(k))))
+    keys = F.concat(parts(run), F.when(n <= run * run, parts(half)).otherwise(F.array().cast("array<bigint>")))
+    hashed = rows.where(n > 0).withColumn("h", F.sort_array(F.transform("tokens", lambda w: F.xxhash64(w))))
+    head = hashed.select("grp", "id", n.alias("n"), F.explode(F.array_distinct(keys)).alias("w"))
     a, b = (head.select("grp", "w", c("id").alias(x), c("n").alias(f"n{x}")) for x in "ab")
     sizes = (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9) & (c("a") < c("b"))
-    cand = a.join(b, ["grp", "w"]).where(sizes).select("grp", "a", "b").distinct()
+    cand = a.hint("merge").join(b, ["grp", "w"])  # the keys are many times the table, which size estimates miss
+    cand = cand.where(sizes).select("grp", "a", "b").distinct()
     whole = lambda x: rows.select("grp", c("id").alias(x), c("tokens").alias(f"t{x}"))
     found = cand.join(whole("a"), ["grp", "a"]).join(whole("b"), ["grp", "b"]).withColumn("similarity", jaccard("ta", "tb")).where(c("similarity") >= t).select("grp", "a", "b", "similarity")
     empty = rows.where(F.size("tokens") == 0).select("grp", "id")

@@ -234,16 +234,16 @@ def persona_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _dup_rows(spark, sf):
-    v = _traits(spark, sf).where("run_id is not null")
-    rows = v.select(c("run_id").alias("grp"), c("persona_id").alias("id"), S.tokens(F.concat_ws(" ", *TEXTS)).alias("tokens"))
+    v = _traits(spark, sf).where("source is not null and narrative is not null")
+    rows = v.select(c("source").alias("grp"), c("persona_id").alias("id"), S.tokens("narrative").alias("tokens"))
     return materialize(rows, "tokens")
 
 
 def near_duplicate_rates(spark: SparkSession, sf: str) -> DataFrame:
-    """Near-duplicate pairs per run over all its personas' texts, exactly, by prefix filter."""
+    """Near-duplicate pairs of narratives per source, exactly."""
     rows = _dup_rows(spark, sf)
-    d = similarity.duplicate_rate(rows, similarity.prefix_pairs(rows, 0.8))
-    return d.select(c("grp").alias("run_id"), "n", "n_pairs", F.round("rate", 6).alias("rate"))
+    d = similarity.duplicate_rate(rows, similarity.similar_pairs(rows, 0.8))
+    return d.select(c("grp").alias("source"), "n", "n_pairs", F.round("rate", 8).alias("rate"))
 
 
 QUERIES = {
@@ -339,6 +339,7 @@ _quota = """st as (select quota_label, count(distinct slot_id) as w from slots w
     qq as (select *, w / sum(w) over () * 997 as raw from st), fl as (select *, floor(raw) as fl from qq),
     rk as (select *, row_number() over (order by round(raw - fl, 12) desc, quota_label desc) as rk, 997 - sum(fl) over () as lft from fl)"""
 _tok = "list_distinct(regexp_extract_all(lower(concat_ws(' ', " + ", ".join(TEXTS) + ")), '[a-zA-Z][a-zA-Z_''\\-]{2,}'))"
+_tok1 = "list_distinct(regexp_extract_all(lower(narrative), '[a-zA-Z][a-zA-Z_''\\-]{2,}'))"
 _lines = ", ".join(f"'{n}: ' || {n}" for n in ("stage", "drive", "goal", "planning", "coping", "collaboration"))
 SQL = {
     "persona_axes": f"with {T.FILLED} select persona_id, {_axes} from f",
@@ -376,7 +377,7 @@ SQL = {
     "quota_allocation": f"with {_quota} select quota_label, cast(fl + case when rk <= lft then 1 else 0 end as bigint) as n_slots from rk",
     "halton_points": f"with g as (select unnest(range(1, 4097)) as i) select i, {_radical(2)} as x0, {_radical(3)} as x1, {_radical(5)} as x2 from g",
     "persona_tokens": f"with {T.TRAITS}, k as (select persona_id, {_tok} as l from t) select persona_id, len(l) as n_tokens, list_min(l) as first_token from k",
-    "near_duplicate_rates": f"""with {T.TRAITS}, k as (select run_id, persona_id, {_tok} as l from t where run_id is not null), n as (select run_id, count(*) as n from k group by run_id),
-        p as (select a.run_id, count(*) as n_pairs from k a join k b on a.run_id = b.run_id and a.persona_id < b.persona_id where len(list_intersect(a.l, b.l))::double / (len(a.l) + len(b.l) - len(list_intersect(a.l, b.l))) >= 0.8 group by a.run_id)
-        select run_id, n, coalesce(n_pairs, 0) as n_pairs, round(case when n < 2 then 0.0 else coalesce(n_pairs, 0) / (n * (n - 1) / 2.0) end, 6) as rate from n left join p using (run_id)""",
+    "near_duplicate_rates": f"""with {T.TRAITS}, k as (select source, persona_id, {_tok1} as l from t where source is not null and narrative is not null), n as (select source, count(*) as n from k group by source),
+        p as (select a.source, count(*) as n_pairs from k a join k b on a.source = b.source and a.persona_id < b.persona_id where len(list_intersect(a.l, b.l))::double / (len(a.l) + len(b.l) - len(list_intersect(a.l, b.l))) >= 0.8 group by a.source)
+        select source, n, coalesce(n_pairs, 0) as n_pairs, round(case when n < 2 then 0.0 else coalesce(n_pairs, 0) / (n * (n - 1) / 2.0) end, 8) as rate from n left join p using (source)""",
 }

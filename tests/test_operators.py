@@ -168,8 +168,8 @@ def test_bootstrap(spark):
     assert r["a"]["low"] < r["a"]["mean"] < r["a"]["high"] and 2 * se < r["a"]["high"] - r["a"]["low"] < 6 * se
 
 
-@pytest.mark.parametrize("t", [0.5, 0.8])
-def test_prefix_join(spark, t):
+@pytest.mark.parametrize("t", [0.5, 0.75, 0.8])
+def test_similarity_join(spark, t):
     g = np.random.default_rng(7)
     sets = [sorted({f"w{x}" for x in g.integers(0, 25, g.integers(0, 14))}) for _ in range(120)]
     sets += [sets[0], sets[1], [], []]
@@ -180,7 +180,7 @@ def test_prefix_join(spark, t):
         return 1.0 if not a and not b else len({*a} & {*b}) / len({*a} | {*b})
 
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if i % 2 == j % 2 and jac(sets[i], sets[j]) >= t}
-    assert {(r["a"], r["b"]) for r in similarity.prefix_pairs(df, t).collect()} == want
+    assert {(r["a"], r["b"]) for r in similarity.similar_pairs(df, t).collect()} == want
 
 
 def test_numbered(spark):
