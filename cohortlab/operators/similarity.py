@@ -32,8 +32,8 @@ def similar_pairs(rows: DataFrame, t: float) -> DataFrame:
     head = hashed.select("grp", "id", n.alias("n"), F.explode(F.array_distinct(keys)).alias("w"))
     a, b = (head.select("grp", "w", c("id").alias(x), c("n").alias(f"n{x}")) for x in "ab")
     sizes = (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9) & (c("a") < c("b"))
-    cand = a.hint("merge").join(b, ["grp", "w"])  # the keys are many times the table, which size estimates miss
-    cand = cand.where(sizes).select("grp", "a", "b").distinct()
+    # Merged, never broadcast: the keys are many times the table, which size estimates miss.
+    cand = a.hint("merge").join(b, ["grp", "w"]).where(sizes).select("grp", "a", "b").distinct()
     whole = lambda x: rows.select("grp", c("id").alias(x), c("tokens").alias(f"t{x}"))
     found = cand.join(whole("a"), ["grp", "a"]).join(whole("b"), ["grp", "b"]).withColumn("similarity", jaccard("ta", "tb")).where(c("similarity") >= t).select("grp", "a", "b", "similarity")
     empty = rows.where(F.size("tokens") == 0).select("grp", "id")

@@ -77,7 +77,39 @@ _LINKS = """
         with recursive ids as (select candidate_id, lower(trim(min(parent_id))) as k from candidates where candidate_id is not null group by candidate_id),
         links as (select a.candidate_id as node, b.candidate_id as parent from ids a left join ids b on lower(trim(b.candidate_id)) = nullif(a.k, ''))"""
 
+
+def _number_sql(v: str) -> str:
+    """A JSON value, perhaps wrapped in an object, as a number; null for all else."""
+    w = f"case when json_type({v}) = 'OBJECT' then json_extract({v}, '$.value') else {v} end"
+    return f"case when json_type({w}) in ('UBIGINT', 'BIGINT', 'DOUBLE') then cast({w} as double) when json_type({w}) = 'VARCHAR' then try_cast(trim(json_extract_string({w}, '$')) as double) end"
+
+
+_PAYLOADS = f"""
+        with p as (select run_id, cast(payload as json) as j from experiment_runs where json_valid(payload)),
+        s0 as (select run_id, json_extract(j, '$.shadow_simulations') as x from p),
+        s1 as (select run_id, case when json_type(x) = 'VARCHAR' then cast(json_extract_string(x, '$') as json) else x end as x from s0),
+        s2 as (select run_id, case json_type(x) when 'OBJECT' then [x] when 'ARRAY' then cast(x as json[]) end as l from s1),
+        s3 as (select run_id, l, unnest(range(0, len(l))) as sim_no from s2),
+        s as (select run_id, sim_no, json_extract(l[sim_no + 1], '$.responses') as r, json_extract(l[sim_no + 1], '$.axis_scores') as a from s3),
+        a1 as (select run_id, sim_no, case when json_type(json_extract(a, '$.axes')) = 'OBJECT' then json_extract(a, '$.axes') else a end as a from s),
+        e as (
+            select run_id, sim_no, 'response' as kind, x.key as name, x.value as v from (select run_id, sim_no, unnest(map_entries(cast(r as map(varchar, json)))) as x from s where json_type(r) = 'OBJECT')
+            union all select run_id, sim_no, 'response', coalesce(json_extract_string(x, '$.item'), json_extract_string(x, '$.item_id')), coalesce(json_extract(x, '$.answer'), json_extract(x, '$.response')) from (select run_id, sim_no, unnest(cast(r as json[])) as x from s where json_type(r) = 'ARRAY')
+            union all select run_id, sim_no, 'axis', x.key, x.value from (select run_id, sim_no, unnest(map_entries(cast(a as map(varchar, json)))) as x from a1 where json_type(a) = 'OBJECT')
+            union all select run_id, sim_no, 'axis', json_extract_string(x, '$.axis'), json_extract(x, '$.score') from (select run_id, sim_no, unnest(cast(a as json[])) as x from a1 where json_type(a) = 'ARRAY')),
+        n as (select run_id, sim_no, kind, name, {_number_sql("v")} as n from e where name is not null)"""
+
 SQL = {
+    "p2_found": f"""{_LINKS},
+        walk as (select node, node as root, cast(0 as bigint) as depth from links where parent is null
+            union all select l.node, w.root, w.depth + 1 from walk w join links l on l.parent = w.node),
+        rest as (select node, parent from links where node not in (select node from walk)),
+        steps as (select node as start, node as at, [node] as path from rest
+            union all select s.start, r.parent, list_append(s.path, r.parent) from steps s join rest r on r.node = s.at where not list_contains(s.path, r.parent))
+        select node as candidate_id, root as root_id, depth from walk
+        union all select s.start, list_min(s.path[list_position(s.path, r.parent):]), cast(-1 as bigint) from steps s join rest r on r.node = s.at where list_contains(s.path, r.parent)""",
+    "p3_found": f"""{_PAYLOADS}
+        select distinct run_id, sim_no, kind, name, cast(case when kind = 'axis' then round(n * 1000) else n end as bigint) as value from n where isfinite(n) and (kind = 'axis' or (n between 1 and 5 and n = floor(n)))""",
     "p2_paths": f"""{_LINKS},
         walk as (select node, node as path, cast(0 as bigint) as depth from links where parent is null
             union all select l.node, w.path || '/' || l.node, w.depth + 1 from walk w join links l on l.parent = w.node)
