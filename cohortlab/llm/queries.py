@@ -148,7 +148,32 @@ QUERIES = {
     )
 }
 
+
+def _form_sql(text: str) -> str:
+    """The consistent form in SQL, as far as single characters and composition go: enough for these tables."""
+    wide = {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)}
+    spaces = dict.fromkeys([*map(chr, range(0x2000, 0x200B)), "\u00a0", "\u202f", "\u205f", "\u3000"], " ")
+    table = wide | spaces | lookalike.ALIKE | {"ё": "ë", "Ё": "Ë", "ї": "ï", "Ї": "Ï", "ѐ": "è"}
+    unseen = r"[\x{00AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]"
+    quote = lambda x: x.replace("'", "''")
+    out = f"translate(regexp_replace({text}, '{unseen}', '', 'g'), '{quote(''.join(table))}', '{quote(''.join(table.values()))}')"
+    for k, v in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        out = f"replace({out}, '{k}', '{v}')"
+    return f"nfc_normalize({out})"
+
+
+_GRAMS = "list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))"
 SQL = {
+    "p9_found": f"""
+        with d as (select doc_id, regexp_extract_all(lower({_form_sql("text")}), '[\\p{{L}}\\p{{N}}]+') as w from documents where length(text) > 0),
+        i as (select item_id, regexp_extract_all(lower({_form_sql("text")}), '[\\p{{L}}\\p{{N}}]+') as w from heldout_items where length(text) > 0),
+        dg as (select doc_id, unnest({_GRAMS}) as g from d where len(w) >= 13), ig as (select item_id, unnest({_GRAMS}) as g from i where len(w) >= 13)
+        select distinct doc_id, item_id from dg join ig using (g)""",
+    "p10_forms": f"with f as (select doc_id, text, {_form_sql('text')} as form from documents) select doc_id, form, text <> form as changed from f",
+    "p10_report": f"with f as (select source, text, {_form_sql('text')} as form from documents where text is not null) select source, count(*) as n_texts, count(*) filter (where text <> form) as n_changed, count(distinct text) as n_distinct_before, count(distinct form) as n_distinct_after from f group by source",
+    "p10_found": f"""
+        with f as (select distinct doc_id, text, {_form_sql("text")} as form from documents where length(text) > 0)
+        select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from f a join f b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text""",
     "p6_found": """
         with v as (select distinct persona_id, 'narrative' as field, cognitive_motivation_profile.narrative as t from personas
             union select distinct persona_id, 'family_context', demographics.family_context from personas),
