@@ -116,3 +116,37 @@ def hints_sql() -> str:
         text = " and ".join(f"{n} in ({', '.join(repr(v) for v in value)})" if op == "in" else f"{n} {op} {value}" for n, op, value in tests)
         parts.append(f"case when {text} then '{name}' end")
     return f"list_filter([{', '.join(parts)}], lambda x: x is not null)"
+
+
+#: The constraints of a slot that each writing stage is bound to.
+STAGES = {"cognition": ("grade_or_stage", "primary_drive"), "values": ("primary_drive",), "social": ("social_energy_band",), "health": ("stress_band",), "outcome": ("derived_performance_band",)}
+
+
+def stage_constraints() -> Column:
+    """Array of (stage, text): what a slot demands of each writing stage."""
+
+    def text(fields: tuple[str, ...]) -> Column:
+        own = [F.concat(F.lit(f"{f}="), F.coalesce(c(f"constraints.{f}"), F.lit("free"))) for f in fields]
+        return F.concat_ws("; ", *own, F.when(c("constraints.avoid_all_high_profile"), F.lit("not all high")), F.when(c("constraints.avoid_all_low_profile"), F.lit("not all low")))
+
+    return F.array(*[F.struct(F.lit(s).alias("stage"), text(f).alias("text")) for s, f in STAGES.items()])
+
+
+def stage_view(stage: str) -> list[str]:
+    """Nested fields of a persona that the writers of a later stage see; the scan reads no others."""
+    core = ["persona_id", "demographics.age", "demographics.grade_or_stage"]
+    more = {
+        "values": ["cognitive_motivation_profile.motivation_system.primary_drive"],
+        "social": ["cognitive_motivation_profile.motivation_system.primary_drive", "values_identity.core_values"],
+        "health": ["cognitive_motivation_profile.self_regulation.persistence", "social_creative_profile.social_energy"],
+        "outcome": ["cognitive_motivation_profile.self_regulation.planning_style", "mental_health_context.stress_load", "mental_health_context.resilience"],
+    }
+    return core + more.get(stage, [])
+
+
+def genome_addendum(genome: str) -> Column:
+    """A genome's style, scenario and signed axis shifts as one line for a writer; null for a genome without style."""
+    g = F.from_json(c(genome), "style string, scenario string, bias map<string,double>")
+    signed = F.transform(F.array_sort(F.map_entries(g["bias"])), lambda e: F.concat(e["key"], F.when(e["value"] < 0, " lower").when(e["value"] > 0, " higher").otherwise(" as is")))
+    shifts = F.when(F.size(F.map_keys(g["bias"])) > 0, F.array_join(signed, ", "))
+    return F.when(g["style"].isNotNull(), F.concat_ws("; ", F.concat(F.lit("style "), g["style"]), F.concat(F.lit("scenario "), g["scenario"]), shifts))

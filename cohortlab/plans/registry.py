@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortlab.plans import candidate_queries, diversity_queries, hierarchy_queries, persona_queries, survey_queries, text_queries
+from cohortlab.plans import candidate_queries, diversity_queries, hierarchy_queries, persona_queries, stage_queries, survey_queries, text_queries
 
-MODULES = (hierarchy_queries, persona_queries, survey_queries, diversity_queries, candidate_queries, text_queries)
+MODULES = (hierarchy_queries, persona_queries, survey_queries, diversity_queries, candidate_queries, text_queries, stage_queries)
 
 
 def queries() -> dict:
