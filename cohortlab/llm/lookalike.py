@@ -85,12 +85,14 @@ class Transducer:
         for c, image in single.items():
             if any(x in single for x in image):
                 raise Conflict(f"U+{ord(c):04X}: image {image!r} isn't final")
+        marks += [x for x, y in base.items() if y and all(map(unicodedata.combining, y))]  # marks of another width
         unseen = _class(x for x, y in base.items() if not y)
         mark = _class(marks)
         special = _class(x for x in single if not unicodedata.combining(x))
         self.single = single
-        self.need = re.compile(f"[{special}{mark}\rᄀ-ᇿ]")
-        self.cluster = re.compile(f"\r\n?|[ᄀ-ᇿ]+|[^{mark}{unseen}\r\n][{unseen}]*(?:[{mark}][{unseen}]*)+|[{special}]")
+        jamo = "\u1100-\u11ff\uffa1-\uffdc"  # parts of syllables, of either width
+        self.need = re.compile(f"[{special}{mark}\r{jamo}]")
+        self.cluster = re.compile(f"\r\n?|[\uac00-\ud7a3]?[{unseen}]*[{jamo}][{jamo}{unseen}]*|[^{mark}{unseen}\r\n][{unseen}]*(?:[{mark}][{unseen}]*)+|[{special}]")
         self.memo: dict[str, str] = {"\r\n": "\n", "\r": "\n"}
 
     def _compose(self, cluster: str) -> str:
