@@ -106,3 +106,8 @@ def test_against_brute_force(spark, form):
     want = {(d, i) for d, t in docs for k in range(len(words(t)) - 12) for i in grams.get(tuple(words(t)[k : k + 13]), ())}
     got = leakage.contains(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id bigint, text string"), "item_id", "text")
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and want
+
+
+@pytest.mark.parametrize(("a", "b"), [("ｶﾞ", "ガ"), ("ﾡ​ￂᆨ", "각"), ("각", "각"), ("가‍ᆨ", "각")])
+def test_syllables_of_any_width(form, a, b):
+    assert form(a) == b == form(b)
