@@ -207,7 +207,8 @@ def similar(rows: DataFrame, t: float, keyer: Keyer, *, min_words: int = 1, two_
     ``text``. Self-join: the smaller id first. Two sides: side 0 first. Copies of a text: up to ``expand`` of them are
     paired in full; of more copies each is linked to the smallest id of its text and, if the text has at most ``expand``
     similar texts, to the smallest id of each of those; the smallest ids are always linked. So pairs grow with the rows
-    and no link between different texts is lost.
+    and no link between different texts is lost. On two sides a copy has no copy of its own side to be linked to, so
+    each is linked to the smallest id of every similar text, however many these are.
     Null ids and texts, and texts of fewer than ``min_words`` words or none, match nothing; repeated rows count once.
     """
     spark = rows.sparkSession
@@ -238,16 +239,20 @@ def similar(rows: DataFrame, t: float, keyer: Keyer, *, min_words: int = 1, two_
     good = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(t, min_words, more), "a bigint, b bigint, similarity double, cover_a double, cover_b double"), "good")
     drop(texts), drop(pairs)
     side = lambda x: groups.select(F.col("ref").alias(x), F.col("n").alias(f"n{x}"), F.col("first").alias(f"f{x}"), *(["space"] if x == "a" else []))
-    links = good.select("a").union(good.where("a <> b").select("b")).groupBy("a").agg(F.count("*").alias("links"))
-    deg = lambda x: links.select(F.col("a").alias(x), F.col("links").alias(f"l{x}"))
-    g = good.join(side("a"), "a").join(side("b"), "b").join(deg("a"), "a").join(deg("b"), "b")
+    g = good.join(side("a"), "a").join(side("b"), "b")
+    few = {"a": F.lit(True), "b": F.lit(True)}
+    if not two_sides:
+        links = good.select("a").union(good.where("a <> b").select("b")).groupBy("a").agg(F.count("*").alias("links"))
+        deg = lambda x: links.select(F.col("a").alias(x), F.col("links").alias(f"l{x}"))
+        g = g.join(deg("a"), "a").join(deg("b"), "b")
+        few = {"a": (F.col("la") <= expand) | (F.col("a") == F.col("b")), "b": F.col("lb") <= expand}
     small = (F.col("na") <= expand) & (F.col("nb") <= expand)
     m = lambda x, y: members.select(F.col("ref").alias(x), F.col("id").alias(y))
     rest = ["space", "similarity", "cover_a", "cover_b"]
     full = g.where(small).join(m("a", "ia"), "a").join(m("b", "ib"), "b").select("ia", "ib", *rest)
-    # Many copies: each is linked to the first id of every other text if those are few, the first id always.
-    left = g.where(~small & ((F.col("la") <= expand) | (F.col("a") == F.col("b")))).join(m("a", "ia"), "a").select("ia", F.col("fb").alias("ib"), *rest)
-    right = g.where(~small & (F.col("lb") <= expand)).join(m("b", "ib"), "b").select(F.col("fa").alias("ia"), "ib", *rest)
+    # Many copies: each is linked to the first id of every other text (self-join: if those are few), the first id always.
+    left = g.where(~small & few["a"]).join(m("a", "ia"), "a").select("ia", F.col("fb").alias("ib"), *rest)
+    right = g.where(~small & few["b"]).join(m("b", "ib"), "b").select(F.col("fa").alias("ia"), "ib", *rest)
     firsts = g.where(~small).select(F.col("fa").alias("ia"), F.col("fb").alias("ib"), *rest)
     out = full.unionByName(left).unionByName(right).unionByName(firsts).where("ia <> ib")
     if not two_sides:

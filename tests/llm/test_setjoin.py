@@ -128,6 +128,20 @@ def test_sorted_runs_are_exact(t):
     assert len(near) > 100 and all(own[i] & own[j] for i, j in near)
 
 
+@pytest.mark.parametrize("many", ["test", "train"])
+def test_copies_with_many_partners_keep_all_links(spark, many):
+    other = {"test": "train", "train": "test"}[many]
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(f"c{i:02d}", base, many, "X") for i in range(70)] + [(f"v{i:02d}", base + f" new{i}", other, "X") for i in range(70)]
+    df = spark.createDataFrame(rows, "item_id string, text string, split string, instrument string")
+    found = overlap.across(df, "item_id", "text", "split")
+    got = [(r["id_train"], r["id_held"]) for r in found.collect()]
+    want = {(f"c{i:02d}", f"v{j:02d}") for i in range(70) for j in range(70)}
+    assert {(min(p), max(p)) for p in got} == want and len(got) == len(want)
+    r = overlap.overlap_report(df, found, "item_id", "split", "instrument").collect()
+    assert [(x["n_items"], x["n_overlapping"], x["share"], x["mean_cover"]) for x in r] == [(70, 70, 1.0, 1.0 if many == "test" else round(40 / 41, 6))]
+
+
 def test_chain():
     a = "one two three four five six seven eight nine ten".split()
     assert overlap.chain(a, a) == (1.0, 1.0)
