@@ -36,6 +36,9 @@ DRAWN = {*map(chr, range(0x600, 0x606)), "۝", "܏", "࢐", "࢑", "࣢", "\U000
 #: Invisible though no format characters: joiner of marks, fillers, variation selectors.
 UNSEEN = {"͏", "ᅟ", "ᅠ", "឴", "឵", "ㅤ", "ﾠ", *map(chr, range(0x180B, 0x180E)), *map(chr, range(0xFE00, 0xFE10))}
 
+#: Ids of a large form that are paired in one group.
+BLOCK = 1024
+
 
 class Conflict(ValueError):
     """Two rules give one character different images, or an image isn't in its final form."""
@@ -172,25 +175,21 @@ def alike(df: DataFrame, id: str, text: str, expand: int = 64) -> DataFrame:
     """``id_a, id_b`` (smaller first): texts of one form that differ in their characters.
 
     Exact copies are no pair. In a form with at most ``expand`` ids every pair of different texts is given. In a larger
-    form every id is paired with the smallest id of each *other* text while these are at most ``expand``, else with that
-    of the form's leading text (or the second one, for copies of the leading text). So pairs grow with the rows, copies
-    aren't multiplied by copies, and no text loses its link to the form. A repeated (id, text) counts once; one id with
-    two texts is no pair with itself.
+    form every id is paired with the smallest id of each *other* text, however many these are. So copies aren't
+    multiplied by copies, and no link between different texts is lost: ids of texts without copies give every pair. A
+    large form's ids are taken in blocks of about ``BLOCK``, so that no task holds the pairs of a whole form. A repeated
+    (id, text) counts once; one id with two texts is no pair with itself.
     """
     rows = materialize(classes(df, id, text).distinct(), "forms")  # read several times below, rewritten once
     texts = rows.groupBy("class", "raw").agg(F.min("id").alias("first"), F.count("id").alias("n"))
-    heads = texts.groupBy("class").agg(F.count("*").alias("texts"), F.sum("n").alias("ids"), F.min(F.struct("first", "raw")).alias("lead")).where("texts > 1")
+    heads = texts.groupBy("class").agg(F.count("*").alias("texts"), F.sum("n").alias("ids")).where("texts > 1")
     some = rows.join(heads, "class")
     small = some.where(F.col("ids") <= expand)
     full = small.select("class", "raw", F.col("id").alias("a")).join(small.select("class", F.col("raw").alias("raw_b"), F.col("id").alias("b")), "class").where("raw <> raw_b and a < b").select("a", "b")
-    large = some.where(F.col("ids") > expand)
-    other = texts.join(heads.where((F.col("ids") > expand) & (F.col("texts") <= expand)).select("class"), "class", "left_semi").select("class", F.col("raw").alias("raw_b"), F.col("first").alias("b"))
-    star = large.where(F.col("texts") <= expand).select("class", "raw", F.col("id").alias("a")).join(other, "class").where("raw <> raw_b").select("a", "b")
-    many = large.where(F.col("texts") > expand)
-    second = texts.join(heads.where(F.col("texts") > expand).select("class", "lead"), "class").where("raw <> lead.raw").groupBy("class").agg(F.min("first").alias("second"))
-    lead = many.where("raw <> lead.raw").select(F.col("id").alias("a"), F.col("lead.first").alias("b"))
-    leads = many.where("raw = lead.raw").join(second, "class").select(F.col("id").alias("a"), F.col("second").alias("b"))
-    rest = star.unionByName(lead).unionByName(leads).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    wide = heads.where(F.col("ids") > expand).select("class", F.ceil(F.col("ids") / BLOCK).cast("int").alias("blocks"))
+    large = rows.join(wide, "class").select("class", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "raw", F.col("id").alias("a"))
+    other = texts.join(wide, "class").select("class", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("raw").alias("raw_b"), F.col("first").alias("b"))
+    rest = large.join(other, ["class", "block"]).where("raw <> raw_b and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return full.unionByName(rest).distinct().select(F.col("a").alias(f"{id}_a"), F.col("b").alias(f"{id}_b"))
 
 

@@ -60,6 +60,16 @@ def test_large_forms_stay_linear_and_whole(spark, variants):
     assert seen == set(range(400))  # no text lost its link
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_large_forms_keep_every_link(spark, monkeypatch, block):
+    monkeypatch.setattr(lookalike, "BLOCK", block)
+    spellings = [(i, "ab" + "\u200b" * i) for i in range(65)]  # no copies: all pairs
+    copies = [(100 + i, "cd" + "\u200b" * (i if i < 70 else 0)) for i in range(90)]  # 21 copies of one of 70 texts
+    got = [tuple(r) for r in lookalike.alike(spark.createDataFrame(spellings + copies, "id bigint, text string"), "id", "text").collect()]
+    pairs = {(i, j) for j in range(65) for i in range(j)} | {(100 + i, 100 + j) for j in range(70) for i in range(j)}
+    assert set(got) == pairs | {(100 + j, 100 + i) for i in range(70, 90) for j in range(1, 70)} and len(got) == len(set(got))
+
+
 def test_report(spark):
     df = spark.createDataFrame([(1, "ａ", "s"), (2, "a", "s"), (3, "b", None), (4, None, "s")], "id bigint, text string, source string")
     got = {r["source"]: (r["n_texts"], r["n_changed"], r["n_distinct_before"], r["n_distinct_after"]) for r in lookalike.report(df, "id", "text", "source").collect()}
