@@ -25,6 +25,11 @@ def near_pairs(rows: DataFrame, t: float = 0.8, min_words: int = 12) -> DataFram
     return setjoin.similar(rows.withColumn("side", F.lit(0)), t, band_keyer, min_words=min_words)
 
 
+def near_profiles(rows: DataFrame, t: float = 0.8, min_words: int = 12) -> tuple[DataFrame, DataFrame]:
+    """:func:`near_pairs` as profiles and their pairs, from which pairs of ids can be counted; see :func:`setjoin.profiles`."""
+    return setjoin.profiles(rows.withColumn("side", F.lit(0)), t, band_keyer, min_words=min_words)
+
+
 def groups(pairs: DataFrame) -> DataFrame:
     """``space, id, class_id, links``: connected groups of the pairs; the smallest id names a group.
 

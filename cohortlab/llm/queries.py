@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.llm import dispersion, leakage, lookalike, neardup, overlap, packing, topn, truncation
+from cohortlab.workspace import materialize
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -73,9 +74,18 @@ def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_rates(spark: SparkSession, sf: str) -> DataFrame:
     """Share of near-duplicate pairs of narratives within each run, beside the rate that its evaluations report."""
-    near = neardup.near_pairs(_near_rows(spark, sf)).where("space = 'narrative'")
+    ids, similar = neardup.near_profiles(_near_rows(spark, sf).where("space = 'narrative'"))
     runs = _t(spark, sf, "personas").where("cognitive_motivation_profile.narrative is not null").select("persona_id", "run_id").distinct()
-    pairs = near.join(runs.select(F.col("persona_id").alias("id_a"), "run_id"), "id_a").join(runs.select(F.col("persona_id").alias("id_b"), F.col("run_id").alias("run_b")), "id_b").where("run_id = run_b").groupBy("run_id").agg(F.count("*").alias("pairs"))
+    held = ids.join(runs, F.col("id") == F.col("persona_id")).where("run_id is not null")
+    copies = materialize(held.groupBy("run_id", "profile").agg(F.count("*").alias("n")), "copies")
+    spread = copies.groupBy("profile").agg(F.count("*").alias("runs"))
+    own = similar.where("p = q").join(copies, F.col("p") == F.col("profile")).select("run_id", F.expr("n * (n - 1) div 2").alias("pairs"))
+    # Each pair goes to the runs of the profile that is in fewer of them.
+    one = lambda x: spread.select(F.col("profile").alias(x), F.col("runs").alias(f"runs_{x}"))
+    turned = similar.where("p <> q").join(one("p"), "p").join(one("q"), "q").select(F.expr("if(runs_p <= runs_q, p, q)").alias("x"), F.expr("if(runs_p <= runs_q, q, p)").alias("y"))
+    at = lambda x: copies.select("run_id", F.col("profile").alias(x), F.col("n").alias(f"n_{x}"))
+    across = turned.join(at("x"), "x").join(at("y"), ["run_id", "y"]).select("run_id", F.expr("n_x * n_y").alias("pairs"))
+    pairs = own.unionByName(across).groupBy("run_id").agg(F.sum("pairs").alias("pairs"))
     sizes = runs.groupBy("run_id").agg(F.count("*").cast("bigint").alias("n_personas"))
     told = _t(spark, sf, "evaluations").groupBy("run_id").agg(F.max_by("near_duplicate_rate", "evaluated_at").alias("reported"))
     n = F.col("n_personas")

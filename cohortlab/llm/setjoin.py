@@ -200,17 +200,8 @@ def prefix_keyer(t: float, order: dict[int, int]) -> Keyer:
     return keyer
 
 
-def similar(rows: DataFrame, t: float, keyer: Keyer, *, min_words: int = 1, two_sides: bool = False, more: Callable | None = None, expand: int = 64, hot: int = HOT) -> DataFrame:
-    """``id_a, id_b, space, similarity, cover_a, cover_b``: ids whose texts have similarity >= ``t``.
-
-    ``rows`` has ``id`` (string), ``space`` (string; only texts of one space are compared), ``side`` (0 or 1) and
-    ``text``. Self-join: the smaller id first. Two sides: side 0 first. Copies of a text: up to ``expand`` of them are
-    paired in full; of more copies each is linked to the smallest id of its text and, if the text has at most ``expand``
-    similar texts, to the smallest id of each of those; the smallest ids are always linked. So pairs grow with the rows
-    and no link between different texts is lost. On two sides a copy has no copy of its own side to be linked to, so
-    each is linked to the smallest id of every similar text, however many these are.
-    Null ids and texts, and texts of fewer than ``min_words`` words or none, match nothing; repeated rows count once.
-    """
+def _matched(rows: DataFrame, t: float, keyer: Keyer, min_words: int, two_sides: bool, more: Callable | None, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verified pairs of text hashes (in a self-join each text with copies is paired with itself), ids of each text, texts with their numbers of ids."""
     spark = rows.sparkSession
     rows = rows.where("id is not null and length(text) > 0").withColumn("side", F.col("side").cast("tinyint"))
     rows = rows.withColumn("ref", F.xxhash64("space", "side", "text")).withColumn("room", F.xxhash64("space"))
@@ -238,6 +229,21 @@ def similar(rows: DataFrame, t: float, keyer: Keyer, *, min_words: int = 1, two_
     both = pairs.join(texts.select(F.col("ref").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("ref").alias("b"), F.col("text").alias("text_b")), "b")
     good = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(t, min_words, more), "a bigint, b bigint, similarity double, cover_a double, cover_b double"), "good")
     drop(texts), drop(pairs)
+    return good, members, groups
+
+
+def similar(rows: DataFrame, t: float, keyer: Keyer, *, min_words: int = 1, two_sides: bool = False, more: Callable | None = None, expand: int = 64, hot: int = HOT) -> DataFrame:
+    """``id_a, id_b, space, similarity, cover_a, cover_b``: ids whose texts have similarity >= ``t``.
+
+    ``rows`` has ``id`` (string), ``space`` (string; only texts of one space are compared), ``side`` (0 or 1) and
+    ``text``. Self-join: the smaller id first. Two sides: side 0 first. Copies of a text: up to ``expand`` of them are
+    paired in full; of more copies each is linked to the smallest id of its text and, if the text has at most ``expand``
+    similar texts, to the smallest id of each of those; the smallest ids are always linked. So pairs grow with the rows
+    and no link between different texts is lost. On two sides a copy has no copy of its own side to be linked to, so
+    each is linked to the smallest id of every similar text, however many these are.
+    Null ids and texts, and texts of fewer than ``min_words`` words or none, match nothing; repeated rows count once.
+    """
+    good, members, groups = _matched(rows, t, keyer, min_words, two_sides, more, hot)
     side = lambda x: groups.select(F.col("ref").alias(x), F.col("n").alias(f"n{x}"), F.col("first").alias(f"f{x}"), *(["space"] if x == "a" else []))
     g = good.join(side("a"), "a").join(side("b"), "b")
     few = {"a": F.lit(True), "b": F.lit(True)}
@@ -259,3 +265,19 @@ def similar(rows: DataFrame, t: float, keyer: Keyer, *, min_words: int = 1, two_
         flip = F.col("ia") > F.col("ib")
         out = out.select(F.least("ia", "ib").alias("ia"), F.greatest("ia", "ib").alias("ib"), "space", "similarity", F.when(flip, F.col("cover_b")).otherwise(F.col("cover_a")).alias("cover_a"), F.when(flip, F.col("cover_a")).otherwise(F.col("cover_b")).alias("cover_b"))
     return out.dropDuplicates(["ia", "ib", "space"]).withColumnsRenamed({"ia": "id_a", "ib": "id_b"})
+
+
+def profiles(rows: DataFrame, t: float, keyer: Keyer, *, min_words: int = 1, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """``space, id, profile`` of all ids with a similar id, and ``p, q`` (p <= q): profiles whose ids are similar.
+
+    Ids with the same texts have one profile, so pairs of ids can be counted in full from pairs of profiles and numbers
+    of ids, and copies are never multiplied. ``p = q`` stands for the pairs of ids of one profile.
+    """
+    good, members, _ = _matched(rows, t, keyer, min_words, False, None, hot)
+    linked = good.select(F.col("a").alias("ref")).union(good.select("b")).distinct()
+    own = members.join(linked, "ref", "left_semi").groupBy("space", "id").agg(F.sort_array(F.collect_set("ref")).alias("refs"))  # the texts of one id
+    own = materialize(own.select("space", "id", "refs", F.xxhash64("refs").alias("profile")), "profiles")
+    held = own.select("profile", F.explode("refs").alias("ref")).distinct()
+    of = lambda x, y: held.select(F.col("ref").alias(x), F.col("profile").alias(y))
+    pairs = good.select("a", "b").join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).distinct()
+    return own.select("space", "id", "profile"), materialize(pairs, "similar")

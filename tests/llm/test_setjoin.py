@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 import pytest
-from cohortlab.llm import neardup, overlap, setjoin, sigtree
+from cohortlab.llm import neardup, overlap, queries, setjoin, sigtree
 from pyspark.sql import functions as F
 
 W = re.compile(r"[^\W_]+")
@@ -67,6 +67,16 @@ def test_many_copies_stay_linear(spark):
     assert {(f"c{i:03d}", f"v{k}") for i in range(200) for k in range(3)} <= got and len(got) < 1000
 
 
+def test_rates_count_every_copy(spark, tmp_path):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(f"c{i:02d}", "a" if i < 10 else "b", base) for i in range(75)] + [("v", "b", base + " new"), ("v2", "a", base + " new"), ("x", "a", base.replace("w", "x"))]
+    rows += [("two", "b", base), ("two", "b", base + " old"), ("c00", "a", base), ("n", "a", None)]
+    spark.createDataFrame([(i, r, (t,), (None,)) for i, r, t in rows], "persona_id string, run_id string, cognitive_motivation_profile struct<narrative: string>, demographics struct<family_context: string>").write.parquet(f"{tmp_path}/personas.parquet")
+    spark.sql("select 'a' as run_id, 0.5d as near_duplicate_rate, timestamp'2024-01-01' as evaluated_at").write.parquet(f"{tmp_path}/evaluations.parquet")
+    got = {r["run_id"]: (r["n_personas"], r["n_pairs"], r["rate"], r["reported"]) for r in queries.p6_rates(spark, str(tmp_path)).collect()}
+    assert got == {"a": (12, 11 * 10 // 2, round(55 / 66, 6), 0.5), "b": (67, 67 * 66 // 2, 1.0, None)}
+
+
 def test_groups(spark):
     p = spark.createDataFrame([("s", f"a{i:02d}", f"a{i + 1:02d}") for i in range(20)] + [("s", "x", "y"), ("t", "a00", "x")], "space string, id_a string, id_b string")
     got = {(r["space"], r["id"]): (r["class_id"], r["links"]) for r in neardup.groups(p).collect()}
