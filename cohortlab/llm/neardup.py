@@ -54,3 +54,15 @@ def groups(pairs: DataFrame) -> DataFrame:
     return labels.join(degree, ["space", "x"]).select("space", F.col("x").alias("id"), F.col("c").alias("class_id"), "links")
 
 
+def linked(rows: DataFrame, t: float = 0.8, min_words: int = 12) -> DataFrame:
+    """``space, id, class_id, links`` of all ids with a near copy; ``links`` counts every similar id, whatever the copies."""
+    ids, similar = near_profiles(rows, t, min_words)
+    size = materialize(ids.groupBy("space", "profile").agg(F.count("*").alias("n"), F.min("id").alias("first")), "sizes")
+    of = lambda x, *more: size.select(F.col("profile").alias(x), F.col("n").alias(f"n{x}"), F.col("first").alias(f"f{x}"), *more)
+    pairs = materialize(similar.where("p <> q").join(of("p", "space"), "p").join(of("q"), "q"), "links")
+    # The first id of a profile stands for all its ids.
+    classes = groups(pairs.select("space", F.col("fp").alias("id_a"), F.col("fq").alias("id_b"))).select("space", F.col("id").alias("first"), "class_id")
+    others = pairs.select(F.col("p").alias("profile"), F.col("nq").alias("n")).unionByName(pairs.select(F.col("q").alias("profile"), F.col("np").alias("n"))).groupBy("profile").agg(F.sum("n").alias("others"))
+    each = size.join(classes, ["space", "first"], "left").join(others, "profile", "left")
+    each = each.select("space", "profile", F.coalesce("class_id", "first").alias("class_id"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).cast("bigint").alias("links"))
+    return ids.join(each, ["space", "profile"]).select("space", "id", "class_id", "links")

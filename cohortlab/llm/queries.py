@@ -69,7 +69,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Group and number of links of every persona text that has a near copy."""
-    return neardup.groups(neardup.near_pairs(_near_rows(spark, sf))).select(F.col("space").alias("field"), F.col("id").alias("persona_id"), "class_id", "links")
+    return neardup.linked(_near_rows(spark, sf)).select(F.col("space").alias("field"), F.col("id").alias("persona_id"), "class_id", "links")
 
 
 def p6_rates(spark: SparkSession, sf: str) -> DataFrame:

@@ -67,6 +67,23 @@ def test_many_copies_stay_linear(spark):
     assert {(f"c{i:03d}", f"v{k}") for i in range(200) for k in range(3)} <= got and len(got) < 1000
 
 
+def test_links_count_every_copy(spark):
+    base = " ".join(f"h{i}" for i in range(40))
+    rows = [(f"p{i:03d}", "s", x) for i, x in enumerate(texts(random.Random(6), 40))] + [(f"c{i:02d}", "s", base) for i in range(70)]
+    rows += [("v", "s", base + " new"), ("c00", "s", rows[0][2]), ("d", "t", base), ("e", "t", base)]
+    got = {(r["space"], r["id"]): (r["class_id"], r["links"]) for r in neardup.linked(spark.createDataFrame(rows, "id string, space string, text string")).collect()}
+    near = {k: {b[0] for b in rows for a in rows if a[:2] == k and b[0] != k[0] and b[1] == k[1] and sim(a[2], b[2]) >= 0.8} for k in {r[:2] for r in rows}}
+
+    def least(k):
+        seen, todo = {k[0]}, [k[0]]
+        while todo:
+            todo = [y for x in todo for y in near[x, k[1]] - seen if not seen.add(y)]
+        return min(seen)
+
+    assert got == {(k[1], k[0]): (least(k), len(v)) for k, v in near.items() if v}
+    assert got["s", "c05"][1] == 70
+
+
 def test_rates_count_every_copy(spark, tmp_path):
     base = " ".join(f"w{i}" for i in range(40))
     rows = [(f"c{i:02d}", "a" if i < 10 else "b", base) for i in range(75)] + [("v", "b", base + " new"), ("v2", "a", base + " new"), ("x", "a", base.replace("w", "x"))]
