@@ -1,8 +1,9 @@
 """A varied subset of given size: max-sum dispersion by local search over composable core-sets.
 
 Space is cut into regions (a grid with at most ``regions`` cells). Every block of rows keeps, for each region, at most
-``keep`` points that are farthest from each other; core-sets of core-sets are core-sets, so blocks and partitions merge
-without limit and the last step holds at most ``regions * keep`` points. The search starts with one point of every
+``k`` (or ``keep``, if more) points that are farthest from each other; core-sets of core-sets are core-sets, so blocks and
+partitions merge without limit. The last step searches ``keep`` of them a region, more only where that gives fewer than
+``k`` in all. The search starts with one point of every
 occupied region and the farthest others, then swaps a selected for an unselected point while the total pairwise distance
 grows. A swap may neither empty a region nor fill one above its share: plain max-sum dispersion would take the corners
 only, and the crowded regions would rule by number.
@@ -123,12 +124,18 @@ def _cores(keep: int, block: int):
     return run
 
 
-def _search(k: int):
+def _search(k: int, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         for kind in sorted({r[1] for r in rows}):
             own = sorted(r for r in rows if r[1] == kind)
             points, cells = np.array([r[3] for r in own], np.float64), np.array([r[2] for r in own], np.int64)
+            # As few points a region as give k in all, but no fewer than keep: concentrated points lose none of the k.
+            count, most = np.unique(cells, return_counts=True)[1], keep
+            while most < k and np.minimum(count, most).sum() < k:
+                most += 1
+            pick = np.sort(core(np.array([r[0] for r in own], object).astype(str), cells, points, most))
+            own, points, cells = [own[i] for i in pick], points[pick], cells[pick]
             yield _table([r[0] for r in own], [kind] * len(own), cells, points, local_search(points, cells, k))
 
     return run
@@ -165,9 +172,9 @@ def varied(points: DataFrame, k: int, dims: int, *, regions: int | None = None,
     spark = points.sparkSession
     regions = regions or max(1, k // 2)  # so that every occupied region finds a place
     cells = regions_of(points.where("id is not null and point is not null"), dims, regions).select("id", "kind", "cell", "point")
-    cores = cells.mapInArrow(_cores(keep, block), "id string, kind string, cell bigint, point array<double>")
-    merged = cores.repartition(width(spark), "kind", "cell").mapInArrow(_cores(keep, block), "id string, kind string, cell bigint, point array<double>")
-    return merged.repartition(1).mapInArrow(_search(k), "id string, kind string, cell bigint, point array<double>")
+    cores = cells.mapInArrow(_cores(max(keep, k), block), "id string, kind string, cell bigint, point array<double>")
+    merged = cores.repartition(width(spark), "kind", "cell").mapInArrow(_cores(max(keep, k), block), "id string, kind string, cell bigint, point array<double>")
+    return merged.repartition(1).mapInArrow(_search(k, keep), "id string, kind string, cell bigint, point array<double>")
 
 
 def variety_report(points: DataFrame, chosen: DataFrame, dims: int, regions: int) -> DataFrame:

@@ -103,3 +103,12 @@ def test_axis_point(spark):
     from pyspark.sql import functions as F
 
     assert [r[0] for r in df.select(dispersion.axis_point(F.col("m"), ["axis_one", "axis_two"])).collect()] == [[0.2, 0.5], [0.5, 0.5], [0.5, 0.5]]
+
+
+@pytest.mark.parametrize("cells", [1, 2, 6])
+def test_few_regions_still_give_k(cells):
+    rng = np.random.default_rng(1)
+    batch = dispersion._table([f"i{i:04d}" for i in range(600)], ["s"] * 600, np.array([0 if i else cells - 1 for i in range(600)]) if cells == 2 else np.arange(600) % cells, rng.random((600, 3)), range(600))
+    held = list(dispersion._cores(max(16, 100), 250)(iter([batch])))
+    got = next(dispersion._search(100, 16)(iter(held)))
+    assert got.num_rows == 100 and len(set(got.column(0).to_pylist())) == 100 and len(set(got.column(2).to_pylist())) == cells
