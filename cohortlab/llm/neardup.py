@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.llm import setjoin, sigtree
-from cohortlab.workspace import materialize
+from cohortlab.workspace import drop, materialize
 
 #: Bands and rows. A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 5) ** 22 = 0.00016, one of 0.85
 #: with 0.000006; verification is exact, so these are the only misses.
@@ -20,9 +20,9 @@ def band_keyer(flat: np.ndarray, offsets: np.ndarray, sets: np.ndarray, bounds:
     return keys.reshape(-1), np.arange(len(keys) + 1) * BANDS
 
 
-def near_pairs(rows: DataFrame, t: float = 0.8, min_words: int = 12) -> DataFrame:
-    """Pairs of ids of one space with similarity >= ``t``; ``rows`` as in :func:`setjoin.similar`, without sides."""
-    return setjoin.similar(rows.withColumn("side", F.lit(0)), t, band_keyer, min_words=min_words)
+def near_pairs(rows: DataFrame, t: float = 0.8, min_words: int = 12, copies: int | None = setjoin.COPIES) -> DataFrame:
+    """Pairs of ids of one space with similarity >= ``t``; ``rows``, ``copies`` and result as in :func:`setjoin.similar`, without sides."""
+    return setjoin.similar(rows.withColumn("side", F.lit(0)), t, band_keyer, min_words=min_words, copies=copies)
 
 
 def near_profiles(rows: DataFrame, t: float = 0.8, min_words: int = 12) -> tuple[DataFrame, DataFrame]:
@@ -39,16 +39,19 @@ def groups(pairs: DataFrame) -> DataFrame:
     both = pairs.select("space", F.col("id_a").alias("x"), F.col("id_b").alias("y")).unionByName(pairs.select("space", F.col("id_b").alias("x"), F.col("id_a").alias("y"))).distinct()
     edges = materialize(both, "edges")
     labels = edges.groupBy("space", "x").agg(F.least(F.col("x"), F.min("y")).alias("c"))
-    before = None
+    before, old = None, []
     while True:
         labels = materialize(labels.select("space", "x", "c"), "labels")
+        for x in old:
+            drop(x)
         state = labels.agg(F.sum(F.xxhash64("space", "x", "c").cast("decimal(38,0)"))).first()[0]
         if state == before:
             break
         before = state
         seen = edges.join(labels.select("space", F.col("x").alias("y"), F.col("c").alias("cy")), ["space", "y"]).groupBy("space", "x").agg(F.min("cy").alias("low"))
         step = labels.join(seen, ["space", "x"]).select("space", "x", F.least("c", "low").alias("c"))
-        step = materialize(step, "step")
+        step, old = materialize(step, "step"), [labels]
+        old.append(step)
         labels = step.join(step.select("space", F.col("x").alias("c"), F.col("c").alias("cc")), ["space", "c"], "left").select("space", "x", F.least("c", "cc").alias("c"))
     degree = edges.groupBy("space", "x").agg(F.count("*").alias("links"))
     return labels.join(degree, ["space", "x"]).select("space", F.col("x").alias("id"), F.col("c").alias("class_id"), "links")

@@ -4,13 +4,12 @@ Every record keeps the minima of its rolling word-gram hashes over sliding windo
 ``GRAM + WINDOW - 1`` words share a fingerprint. Grams that are frequent in a bounded sample come last in the order of
 the minima, so a window is rarely represented by a stock phrase; the order is the same for all records.
 
-Records whose words were put into another order share no such run. They, and edits too dense for a window, are met by
-the same kind of fingerprint over each record's distinct words in hash order, which is exact: with similarity t, ``c``
-common and ``d`` private words c >= d t / (1 - t), so the private words can't part the common ones everywhere into runs
-of fewer than t / (1 - t) words (3 for 0.75), and every run of that many words is a fingerprint. Records of both sides meet in the blocks of their fingerprints, where
-pairs that can't reach the similarity are dropped by bitmap and size; a fingerprint that very many records share is
-thus no product of its sides. For the remaining pairs all common grams are chained in one order, the chain is extended
-word by word, and the covered part of each record is reported.
+Records whose words were put into another order share no such run, nor do very densely edited ones. They are met by a
+second family of keys, the rarest words of each record, which is exact: two sets of similarity t share one of the first
+n - ceil(t n) + 1 words in any order. Records of both sides meet in the blocks of their keys, where pairs that can't
+reach the similarity are dropped by bitmap and size; a key that very many records share is thus no product of its sides.
+For the pairs found all common grams are chained in one order, the chain is extended word by word, and the covered part
+of each record is reported (``cover=True``; the similarity doesn't need it).
 """
 
 from __future__ import annotations
@@ -22,21 +21,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.llm import setjoin
-from cohortlab.llm.words import inside, mix, rolling
+from cohortlab.llm.words import inside, mix, once, rolling
 
-GRAM, WINDOW = 3, 4
+GRAM, WINDOW = 3, 8
 #: Highest bit of a gram hash, set for frequent grams: they are chosen only where a window has no other.
 COMMON = np.uint64(1 << 63)
-#: Keeps fingerprints of sorted words apart from those of texts.
-SORTED = np.uint64(0xA0761D6478BD642F)
+#: Keeps keys of words apart from fingerprints of grams.
+PREFIX = np.uint64(0xA0761D6478BD642F)
 
 
-def winnow_keyer(common: dict[int, int], t: float):
-    """Keyer of the minima of each window of ``WINDOW`` word grams, and of the runs of words in hash order for ``t``.
+def winnow_keyer(common: dict[int, int], order: dict[int, int], t: float):
+    """Keyer of the minima of each window of ``WINDOW`` word grams, and of the prefix words for ``t``.
 
-    A text too short for a window has all its grams. Small sets have shorter runs, too, down to half the length.
+    ``common`` and ``order`` are counts of grams and of words in a sample. A text too short for a window has all its grams.
     """
-    run = max(1, int(t / (1 - t) + 1e-9))
+    prefix = setjoin.prefix_keyer(t, order)
     known = np.array(sorted(common), np.uint64)
 
     def ranked(grams: np.ndarray) -> np.ndarray:
@@ -62,17 +61,10 @@ def winnow_keyer(common: dict[int, int], t: float):
             s, e = offsets[i], offsets[i + 1]
             own = ranked(rolling(flat[s:e], min(GRAM, e - s)))
             keys.append(own), owner.append(np.full(len(own), i))
-        for size, most in ((run, None), (-(-run // 2), run * run)):
-            sorted_runs = mix(rolling(sets, size) + SORTED)
-            fits, who = inside(bounds, size, len(sorted_runs))
-            if most is not None:
-                fits &= np.diff(bounds)[who] <= most
-            keys.append(sorted_runs[fits]), owner.append(who[fits])
-        for i in np.flatnonzero(np.diff(bounds) < -(-run // 2)):
-            keys.append(mix(rolling(sets[bounds[i] : bounds[i + 1]], int(bounds[i + 1] - bounds[i])) + SORTED)), owner.append(np.full(1, i))
-        k, o = np.concatenate(keys), np.concatenate(owner)
-        pairs = np.unique(np.rec.fromarrays([o, k]))
-        return mix(np.asarray(pairs["f1"])), np.concatenate([[0], np.cumsum(np.bincount(pairs["f0"], minlength=n))]).astype(np.int64)
+        words, ends = prefix(flat, offsets, sets, bounds)
+        keys.append(words ^ PREFIX), owner.append(np.repeat(np.arange(n), np.diff(ends)))
+        k, o = once(np.concatenate(keys), np.concatenate(owner))
+        return mix(k), np.concatenate([[0], np.cumsum(np.bincount(o, minlength=n))]).astype(np.int64)
 
     return keyer
 
@@ -116,17 +108,18 @@ def chain(a: list[str], b: list[str], gram: int = GRAM) -> tuple[float, float]:
     return sum(ca) / max(1, len(a)), sum(cb) / max(1, len(b))
 
 
-def across(df: DataFrame, id: str, text: str, split: str, train: str = "train", held: tuple[str, ...] = ("validation", "test"), t: float = 0.75) -> DataFrame:
-    """``id_train, id_held, similarity, cover_train, cover_held`` for records of the two sides with similarity >= ``t``.
+def across(df: DataFrame, id: str, text: str, split: str, train: str = "train", held: tuple[str, ...] = ("validation", "test"), t: float = 0.75, cover: bool = True, copies: int | None = setjoin.COPIES) -> DataFrame:
+    """``id_train, id_held, similarity, cover_train, cover_held, link`` for records of the two sides with similarity >= ``t``.
 
     Splits are compared without outer blanks and case; records of no named split, null ids and texts without a word take
-    no part; repeated rows count once; an empty side gives an empty result.
+    no part; repeated rows count once; an empty side gives an empty result. ``copies`` and ``link`` are those of
+    :func:`setjoin.similar`; without ``cover`` no chain is built and the covers are null.
     """
     s = F.lower(F.trim(split))
     rows = df.select(F.col(id).cast("string").alias("id"), F.lit("").alias("space"), F.when(s == train, 0).when(s.isin(*held), 1).alias("side"), F.col(text).alias("text")).where("side is not null")
-    common = setjoin.frequent(rows.where("length(text) > 0").withColumn("ref", F.xxhash64("text")), GRAM, share=0.002)
-    out = setjoin.similar(rows, t, winnow_keyer(common, t), two_sides=True, more=chain)
-    return out.select(F.col("id_a").alias("id_train"), F.col("id_b").alias("id_held"), "similarity", F.col("cover_a").alias("cover_train"), F.col("cover_b").alias("cover_held"))
+    known = setjoin.frequent(rows.where("length(text) > 0").withColumn("ref", F.xxhash64("text")), (1, GRAM))
+    out = setjoin.similar(rows, t, winnow_keyer(known[GRAM], known[1], t), two_sides=True, more=chain if cover else None, copies=copies)
+    return out.select(F.col("id_a").alias("id_train"), F.col("id_b").alias("id_held"), "similarity", F.col("cover_a").alias("cover_train"), F.col("cover_b").alias("cover_held"), "link")
 
 
 def overlap_report(df: DataFrame, found: DataFrame, id: str, split: str, source: str) -> DataFrame:

@@ -92,13 +92,13 @@ def p6_rates(spark: SparkSession, sf: str) -> DataFrame:
     return sizes.join(pairs, "run_id", "left").join(told, "run_id", "left").select("run_id", "n_personas", F.coalesce("pairs", F.lit(0)).cast("bigint").alias("n_pairs"), F.round(F.coalesce(F.try_divide(F.coalesce("pairs", F.lit(0)).cast("double"), n * (n - 1) / 2), F.lit(0.0)), 6).alias("rate"), F.round("reported", 6).alias("reported"))
 
 
-def _overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return overlap.across(_t(spark, sf, "survey_items"), "item_id", "text", "split")
+def _overlap(spark: SparkSession, sf: str, cover: bool = True) -> DataFrame:
+    return overlap.across(_t(spark, sf, "survey_items"), "item_id", "text", "split", cover=cover)
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Survey items of train and of a held-out split that are alike or nearly alike."""
-    return _overlap(spark, sf).select(F.least("id_train", "id_held").alias("item_id_a"), F.greatest("id_train", "id_held").alias("item_id_b"))
+    return _overlap(spark, sf, False).select(F.least("id_train", "id_held").alias("item_id_a"), F.greatest("id_train", "id_held").alias("item_id_b"))
 
 
 def p7_coverage(spark: SparkSession, sf: str) -> DataFrame:

@@ -58,6 +58,19 @@ def possible(r: Records, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
     return (most >= need) & (np.minimum(r.size[i], r.size[j]) >= t * np.maximum(r.size[i], r.size[j]) - 1e-9)
 
 
+def summary(r: Records, cuts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Nodes over consecutive records from each cut on: OR of the bitmaps, smallest and largest size, largest slack."""
+    return np.bitwise_or.reduceat(r.bits, cuts, axis=0), np.minimum.reduceat(r.size, cuts), np.maximum.reduceat(r.size, cuts), np.maximum.reduceat(r.slack, cuts)
+
+
+def reachable(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
+    """Mask of the node pairs that may hold a similar pair."""
+    (xb, xl, xh, xs), (yb, yl, yh, ys) = x, y
+    need = t / (1 + t) * (xl[i] + yl[j]) - 1e-9
+    most = ones(xb[i] & yb[j]) + np.minimum(xs[i], ys[j])
+    return (most >= need) & (xh[i] >= t * yl[j] - 1e-9) & (yh[j] >= t * xl[i] - 1e-9)
+
+
 class Tree:
     """Nodes of a signature tree over records ``at``, level by level; level 0 are the leaves."""
 
@@ -77,14 +90,6 @@ class Tree:
             self.levels.append((bits, low, high, slack))
 
 
-def _open(a: Tree, b: Tree, level: int, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
-    """Mask of the node pairs of a level that may hold a similar pair."""
-    (xb, xl, xh, xs), (yb, yl, yh, ys) = a.levels[level], b.levels[level]
-    need = t / (1 + t) * (xl[i] + yl[j]) - 1e-9
-    most = ones(xb[i] & yb[j]) + np.minimum(xs[i], ys[j])
-    return (most >= need) & (xh[i] >= t * yl[j] - 1e-9) & (yh[j] >= t * xl[i] - 1e-9)
-
-
 def dual(r: Records, a: Tree, b: Tree, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Record pairs of two trees (or of one tree with itself) that the traversal can't exclude."""
     own = a is b
@@ -99,7 +104,7 @@ def dual(r: Records, a: Tree, b: Tree, t: float) -> Iterator[tuple[np.ndarray, n
             half = len(i) // 2
             todo += [(level, i[:half], j[:half]), (level, i[half:], j[half:])]
             continue
-        keep = _open(a, b, level, i, j, t)
+        keep = reachable(a.levels[level], b.levels[level], i, j, t)
         i, j = i[keep], j[keep]
         if not len(i):
             continue

@@ -75,3 +75,12 @@ def distinct(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     first[1:] = (f[1:] != f[:-1]) | (t[1:] != t[:-1])
     f, t = f[first], t[first]
     return f, np.concatenate([[0], np.cumsum(np.bincount(t, minlength=len(offsets) - 1))]).astype(np.int64)
+
+
+def once(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each owner's distinct values, by owner and value, and their owners."""
+    order = np.lexsort((values, owner))
+    v, o = values[order], owner[order]
+    fresh = np.ones(len(v), bool)
+    fresh[1:] = (v[1:] != v[:-1]) | (o[1:] != o[:-1])
+    return v[fresh], o[fresh]

@@ -62,11 +62,48 @@ def test_near_pairs(spark, hot):
 def test_many_copies_stay_linear(spark):
     base = " ".join(f"w{i}" for i in range(40))
     rows = [(f"c{i:03d}", "s", base) for i in range(200)] + [(f"v{k}", "s", base + f" new{k}") for k in range(3)]
-    got = {(r["id_a"], r["id_b"]) for r in neardup.near_pairs(spark.createDataFrame(rows, "id string, space string, text string")).collect()}
+    df = spark.createDataFrame(rows, "id string, space string, text string")
+    links = {(r["id_a"], r["id_b"]): r["link"] for r in neardup.near_pairs(df, copies=64).collect()}
+    got = set(links)
+    assert {links["c000", "c001"], links["c005", "v1"]} == {"first"} and links["v0", "v1"] == "pair"
     assert {("c000", f"c{i:03d}") for i in range(1, 200)} <= got
     assert {(f"c{i:03d}", f"v{k}") for i in range(200) for k in range(3)} <= got and len(got) < 1000
 
 
+@pytest.mark.parametrize(("n", "copies"), [(65, setjoin.COPIES), (200, None)])
+def test_every_pair_of_copies(spark, n, copies):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(f"c{i:03d}", "s", base) for i in range(n)] + [(f"v{k:03d}", "s", base + f" new{k}") for k in range(70)]
+    got = neardup.near_pairs(spark.createDataFrame(rows, "id string, space string, text string"), copies=copies).collect()
+    ids = sorted(r[0] for r in rows)
+    assert {(r["id_a"], r["id_b"]) for r in got} == {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]} and {r["link"] for r in got} == {"pair"}
+
+
+def test_one_word_in_every_text(spark):
+    """A prefix block of all texts is cut into chunks, and no task joins more records than the bound."""
+    rng = random.Random(9)
+    few = [f"k{i}" for i in range(30)]
+    t = [" ".join(rng.sample(few, rng.randrange(12, 22))) for _ in range(100)]
+    t += [" ".join(x.split()[1:]) for x in t[:40]]
+    rows = [(f"p{i:03d}", "s", x) for i, x in enumerate(t)]
+    df = spark.createDataFrame(rows, "id string, space string, text string").withColumn("side", F.lit(0))
+    one = lambda flat, offsets, sets, bounds: (np.zeros(len(bounds) - 1, np.uint64), np.arange(len(bounds)))
+    got = {(r["id_a"], r["id_b"]) for r in setjoin.similar(df, 0.8, one, hot=20).collect()}
+    assert got == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and sim(a[2], b[2]) >= 0.8} and got
+    from cohortlab.llm.words import Memo, distinct, hashed
+
+    sets, bounds = distinct(*hashed(t, Memo()))
+    block = np.zeros(len(t), setjoin.RECORD)
+    block["ref"], block["bits"], block["size"] = np.arange(len(t)), sigtree.bitmaps(sets, bounds), np.diff(bounds)
+    block["side"] = np.arange(len(t)) % 3 == 0
+    for two in (False, True):
+        out = [r for b in setjoin._chunks(block, 1, 0.8, two, 20) for r in b.to_pylist()]
+        chunks = {r["i"]: np.frombuffer(r["blob"], setjoin.RECORD) for r in out if r["blob"]}
+        assert max(map(len, chunks.values())) <= 10 and sum(map(len, chunks.values())) == len(t)
+        meet = {(min(a, b), max(a, b)) for r in out if r["j"] is not None for a in chunks[r["i"]]["ref"].tolist() for b in chunks[r["j"]]["ref"].tolist()}
+        assert all((i, j) in meet for i in range(len(t)) for j in range(i + 1, len(t)) if sim(t[i], t[j]) >= 0.8 and (not two or (i % 3 == 0) != (j % 3 == 0)))
+
+
 def test_links_count_every_copy(spark):
     base = " ".join(f"h{i}" for i in range(40))
     rows = [(f"p{i:03d}", "s", x) for i, x in enumerate(texts(random.Random(6), 40))] + [(f"c{i:02d}", "s", base) for i in range(70)]
@@ -119,7 +156,7 @@ def test_across_splits(spark, hot):
     else:
         s = F.lower(F.trim("split"))
         r = df.select(F.col("item_id").alias("id"), F.lit("").alias("space"), F.when(s == "train", 0).when(s.isin("validation", "test"), 1).alias("side"), "text").where("side is not null")
-        got = {(x["id_a"], x["id_b"]) for x in setjoin.similar(r, 0.75, overlap.winnow_keyer({}, 0.75), two_sides=True, hot=hot).collect()}
+        got = {(x["id_a"], x["id_b"]) for x in setjoin.similar(r, 0.75, overlap.winnow_keyer({}, {}, 0.75), two_sides=True, hot=hot).collect()}
         assert got == want
 
 
@@ -135,7 +172,7 @@ def test_prefix_blocks_are_exact():
 
 
 @pytest.mark.parametrize("t", [0.75, 0.8])
-def test_sorted_runs_are_exact(t):
+def test_cross_keys_are_exact(t):
     """Every pair that reaches the threshold shares a key, whatever its size and order."""
     rng, out = random.Random(5), []
     for n in [*range(1, 30), 60] * 3:
@@ -149,7 +186,7 @@ def test_sorted_runs_are_exact(t):
 
     flat, offsets = hashed(out, Memo())
     sets, bounds = distinct(flat, offsets)
-    keys, ends = overlap.winnow_keyer({}, t)(flat, offsets, sets, bounds)
+    keys, ends = overlap.winnow_keyer({}, {}, t)(flat, offsets, sets, bounds)
     own = [set(keys[ends[i] : ends[i + 1]].tolist()) for i in range(len(out))]
     near = [(i, j) for i in range(len(out)) for j in range(i) if sim(out[i], out[j]) >= t]
     assert len(near) > 100 and all(own[i] & own[j] for i, j in near)
