@@ -4,10 +4,12 @@ Whole-document MinHash can't see a short passage in a long text: the Jaccard sim
 both sides are partitioned into windows of one size, ``span`` words. A text that contains a passage of ``span`` words
 contains a window whose shingle set equals the passage's; containment has become equality, on which any MinHash agrees
 with certainty. A text keeps the minima of its windows (about ``2 / (span - shingle + 2)`` of its words), and only
-windows whose minimum is one of an item's are compared, word shingle by word shingle. Texts shorter than ``span`` words
-are pruned by size. Nothing of the corpus is shuffled but the hits.
+windows whose minimum may be one of an item's are compared. Texts shorter than ``span`` words are pruned by size.
 
-Items are taken in blocks of at most ``block`` items, whose index goes to the tasks; its size is thus bounded.
+The corpus is read once, whatever the number of items. The items' windows are a distributed table. What goes to the
+tasks is a Bloom filter of the items' minima, of at most ``bits`` bits, built in Spark; a text sends on the 128-bit
+hashes of the windows that pass it, and these are joined with the items' windows. A false hit of the filter costs a row,
+never a result, and no true window is ever stopped by it.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.llm.lookalike import transducer
-from cohortlab.llm.words import Memo, hashed, inside, rolling
+from cohortlab.llm.words import MULTIPLIER, Memo, hashed, inside, mix, rolling
+from cohortlab.workspace import materialize
 
 
 def window_minima(flat: np.ndarray, span: int, shingle: int) -> np.ndarray:
@@ -37,89 +40,102 @@ def window_minima(flat: np.ndarray, span: int, shingle: int) -> np.ndarray:
     return np.minimum(low[:n], low[rest : rest + n])
 
 
-class Index:
-    """Windows of the items: their minima for the search, their shingles for the check."""
+#: Bits of the filter at most (32 MB), and for each minimum.
+BITS, EACH = 1 << 28, 1 << 10
+#: Multiplier of the second hash of a window.
+SECOND = np.uint64(0xD1342543DE82EF95)
 
-    def __init__(self, span: int, shingle: int, minima: np.ndarray, grams: np.ndarray, item: np.ndarray, windows: np.ndarray, ids: np.ndarray):
-        self.span, self.shingle, self.minima, self.grams, self.item, self.windows, self.ids = span, shingle, minima, grams, item, windows, ids
 
+def _grams(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each row of word hashes."""
+    one, two = np.zeros(len(windows), np.uint64), np.full(len(windows), SECOND)
+    for k in range(windows.shape[1]):
+        one = one * MULTIPLIER + windows[:, k]
+        two = mix(two ^ windows[:, k]) * SECOND
+    return mix(one).view(np.int64), two.view(np.int64)
 
-def index_of(items: list[tuple[int, str]], span: int, shingle: int) -> Index:
-    """The index of some items."""
-    flat, offsets = hashed([t for _, t in items], Memo(), transducer())
-    ok, text = inside(offsets, span, len(flat) - span + 1)
-    at = np.flatnonzero(ok)
-    minima = np.unique(window_minima(flat, span, shingle)[at]) if len(at) else np.zeros(0, np.uint64)
-    grams = rolling(flat, span)[at] if len(at) else np.zeros(0, np.uint64)
-    order = np.argsort(grams, kind="stable")
-    windows = flat[at[order][:, None] + np.arange(span)] if len(at) else np.zeros((0, span), np.uint64)
-    return Index(span, shingle, minima, grams[order], text[at][order], windows, np.array([i for i, _ in items], np.int64))
+
+def _item_windows(span: int, shingle: int):
+    """Input: item, text. Output: item, low, gram, check: one row per window of an item."""
+    form = transducer()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo()
+        for batch in batches:
+            flat, offsets = hashed(batch.column(1).to_pylist(), memo, form)
+            low = window_minima(flat, span, shingle)
+            ok, text = inside(offsets, span, len(low))
+            at = np.flatnonzero(ok)
+            if len(at):
+                gram, check = _grams(flat[at[:, None] + np.arange(span)])
+                yield pa.record_batch([batch.column(0).take(pa.array(text[at])), pa.array(low[at].view(np.int64)), pa.array(gram), pa.array(check)], ["item", "low", "gram", "check"])
+
+    return run
+
+
+def _places(low, m: int):
+    """The two places of a minimum in a filter of ``m`` bits, from 1."""
+    return F.pmod(low, F.lit(m)) + 1, F.pmod(F.shiftrightunsigned(low, 33), F.lit(m)) + 1
+
+
+def _filter(windows: DataFrame, bits: int) -> np.ndarray:
+    """The Bloom filter of the minima as bytes; Spark builds it in pieces of 4 KB."""
+    lows = windows.select("low").distinct()
+    n = lows.count()
+    m = 1 << 15
+    while m < min(bits, EACH * n):
+        m *= 2
+    place = lows.select(F.explode(F.array(*_places(F.col("low"), m))).alias("p"))
+    out = np.zeros(m // 8, np.uint8)
+    for piece, part in place.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p"))).collect():
+        out[(piece - 1) * 4096 : piece * 4096] = np.frombuffer(part, np.uint8)
+    return out
 
 
-def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(sorted_values):
-        return np.zeros(len(x), bool)
-    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
+def _passes(filter: np.ndarray, low: np.ndarray) -> np.ndarray:
+    mask = np.uint64(8 * len(filter) - 1)
+    out = np.ones(len(low), bool)
+    for place in (low & mask, (low >> np.uint64(33)) & mask):
+        out &= (filter[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
 
 
-def _search(index: Index):
+def _search(filter: np.ndarray, span: int, shingle: int):
+    """Input: doc, text. Output: doc, gram, check of the windows that may be an item's, once a text."""
     form = transducer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo()
         for batch in batches:
             flat, offsets = hashed(batch.column(1).to_pylist(), memo, form)
-            low = window_minima(flat, index.span, index.shingle)
-            ok, text = inside(offsets, index.span, len(low))
+            low = window_minima(flat, span, shingle)
+            ok, text = inside(offsets, span, len(low))
             fresh = np.ones(len(low), bool)
             fresh[1:] = low[1:] != low[:-1]
             starts = np.flatnonzero(fresh)
-            hit = np.repeat(_member(index.minima, low[starts]), np.diff(np.append(starts, len(low)))) & ok
+            hit = np.repeat(_passes(filter, low[starts]), np.diff(np.append(starts, len(low)))) & ok
             at = np.flatnonzero(hit)
-            if not len(at):
-                continue
-            window = flat[at[:, None] + np.arange(index.span)]
-            gram = rolling(window.reshape(-1), index.span)[:: index.span]
-            a, b = np.searchsorted(index.grams, gram, "left"), np.searchsorted(index.grams, gram, "right")
-            count = b - a
-            row = np.repeat(np.arange(len(at)), count)
-            entry = np.repeat(a, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            same = (window[row] == index.windows[entry]).all(1)  # exact shingle containment
-            pairs = np.stack([text[at[row[same]]], index.item[entry[same]]], 1)
-            pairs, n = np.unique(pairs, axis=0, return_counts=True)
-            yield pa.record_batch([batch.column(0).take(pa.array(pairs[:, 0])), pa.array(index.ids[pairs[:, 1]]), pa.array(n, pa.int64())], ["doc", "item", "windows"])
+            if len(at):
+                gram, check = _grams(flat[at[:, None] + np.arange(span)])
+                yield pa.record_batch([batch.column(0).take(pa.array(text[at])), pa.array(gram), pa.array(check)], ["doc", "gram", "check"])
 
     return run
 
 
-def contains(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, *, span: int = 13, shingle: int = 5, block: int = 20_000) -> DataFrame:
+def contains(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, *, span: int = 13, shingle: int = 5, bits: int = BITS) -> DataFrame:
     """``doc, item, windows``: texts that hold at least ``span`` consecutive words of an item, as a reader sees them.
 
-    ``windows`` counts the passage windows found (a passage of ``span`` words is one). Case, punctuation, line breaks and
-    look-alike characters don't matter. Null and empty texts, and texts or items of fewer than ``span`` words, match
-    nothing. A repeated document id is reported once. No items: an empty result.
+    ``windows`` counts the different windows of the item that the document holds (a passage of ``span`` words is one).
+    Case, punctuation, line breaks and look-alike characters don't matter. Null ids, null and empty texts, and texts or
+    items of fewer than ``span`` words match nothing. Repeated rows count once. No items: an empty result.
     """
-    spark = docs.sparkSession
     kind = docs.schema[doc].dataType.simpleString()
-    rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("length(text) > 0")
+    rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("doc is not null and length(text) > 0")
     wanted = items.select(F.col(item).cast("bigint").alias("item"), F.col(item_text).alias("text")).where("item is not null and length(text) > 0").distinct()
-    out = spark.createDataFrame([], f"doc {kind}, item bigint, windows bigint")
-    held: list[tuple[int, str]] = []
-    blocks: list[DataFrame] = []
-
-    def add() -> None:
-        blocks.append(rows.mapInArrow(_search(index_of(held, span, shingle)), f"doc {kind}, item bigint, windows bigint"))
-        held.clear()
-
-    for r in wanted.toLocalIterator():
-        held.append((r[0], r[1]))
-        if len(held) == block:
-            add()
-    if held:
-        add()
-    for b in blocks:
-        out = out.unionByName(b)
-    return out.groupBy("doc", "item").agg(F.max("windows").alias("windows")).select(F.col("doc").alias(doc), F.col("item").alias(item), "windows")
+    windows = materialize(wanted.mapInArrow(_item_windows(span, shingle), "item bigint, low bigint, gram bigint, check bigint").distinct(), "windows")
+    hits = rows.mapInArrow(_search(_filter(windows, bits), span, shingle), f"doc {kind}, gram bigint, check bigint").distinct()
+    found = hits.join(windows.select("item", "gram", "check"), ["gram", "check"]).select("doc", "item", "gram").distinct()
+    return found.groupBy("doc", "item").agg(F.count("*").alias("windows")).select(F.col("doc").alias(doc), F.col("item").alias(item), "windows")
 
 
 def leak_report(found: DataFrame, docs: DataFrame, doc: str, source: str, item: str) -> DataFrame:

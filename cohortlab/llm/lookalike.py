@@ -36,8 +36,8 @@ DRAWN = {*map(chr, range(0x600, 0x606)), "۝", "܏", "࢐", "࢑", "࣢", "\U000
 #: Invisible though no format characters: joiner of marks, fillers, variation selectors.
 UNSEEN = {"͏", "ᅟ", "ᅠ", "឴", "឵", "ㅤ", "ﾠ", *map(chr, range(0x180B, 0x180E)), *map(chr, range(0xFE00, 0xFE10))}
 
-#: Ids of a large form that are paired in one group.
-BLOCK = 1024
+#: Ids of one form up to which all pairs are given, and ids of a larger one that are paired in one group.
+COPIES, BLOCK = 1000, 1024
 
 
 class Conflict(ValueError):
@@ -171,26 +171,29 @@ def classes(df: DataFrame, id: str, text: str) -> DataFrame:
     return rows.mapInArrow(_rewriter(False), f"id {kind}, class binary, raw binary")
 
 
-def alike(df: DataFrame, id: str, text: str, expand: int = 64) -> DataFrame:
-    """``id_a, id_b`` (smaller first): texts of one form that differ in their characters.
+def alike(df: DataFrame, id: str, text: str, copies: int | None = COPIES) -> DataFrame:
+    """``id_a, id_b, link`` (smaller id first): texts of one form that differ in their characters.
 
-    Exact copies are no pair. In a form with at most ``expand`` ids every pair of different texts is given. In a larger
-    form every id is paired with the smallest id of each *other* text, however many these are. So copies aren't
-    multiplied by copies, and no link between different texts is lost: ids of texts without copies give every pair. A
-    large form's ids are taken in blocks of about ``BLOCK``, so that no task holds the pairs of a whole form. A repeated
-    (id, text) counts once; one id with two texts is no pair with itself.
+    Every pair of ids with different texts is given (``link`` is ``pair``), but in a form of more than ``copies`` ids,
+    whose pairs of copies would grow as the square of the rows: there each id is paired with the smallest id of each
+    *other* text, however many these are (``link`` is ``first``). So only pairs of a copy with a copy are left out, and
+    ids of texts without copies give every pair. ``copies=None`` gives all pairs. A large form's ids are taken in blocks
+    of about ``BLOCK``, so that no task holds the pairs of a whole form. Exact copies are no pair, nor is one id with two
+    texts; a repeated (id, text) counts once; null ids, null and empty texts match nothing.
     """
     rows = materialize(classes(df, id, text).distinct(), "forms")  # read several times below, rewritten once
     texts = rows.groupBy("class", "raw").agg(F.min("id").alias("first"), F.count("id").alias("n"))
     heads = texts.groupBy("class").agg(F.count("*").alias("texts"), F.sum("n").alias("ids")).where("texts > 1")
-    some = rows.join(heads, "class")
-    small = some.where(F.col("ids") <= expand)
-    full = small.select("class", "raw", F.col("id").alias("a")).join(small.select("class", F.col("raw").alias("raw_b"), F.col("id").alias("b")), "class").where("raw <> raw_b and a < b").select("a", "b")
-    wide = heads.where(F.col("ids") > expand).select("class", F.ceil(F.col("ids") / BLOCK).cast("int").alias("blocks"))
-    large = rows.join(wide, "class").select("class", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "raw", F.col("id").alias("a"))
-    other = texts.join(wide, "class").select("class", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("raw").alias("raw_b"), F.col("first").alias("b"))
-    rest = large.join(other, ["class", "block"]).where("raw <> raw_b and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return full.unionByName(rest).distinct().select(F.col("a").alias(f"{id}_a"), F.col("b").alias(f"{id}_b"))
+    few = F.lit(True) if copies is None else F.col("ids") <= copies
+    small = rows.join(heads, "class").where(few)
+    out = small.select("class", "raw", F.col("id").alias("a")).join(small.select("class", F.col("raw").alias("raw_b"), F.col("id").alias("b")), "class").where("raw <> raw_b and a < b").select("a", "b", F.lit("pair").alias("link"))
+    if copies is not None:
+        wide = heads.where(~few).select("class", F.ceil(F.col("ids") / BLOCK).cast("int").alias("blocks"))
+        large = rows.join(wide, "class").select("class", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), "raw", F.col("id").alias("a"))
+        other = texts.join(wide, "class").select("class", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("raw").alias("raw_b"), F.col("first").alias("b"))
+        rest = large.join(other, ["class", "block"]).where("raw <> raw_b and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit("first").alias("link"))
+        out = out.unionByName(rest)
+    return out.groupBy("a", "b").agg(F.max("link").alias("link")).select(F.col("a").alias(f"{id}_a"), F.col("b").alias(f"{id}_b"), "link")
 
 
 def report(df: DataFrame, id: str, text: str, by: str) -> DataFrame:

@@ -118,9 +118,10 @@ def p8_containers(spark: SparkSession, sf: str, capacity: int = 2048, vocabulary
 
 
 def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
-    """Containers, tokens and the share of capacity in use, by level of packing."""
-    one = p8_containers(spark, sf).groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("items"))
-    return one.groupBy(F.substring_index("container", "-", 1).alias("level")).agg(F.count("*").cast("bigint").alias("n_containers"), F.sum("items").cast("bigint").alias("n_items"), F.sum("tokens").cast("bigint").alias("n_tokens"), F.round(F.sum("tokens") / (F.count("*") * 2048.0), 6).alias("fill"))
+    """Containers, tokens, the share of capacity in use and the least containers that these tokens need, by level of packing and over all."""
+    one = p8_containers(spark, sf).groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("items")).withColumn("level", F.substring_index("container", "-", 1))
+    by = one.rollup("level").agg(F.count("*").cast("bigint").alias("n_containers"), F.sum("items").cast("bigint").alias("n_items"), F.sum("tokens").cast("bigint").alias("n_tokens"))
+    return by.select(F.coalesce("level", F.lit("all")).alias("level"), "n_containers", "n_items", "n_tokens", F.round(F.col("n_tokens") / (F.col("n_containers") * 2048.0), 6).alias("fill"), F.ceil(F.col("n_tokens") / 2048.0).cast("bigint").alias("least_containers"))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,7 +138,7 @@ def p9_items(spark: SparkSession, sf: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that look the same but differ in their characters."""
-    return lookalike.alike(_t(spark, sf, "documents"), "doc_id", "text")
+    return lookalike.alike(_t(spark, sf, "documents"), "doc_id", "text").select("doc_id_a", "doc_id_b")
 
 
 def p10_forms(spark: SparkSession, sf: str) -> DataFrame:

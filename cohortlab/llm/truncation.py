@@ -4,8 +4,9 @@ Statistics come from all rows: how often each source ends a field with a full st
 which lengths are limits (a length at which values without a full stop pile up against their neighbours). A bounded
 sample of intact values is cut at random places to make positives; negatives are the values themselves and, so that
 sources without final full stops are judged fairly, prefixes that end with a sentence whose full stop was taken away.
-Features are the closing characters and words, crossed with the opening of the last sentence, the source's habit and
-the distance to a limit. Every value of every row is scored.
+Features are the closing characters and words, crossed with the opening of the last sentence, the source's habit, the
+distance to a limit, and whether a value is a filler. Every value of every row is scored by the model; the table is read
+once for the endings and their statistics and once for the sample.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlab.workspace import materialize
+
 #: Buckets of the hashed features; the model's size is fixed by it.
 DIMS = 1 << 18
 #: Intact values, taken by smallest hash, from which the training examples are made.
@@ -40,8 +43,10 @@ def _h(*parts) -> int:
     return xxhash.xxh32_intdigest("\x1f".join(map(str, parts))) % DIMS
 
 
-def features(tail: str, writes_stop: bool, at_limit: bool) -> list[int]:
-    """Hashed features of an ending."""
+def features(tail: str, writes_stop: bool, at_limit: bool, filler: bool = False) -> list[int]:
+    """Hashed features of an ending; a filler, or a value without a letter, has no other."""
+    if filler or not any(map(str.isalpha, tail)):
+        return [_h("bias"), _h("filler")]
     text = tail.rstrip()
     space = len(text) < len(tail)
     mark = MARKER.search(text)
@@ -69,11 +74,12 @@ def examples(texts: list[str], seed: int = 5) -> tuple[list[list[int]], list[int
     rng = np.random.default_rng(seed)
     x, y = [], []
 
-    def add(tail: str, writes: bool, limit: bool, label: int) -> None:
-        x.append(features(tail[-TAIL:], writes, limit))
+    def add(tail: str, writes: bool, limit: bool, label: int, filler: bool = False) -> None:
+        x.append(features(tail[-TAIL:], writes, limit, filler))
         y.append(label)
 
     for text in texts:
+        add(text, True, False, 0, True)
         add(text, True, rng.random() < 0.02, 0)
         add(text, False, rng.random() < 0.02, 0)
         ends = [m.start() for m in BOUNDARY.finditer(text)] + [len(text)]
@@ -119,7 +125,7 @@ def train(x: list[list[int]], y: list[int], epochs: int = 6, rate: float = 0.3,
 def _score(w: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t, s, m) for t, s, m in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True)]
+            rows = [features(*r) for r in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5, 6)), strict=True)]
             flat = np.array([f for r in rows for f in r], np.int64)
             starts = np.cumsum([0, *map(len, rows)])[:-1]
             z = np.add.reduceat(w[flat], starts) if len(rows) else np.zeros(0)
@@ -140,25 +146,24 @@ def scored(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     Fillers (short values of one wording in at least three rows, or without a letter) aren't cut. A value that ends with
     a sentence isn't cut, nor is a text with an unusual but whole ending. A null source is a source of its own.
     """
-    v = rows.select("id", "source", "field", F.length("text").alias("n"), F.right("text", F.lit(TAIL)).alias("tail"))
-    v = v.withColumn("stop", F.col("tail").rlike(STOP_SQL) & ~F.col("tail").rlike(MARKER_SQL))
+    ending = lambda c: c.rlike(STOP_SQL) & ~c.rlike(MARKER_SQL)
+    draw = F.xxhash64("id", "field")
+    v = rows.select("id", "source", "field", F.length("text").alias("n"), F.right("text", F.lit(TAIL)).alias("tail")).withColumn("stop", ending(F.col("tail")))
+    v = materialize(v.withColumn("low", F.when(F.col("n") < 40, F.lower(F.trim("tail")))), "endings")
     habit = v.groupBy("source").agg((F.avg(F.col("stop").cast("double")) >= HABIT).alias("writes"))
-    short = v.where("n < 40").groupBy(F.lower(F.trim("tail")).alias("low")).agg(F.count_distinct("id", "field").alias("k")).where("k >= 3").select("low")
+    short = v.where("n < 40").groupBy("low").agg(F.count_distinct("id", "field").alias("k")).where("k >= 3").select("low", F.lit(True).alias("filler"))
     tall = v.where("not stop").groupBy("source", "field", "n").agg(F.count("*").alias("c"))
     near = Window.partitionBy("source", "field").orderBy("n").rangeBetween(-12, 12)
     peaks = tall.withColumn("around", (F.sum("c").over(near) - F.col("c")) / 24.0).where("c >= 5 and c >= 4 * (around + 1)")
     limits = peaks.select("source", "field", F.explode(F.sequence(F.col("n") - 3, F.col("n"))).alias("n")).distinct().withColumn("limited", F.lit(True))
-    base = v.join(habit, "source").join(limits, ["source", "field", "n"], "left")
-    base = base.withColumn("low", F.when(F.col("n") < 40, F.lower(F.trim("tail"))).otherwise(F.lit(None))).join(short.withColumn("filler", F.lit(True)), "low", "left")
-    sample = rows.where((F.length("text") >= 60) & F.right("text", F.lit(TAIL)).rlike(STOP_SQL) & ~F.right("text", F.lit(TAIL)).rlike(MARKER_SQL))
-    share = 1.3 * TRAIN / max(1, sample.count())  # so that no task sends more than its share to the driver
-    few = sample.select("text", F.xxhash64("id", "field").alias("h")).where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) <= min(1_000_000, int(1_000_000 * share) + 1))
-    sample = [r[0] for r in few.orderBy("h", "text").limit(TRAIN).select("text").collect()]
-    w = train(*examples(sample)) if sample else np.zeros(DIMS + 1, np.float32)
-    judged = base.where(F.col("filler").isNull() & ~F.col("stop") & F.col("tail").rlike(r"\p{L}"))
-    out = judged.select("id", "source", "field", "tail", "writes", F.coalesce("limited", F.lit(False)).alias("limited")).mapInArrow(_score(w), "id string, source string, field string, score double")
-    rest = base.where(F.col("filler").isNotNull() | F.col("stop") | ~F.col("tail").rlike(r"\p{L}")).select("id", "source", "field", F.lit(None).cast("double").alias("score"))
-    return out.withColumn("cut", F.col("score") > threshold).unionByName(rest.withColumn("cut", F.lit(False)))
+    intact = v.where("n >= 60 and stop").count()
+    part = min(1_000_000, int(1_300_000 * TRAIN / max(1, intact)) + 1)  # so that no task sends more than its share to the driver
+    sample = rows.where((F.length("text") >= 60) & (F.pmod(F.xxhash64(draw), F.lit(1_000_000)) <= part) & ending(F.right("text", F.lit(TAIL)))).select("text", draw.alias("h"))
+    texts = [r[0] for r in sample.orderBy("h", "text").limit(TRAIN).select("text").collect()] if intact else []
+    w = train(*examples(texts)) if texts else np.zeros(DIMS + 1, np.float32)
+    known = v.join(habit, "source").join(limits, ["source", "field", "n"], "left").join(short, "low", "left")
+    judged = known.select("id", "source", "field", "tail", "writes", F.coalesce("limited", F.lit(False)).alias("limited"), F.coalesce("filler", F.lit(False)).alias("filler"))
+    return judged.mapInArrow(_score(w), "id string, source string, field string, score double").withColumn("cut", F.col("score") > threshold)
 
 
 def cut_report(s: DataFrame) -> DataFrame:

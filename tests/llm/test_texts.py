@@ -43,7 +43,7 @@ def test_random_idempotence(form):
 def test_pairs(spark):
     rows = [(1, "café", "x"), (2, "café", "x"), (3, "café", "x"), (4, "cafe", "x"), (5, None, "x"), (6, "", "x"), (7, "​", "x"), (2, "café", "x"), (None, "café", "x"), (8, "A" * 200_000, "x"), (9, "Α" + "A" * 199_999, "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, class string")
-    got = {tuple(r) for r in lookalike.alike(df, "doc_id", "text").collect()}
+    got = {tuple(r)[:2] for r in lookalike.alike(df, "doc_id", "text").collect()}
     assert got == {(1, 2), (2, 3), (8, 9)}
     assert lookalike.alike(df.limit(0), "doc_id", "text").count() == 0
     f = {r["doc_id"]: (r["form"], r["changed"]) for r in lookalike.consistent(df, "doc_id", "text").collect()}
@@ -54,7 +54,7 @@ def test_pairs(spark):
 def test_large_forms_stay_linear_and_whole(spark, variants):
     texts = ["ab" + "​" * k for k in range(variants)]
     rows = [(i, texts[i % variants if i < variants else 0]) for i in range(400)]
-    got = {tuple(r) for r in lookalike.alike(spark.createDataFrame(rows, "id bigint, text string"), "id", "text", expand=64).collect()}
+    got = {tuple(r)[:2] for r in lookalike.alike(spark.createDataFrame(rows, "id bigint, text string"), "id", "text", copies=64).collect()}
     assert all(a < b and rows[a][1] != rows[b][1] for a, b in got) and len(got) <= 64 * 400
     seen = {x for p in got for x in p}
     assert seen == set(range(400))  # no text lost its link
@@ -65,11 +65,18 @@ def test_large_forms_keep_every_link(spark, monkeypatch, block):
     monkeypatch.setattr(lookalike, "BLOCK", block)
     spellings = [(i, "ab" + "\u200b" * i) for i in range(65)]  # no copies: all pairs
     copies = [(100 + i, "cd" + "\u200b" * (i if i < 70 else 0)) for i in range(90)]  # 21 copies of one of 70 texts
-    got = [tuple(r) for r in lookalike.alike(spark.createDataFrame(spellings + copies, "id bigint, text string"), "id", "text").collect()]
+    got = [tuple(r)[:2] for r in lookalike.alike(spark.createDataFrame(spellings + copies, "id bigint, text string"), "id", "text", copies=64).collect()]
     pairs = {(i, j) for j in range(65) for i in range(j)} | {(100 + i, 100 + j) for j in range(70) for i in range(j)}
     assert set(got) == pairs | {(100 + j, 100 + i) for i in range(70, 90) for j in range(1, 70)} and len(got) == len(set(got))
 
 
+@pytest.mark.parametrize(("n", "copies"), [(65, lookalike.COPIES), (200, lookalike.COPIES), (65, None)])
+def test_every_pair_of_copies(spark, n, copies):
+    rows = [(i, "ab") for i in range(n)] + [(1000 + i, "a\u200bb") for i in range(n)]
+    got = [(r["id_a"], r["id_b"], r["link"]) for r in lookalike.alike(spark.createDataFrame(rows, "id bigint, text string"), "id", "text", copies=copies).collect()]
+    assert sorted(got) == [(i, 1000 + j, "pair") for i in range(n) for j in range(n)]
+
+
 def test_report(spark):
     df = spark.createDataFrame([(1, "ａ", "s"), (2, "a", "s"), (3, "b", None), (4, None, "s")], "id bigint, text string, source string")
     got = {r["source"]: (r["n_texts"], r["n_changed"], r["n_distinct_before"], r["n_distinct_after"]) for r in lookalike.report(df, "id", "text", "source").collect()}
@@ -79,8 +86,8 @@ def test_report(spark):
 ITEM = "The quick brown fox jumps over the lazy dog while seven owls watch from above the barn"
 
 
-@pytest.mark.parametrize("block", [1, 20_000])
-def test_contains(spark, block):
+@pytest.mark.parametrize("bits", [1 << 15, leakage.BITS])
+def test_contains(spark, bits):
     w = ITEM.split()
     rows = [
         (1, "before " + ITEM + " after"), (2, "x " + " ".join(w[2:15]) + " y"), (3, " ".join(w[2:14])), (4, ITEM.upper().replace(" ", "\n")), (5, ITEM.replace("o", "ο").replace(" ", " *")),
@@ -88,13 +95,21 @@ def test_contains(spark, block):
     ]
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id bigint, text string, item bigint")
     items = spark.createDataFrame([(100, ITEM), (101, "too short to count"), (102, None), (103, "another passage that is long enough to have thirteen words in it for sure"), (100, ITEM)], "item_id bigint, text string")
-    got = leakage.contains(docs, "doc_id", "text", items, "item_id", "text", block=block).collect()
+    got = leakage.contains(docs, "doc_id", "text", items, "item_id", "text", bits=bits).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, 100) for d in (1, 2, 4, 5, 9, 10)}
     assert next(r["windows"] for r in got if r["doc_id"] == 2) == 1 and len(got) == 6
     assert leakage.contains(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
     assert leakage.contains(docs.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
 
 
+def test_a_full_filter_stops_nothing(spark):
+    rng = random.Random(4)
+    items = [(i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(40))) for i in range(500)]
+    docs = [(i, "start " + " ".join(t.split()[5:25]) + " end") for i, t in items] + [(1000 + i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(60))) for i in range(50)]
+    d, t = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert {tuple(r) for r in leakage.contains(d, "doc_id", "text", t, "item_id", "text", bits=1 << 15).collect()} == {(i, i, 8) for i in range(500)}
+
+
 def test_against_brute_force(spark, form):
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(60)]
