@@ -42,6 +42,12 @@ def p4_report(spark: SparkSession, sf: str, k: int = 100) -> DataFrame:
     return dispersion.variety_report(points, dispersion.varied(points, k, len(AXES)), len(AXES), k // 2)
 
 
+def p4_quality(spark: SparkSession, sf: str, k: int = 100) -> DataFrame:
+    """Regions covered and distances of the varied points, beside those of as many points taken by hash."""
+    points = materialize(_points(spark, sf), "points")
+    return dispersion.quality(points, materialize(dispersion.varied(points, k, len(AXES)), "varied"), len(AXES), k // 2)
+
+
 def _persona_texts(spark: SparkSession, sf: str) -> DataFrame:
     fields = {"narrative": F.col("cognitive_motivation_profile.narrative"), "moral_tension": F.col("values_identity.moral_tension"), "family_context": F.col("demographics.family_context")}
     return truncation.values(_t(spark, sf, "personas"), "persona_id", "source", fields)
@@ -154,7 +160,7 @@ def p10_report(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        *(p1_found, p4_varied, p4_report, p5_found, p5_report, p6_found, p6_groups, p6_rates, p7_found, p7_coverage),
+        *(p1_found, p4_varied, p4_report, p4_quality, p5_found, p5_report, p6_found, p6_groups, p6_rates, p7_found, p7_coverage),
         *(p7_report, p8_containers, p8_fill, p9_found, p9_items, p10_found, p10_forms, p10_report),
     )
 }

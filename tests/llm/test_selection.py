@@ -91,6 +91,31 @@ def test_no_allowed_swap_helps():
                 assert d[j, rest].sum() <= d[i, rest].sum() + 1e-6
 
 
+def test_search_of_many_needs_no_matrix():
+    """1,000 of 10,000 points: their matrix would take 800 MB."""
+    import resource
+
+    g = np.random.default_rng(7)
+    p = g.random((10_000, 2))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    s = dispersion.local_search(p, (p[:, 0] * 10).astype(int) * 10 + (p[:, 1] * 10).astype(int), 1000)
+    assert len(set(s)) == 1000 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+    assert dispersion.spread(p[s])[0] > dispersion.spread(p[:1000])[0]
+
+
+def test_close_to_search_over_all_points(spark):
+    """The core-sets cost less than 5 % of the total distance that a search over every point reaches (2.5 % here)."""
+    g = np.random.default_rng(8)
+    p = np.vstack([np.clip(0.3 + 0.05 * g.standard_normal((900, 2)), 0, 1), g.random((300, 2))])
+    df = points(spark, [(f"i{i:04d}", x) for i, x in enumerate(p)]).select("id", "kind", "point")
+    out = dispersion.varied(df, 30, 2).collect()
+    cells = {r["id"]: r["cell"] for r in dispersion.regions_of(df, 2, 15).collect()}
+    best = dispersion.local_search(p, np.array([cells[f"i{i:04d}"] for i in range(len(p))]), 30)
+    assert dispersion.spread(np.array([r["point"] for r in out]))[0] > 0.95 * dispersion.spread(p[best])[0]
+    q = dispersion.quality(df, dispersion.varied(df, 30, 2), 2, 15).collect()
+    assert len(q) == 1 and q[0]["n_chosen"] == 30 and q[0]["regions_chosen"] == q[0]["regions_rows"] and q[0]["mean_distance_chosen"] > q[0]["mean_distance_random"]
+
+
 def test_few_points(spark):
     df = points(spark, [("a", (0.1, 0.1)), ("b", (0.1, 0.1)), ("c", (0.9, 0.9)), (None, (0.5, 0.5))])
     out = {r["id"] for r in dispersion.varied(df.select("id", "kind", "point"), 10, 2).collect()}
