@@ -1,10 +1,11 @@
 """One consistent form for texts that look the same.
 
-A transducer over grapheme clusters is compiled once: a table maps every single character that needs it (other widths,
-joined letters, other spaces, invisible characters, look-alike letters, singleton accents), and a pattern finds the
-longest cluster at each place that either holds such a character or a base with separate marks. A text is rewritten in
-one pass; a text without such places is returned as it is after one scan. Compiling checks that no character gets two
-images and that every image is in its final form, so the rewriting is idempotent.
+A transducer over grapheme clusters is compiled once: a table maps every single character that needs it (other widths
+and styles, joined letters, other spaces, invisible characters, look-alike letters, singleton accents), and one compiled
+pattern over character classes, leftmost and greedy, takes the longest cluster at each place that either holds such a
+character or a base with separate marks. A text is rewritten in one pass; a text without such places is returned as it
+is after one scan. Compiling checks that no character gets two images and that every image is in its final form, so the
+rewriting is idempotent.
 """
 
 from __future__ import annotations
@@ -22,15 +23,29 @@ from pyspark.sql import functions as F
 
 from cohortlab.workspace import materialize
 
-#: Letters of other scripts that are drawn like a Latin letter; fixed values. Cyrillic, then Greek, then Armenian and others.
-ALIKE = {
-    "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
-    "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ԛ": "Q", "Ѕ": "S", "Т": "T", "Ѵ": "V", "Ԝ": "W", "Х": "X", "У": "Y", "Ү": "Y", "Ԍ": "G",
+#: Characters that are drawn like a Latin letter or an ASCII mark, by script, as in Unicode's public table
+#: of confusable characters. What Unicode's own data say (styled mathematical letters and digits, widths, joined letters,
+#: Roman numerals) isn't listed but derived in ``_rules``.
+CYRILLIC = {
+    "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "ү": "y",
+    "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ӏ": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ԛ": "Q", "Ѕ": "S", "Т": "T", "Ѵ": "V", "Ԝ": "W", "Х": "X", "У": "Y", "Ү": "Y", "Ԍ": "G",
+}
+GREEK = {
     "ο": "o", "ϲ": "c", "ϳ": "j", "ν": "v", "ρ": "p", "α": "a", "ι": "i",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
-    "օ": "o", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "Ս": "U", "Օ": "O", "Տ": "S",
-    "ɡ": "g", "ɑ": "a", "ꓲ": "I", "ꓔ": "T", "ꓐ": "B", "ꓚ": "C", "ꓣ": "R",
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "Ϻ": "M",
+}
+ARMENIAN = {"օ": "o", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "ո": "n", "Ս": "U", "Օ": "O", "Տ": "S"}
+CHEROKEE = {"Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮪ": "S", "Ꮩ": "V", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B"}
+COPTIC = {"ⲟ": "o", "ⲣ": "p", "ⲥ": "c", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X"}
+LISU = {
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H",
+    "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
 }
+LATIN = {"ɡ": "g", "ɑ": "a", "ᴄ": "c", "ᴏ": "o", "ꜱ": "s", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "𐐄": "O", "𐐬": "o", "𐐕": "C", "𐐽": "c"}
+MARKS = {"\u2010": "-", "\u2011": "-", "\u02bc": "\u2019", "\u2024": ".", "\u2236": ":", "\ua789": ":", "\u01c3": "!"}
+ALIKE = CYRILLIC | GREEK | ARMENIAN | CHEROKEE | COPTIC | LISU | LATIN | MARKS
+#: Joined Latin letters, by range: ligatures, digraphs and Roman numerals.
+JOINED = ((0xFB00, 0xFB06), (0xFB13, 0xFB17), (0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x2160, 0x217F))
 #: Format characters that are drawn.
 DRAWN = {*map(chr, range(0x600, 0x606)), "۝", "܏", "࢐", "࢑", "࣢", "\U000110bd", "\U000110cd"}
 #: Invisible though no format characters: joiner of marks, fillers, variation selectors.
@@ -62,8 +77,9 @@ def _rules() -> dict[str, str]:
             rule(c, " ")
         else:
             tag = unicodedata.decomposition(c).split(" ", 1)[0]
-            if tag in ("<wide>", "<narrow>") or 0xFB00 <= code <= 0xFB06 or 0xFB13 <= code <= 0xFB17:
-                rule(c, unicodedata.normalize("NFKC", c))
+            plain = unicodedata.normalize("NFKC", c)
+            if tag in ("<wide>", "<narrow>") or any(a <= code <= b for a, b in JOINED) and plain != c or tag == "<font>" and len(plain) == 1 and plain.isalnum():
+                rule(c, plain)
     for c, image in ALIKE.items():
         rule(c, image)
     return table

@@ -122,11 +122,12 @@ def across(df: DataFrame, id: str, text: str, split: str, train: str = "train",
     return out.select(F.col("id_a").alias("id_train"), F.col("id_b").alias("id_held"), "similarity", F.col("cover_a").alias("cover_train"), F.col("cover_b").alias("cover_held"), "link")
 
 
-def overlap_report(df: DataFrame, found: DataFrame, id: str, split: str, source: str) -> DataFrame:
-    """Per split and source: held-out records, those that occur in train, their share and mean coverage."""
+def overlap_report(df: DataFrame, found: DataFrame, id: str, split: str, source: str, cover: bool = True) -> DataFrame:
+    """Per split and source: held-out records, those that occur in train, their share and, with ``cover``, mean coverage."""
     s = F.lower(F.trim(split))
-    items = df.select(F.col(id).cast("string").alias("id"), s.alias("split"), F.col(source).alias("source")).where(s.isin("validation", "test")).dropDuplicates(["id"])
-    best = found.groupBy(F.col("id_held").alias("id")).agg(F.max("cover_held").alias("cover"))
-    return items.join(best, "id", "left").groupBy("split", "source").agg(
-        F.count("*").cast("bigint").alias("n_items"), F.count("cover").cast("bigint").alias("n_overlapping"), F.round(F.count("cover") / F.count("*"), 6).alias("share"), F.round(F.avg("cover"), 6).alias("mean_cover")
+    items = df.select(F.col(id).cast("string").alias("id"), s.alias("split"), F.col(source).alias("source")).where(s.isin("validation", "test")).groupBy("id").agg(F.min(F.struct("split", "source")).alias("r")).select("id", "r.*")
+    best = found.groupBy(F.col("id_held").alias("id")).agg(F.max("cover_held").alias("cover"), F.lit(1).alias("hit"))
+    out = items.join(best, "id", "left").groupBy("split", "source").agg(
+        F.count("*").cast("bigint").alias("n_items"), F.count("hit").cast("bigint").alias("n_overlapping"), F.round(F.count("hit") / F.count("*"), 6).alias("share"), F.round(F.avg("cover"), 6).alias("mean_cover")
     )
+    return out if cover else out.drop("mean_cover")

@@ -25,6 +25,48 @@ def test_different(form, a, b):
     assert form(a) != form(b)
 
 
+def test_styled_letters_by_name(form):
+    """Independent of decompositions: what the names of the mathematical letters and digits say."""
+    digits = dict(zip("ZERO ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT NINE".split(), "0123456789", strict=True))
+    n = 0
+    for code in range(0x1D400, 0x1D800):
+        name = unicodedata.name(chr(code), "").split()
+        if name[:1] == ["MATHEMATICAL"] and name[-2] in ("CAPITAL", "SMALL") and len(name[-1]) == 1:
+            assert form(chr(code)) == (name[-1] if name[-2] == "CAPITAL" else name[-1].lower())
+            n += 1
+        elif name[:1] == ["MATHEMATICAL"] and name[-1] in digits:
+            assert form(chr(code)) == digits[name[-1]]
+            n += 1
+    assert n > 650
+
+
+@pytest.mark.parametrize("pair", "13AAA 13B1L? 13A0D 13C3Z 13CCG? 13E2P 13DAS 13D9V 13DEL 13DFC 13F4B A4EEA A4F3O A4EBX A4DDF A4E3R 2C9Eo? 2C9FO? 2C9EO 2C9Fo 2CA2P 0578n 04C0I 03FAM 1D04c 1D0Fo 1D20v A731s 2163V? 2164V 216FM 217Cl".split())
+def test_other_scripts(form, pair):
+    """Typed by code point from the public table of confusable characters; a question mark says that the two differ."""
+    same = not pair.endswith("?")
+    assert (form(chr(int(pair[:4], 16))) == pair[4]) == same
+
+
+def test_letters_of_the_table_are_letters_of_its_scripts():
+    for script, table in (("CYRILLIC", lookalike.CYRILLIC), ("GREEK", lookalike.GREEK), ("ARMENIAN", lookalike.ARMENIAN), ("CHEROKEE", lookalike.CHEROKEE), ("COPTIC", lookalike.COPTIC), ("LISU", lookalike.LISU)):
+        for c, image in table.items():
+            assert unicodedata.name(c).startswith(script) and image.isascii() and len(image) == 1
+            if "CAPITAL" in unicodedata.name(c) or "SMALL" in unicodedata.name(c):
+                assert image.isupper() == ("CAPITAL" in unicodedata.name(c) or "PALOCHKA" in unicodedata.name(c) and c == "\u04c0")
+
+
+def test_clusters_are_the_longest(form):
+    """Against a plain segmentation: after a match no mark or invisible character may follow that could still belong to it."""
+    rng = random.Random(3)
+    pool = "aбeé\u0301\u0308\u200b\u00ad ｅ12\r\n"
+    for _ in range(5000):
+        t = "".join(rng.choices(pool, k=10))
+        for m in form.cluster.finditer(t):
+            rest = t[m.end() :].lstrip("\u200b\u00ad")
+            if m.group()[0] not in "\r\n\u200b\u00ad\u0301\u0308 ":
+                assert not (rest and unicodedata.combining(rest[0]))
+
+
 def test_plain_text_is_untouched(form):
     text = "Plain ASCII, with punctuation. Zoë's naïve café — “quoted” 日本語 собой"
     assert form("Plain ASCII.") is not None and form("") == ""
