@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.operators import dewey, hierarchy
-from cohortlab.workspace import materialize
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -37,38 +36,42 @@ def p2_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.descendants(_forest(spark, sf, True)).select(F.col("ancestor").alias("candidate_id"), F.col("descendant").alias("descendant_id"), "distance")
 
 
-def _nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(dewey.run_nodes(_t(spark, sf, "experiment_runs")), "nodes")
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "experiment_runs")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Answers 1..5 and axis scores of all simulations of all runs."""
-    return dewey.run_values(_nodes(spark, sf))
+    return dewey.run_values(_runs(spark, sf))
 
 
 def p3_simulations(spark: SparkSession, sf: str) -> DataFrame:
     """Flat table of simulations, tied to their run."""
-    return dewey.simulations(_nodes(spark, sf)).select("run_id", "sim_no", "persona_id", "survey_id", "backend").distinct()
+    return dewey.simulations(_runs(spark, sf)).select("run_id", "sim_no", "persona_id", "survey_id", "backend", "fatigue").distinct()
+
+
+def _entries(spark: SparkSession, sf: str, kind: str, name: str, number: str) -> DataFrame:
+    e = dewey.entries(_runs(spark, sf)).where(F.col("kind") == kind)
+    return e.select("run_id", "sim_no", F.col("sim").alias("sim_label"), F.col("entry").alias("label"), F.col("name").alias(name), F.col("number").alias(number)).distinct()
 
 
 def p3_answers(spark: SparkSession, sf: str) -> DataFrame:
     """Flat table of answers, tied to their simulation; ``answer`` is null where none can be read."""
-    a = dewey.answers(_nodes(spark, sf)).where("name is not null")
-    return a.select("run_id", "sim_no", F.col("sim").alias("sim_label"), F.col("entry").alias("label"), F.col("name").alias("item_id"), F.col("number").alias("answer"))
+    return _entries(spark, sf, "response", "item_id", "answer")
 
 
 def p3_axis_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Flat table of axis scores, tied to their simulation."""
-    s = dewey.scores(_nodes(spark, sf)).where("name is not null")
-    return s.select("run_id", "sim_no", F.col("sim").alias("sim_label"), F.col("entry").alias("label"), F.col("name").alias("axis"), F.col("number").alias("score"))
+    """Flat table of axis scores, tied to their simulation; ``score`` is null where none can be read."""
+    return _entries(spark, sf, "axis", "axis", "score")
 
 
 def p3_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Flat table of runs: the parts of a run that are no lists, by schema path."""
-    runs = _t(spark, sf, "experiment_runs").select(F.concat(F.lpad(F.hex(F.xxhash64("payload")), 16, "0"), F.col("run_id")).alias("doc"), "payload")
-    n = dewey.label(runs, "doc", "payload", dewey.MAPS, ("$.mode", "$.seed", "$.n_requested", "$.experiment_score", "$.schema_evaluation.sample_size"))
-    pick = lambda path, name, kind: F.expr(f"try_cast(max(case when path = '$.{path}' then value end) as {kind})").alias(name)
-    return n.groupBy("doc").agg(F.expr("substring(max(doc), 17)").alias("run_id"), pick("mode", "mode", "string"), pick("seed", "seed", "bigint"), pick("n_requested", "n_requested", "bigint"), pick("experiment_score", "experiment_score", "double"), pick("schema_evaluation.sample_size", "sample_size", "bigint")).drop("doc").distinct()
+    """Flat table of runs: the scalars of a run outside its lists and simulations."""
+    runs = _runs(spark, sf).select(F.concat(F.lpad(F.hex(F.xxhash64("payload")), 16, "0"), F.col("run_id")).alias("doc"), "payload")
+    n = dewey.tables(runs, "doc", "payload", ("$",)).where(F.size("fields") > 0)
+    own = {"mode": ("mode",), "seed": ("seed",), "n_requested": ("n_requested",), "experiment_score": ("experiment_score",), "sample_size": ("schema_evaluation", "sample_size"), "coverage": ("schema_evaluation", "diversity_metrics", "coverage"), "avg_dist": ("slot_diversity_metrics", "avg_dist")}
+    kinds = {"mode": "string", "seed": "bigint", "n_requested": "bigint", "sample_size": "bigint"}
+    return n.select(F.expr("substring(doc, 17)").alias("run_id"), *[dewey.plain(dewey.field(*p)).try_cast(kinds.get(name, "double")).alias(name) for name, p in own.items()]).distinct()
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p3_found, p3_simulations, p3_answers, p3_axis_scores, p3_runs)}
@@ -86,18 +89,23 @@ def _number_sql(v: str) -> str:
 
 _PAYLOADS = f"""
         with p as (select run_id, cast(payload as json) as j from experiment_runs where json_valid(payload)),
-        s0 as (select run_id, json_extract(j, '$.shadow_simulations') as x from p),
-        s1 as (select run_id, case when json_type(x) = 'VARCHAR' then cast(json_extract_string(x, '$') as json) else x end as x from s0),
-        s2 as (select run_id, case json_type(x) when 'OBJECT' then [x] when 'ARRAY' then cast(x as json[]) end as l from s1),
-        s3 as (select run_id, l, unnest(range(0, len(l))) as sim_no from s2),
-        s as (select run_id, sim_no, json_extract(l[sim_no + 1], '$.responses') as r, json_extract(l[sim_no + 1], '$.axis_scores') as a from s3),
-        a1 as (select run_id, sim_no, case when json_type(json_extract(a, '$.axes')) = 'OBJECT' then json_extract(a, '$.axes') else a end as a from s),
+        s0 as (select run_id, json_extract(j, '$.shadow_simulations') as x, '0.' || (list_position(json_keys(j), 'shadow_simulations') - 1) as root from p),
+        s1 as (select run_id, root, case when json_type(x) = 'VARCHAR' then cast(json_extract_string(x, '$') as json) else x end as x from s0),
+        s2 as (select run_id, root, json_type(x) = 'ARRAY' as many, case json_type(x) when 'OBJECT' then [x] when 'ARRAY' then cast(x as json[]) end as l from s1),
+        s3 as (select *, unnest(range(0, len(l))) as sim_no from s2),
+        s as (select run_id, sim_no, l[sim_no + 1] as x, case when many then root || '.' || sim_no else root end as sim from s3),
+        v as (
+            select run_id, sim_no, sim, 'response' as kind, json_extract(x, '$.responses') as m, sim || '.' || (list_position(json_keys(x), 'responses') - 1) as loc from s where json_type(x) = 'OBJECT'
+            union all select run_id, sim_no, sim, 'axis', json_extract(x, '$.axis_scores'), sim || '.' || (list_position(json_keys(x), 'axis_scores') - 1) from s where json_type(x) = 'OBJECT'),
+        b as (select run_id, sim_no, sim, kind, case when kind = 'axis' and json_type(json_extract(m, '$.axes')) = 'OBJECT' then loc || '.' || (list_position(json_keys(m), 'axes') - 1) else loc end as loc,
+            case when kind = 'axis' and json_type(json_extract(m, '$.axes')) = 'OBJECT' then json_extract(m, '$.axes') else m end as m from v),
+        k as (select *, json_keys(m) as keys, unnest(range(0, len(json_keys(m)))) as i from b where json_type(m) = 'OBJECT'),
+        r as (select *, cast(m as json[]) as els, unnest(range(0, len(cast(m as json[])))) as i from b where json_type(m) = 'ARRAY'),
         e as (
-            select run_id, sim_no, 'response' as kind, x.key as name, x.value as v from (select run_id, sim_no, unnest(map_entries(cast(r as map(varchar, json)))) as x from s where json_type(r) = 'OBJECT')
-            union all select run_id, sim_no, 'response', coalesce(json_extract_string(x, '$.item'), json_extract_string(x, '$.item_id')), coalesce(json_extract(x, '$.answer'), json_extract(x, '$.response')) from (select run_id, sim_no, unnest(cast(r as json[])) as x from s where json_type(r) = 'ARRAY')
-            union all select run_id, sim_no, 'axis', x.key, x.value from (select run_id, sim_no, unnest(map_entries(cast(a as map(varchar, json)))) as x from a1 where json_type(a) = 'OBJECT')
-            union all select run_id, sim_no, 'axis', json_extract_string(x, '$.axis'), json_extract(x, '$.score') from (select run_id, sim_no, unnest(cast(a as json[])) as x from a1 where json_type(a) = 'ARRAY')),
-        n as (select run_id, sim_no, kind, name, {_number_sql("v")} as n from e where name is not null)"""
+            select run_id, sim_no, sim, kind, loc || '.' || i as label, keys[i + 1] as name, map_extract(cast(m as map(varchar, json)), keys[i + 1])[1] as v from k
+            union all select run_id, sim_no, sim, kind, loc || '.' || i, case kind when 'axis' then json_extract_string(els[i + 1], '$.axis') else coalesce(json_extract_string(els[i + 1], '$.item'), json_extract_string(els[i + 1], '$.item_id')) end,
+                case kind when 'axis' then json_extract(els[i + 1], '$.score') else coalesce(json_extract(els[i + 1], '$.answer'), json_extract(els[i + 1], '$.response')) end from r),
+        n as (select run_id, sim_no, sim, kind, label, name, case when isfinite(n) then n end as n from (select *, {_number_sql("v")} as n from e where name is not null))"""
 
 SQL = {
     "p2_found": f"""{_LINKS},
@@ -109,7 +117,14 @@ SQL = {
         select node as candidate_id, root as root_id, depth from walk
         union all select s.start, list_min(s.path[list_position(s.path, r.parent):]), cast(-1 as bigint) from steps s join rest r on r.node = s.at where list_contains(s.path, r.parent)""",
     "p3_found": f"""{_PAYLOADS}
-        select distinct run_id, sim_no, kind, name, cast(case when kind = 'axis' then round(n * 1000) else n end as bigint) as value from n where isfinite(n) and (kind = 'axis' or (n between 1 and 5 and n = floor(n)))""",
+        select distinct run_id, sim_no, kind, name, cast(case when kind = 'axis' then round(n * 1000) else n end as bigint) as value from n where n is not null and (kind = 'axis' or (n between 1 and 5 and n = floor(n)))""",
+    "p3_answers": f"{_PAYLOADS} select distinct run_id, sim_no, sim as sim_label, label, name as item_id, n as answer from n where kind = 'response'",
+    "p3_axis_scores": f"{_PAYLOADS} select distinct run_id, sim_no, sim as sim_label, label, name as axis, n as score from n where kind = 'axis'",
+    "p3_simulations": f"""{_PAYLOADS} select distinct run_id, sim_no, json_extract_string(x, '$.persona_id') as persona_id, json_extract_string(x, '$.survey_id') as survey_id, json_extract_string(x, '$.metadata.simulator_backend') as backend,
+        cast(json_extract(x, '$.metadata.student_state.fatigue') as double) as fatigue from s where json_type(x) = 'OBJECT'""",
+    "p3_runs": """with p as (select run_id, cast(payload as json) as j from experiment_runs where json_valid(payload))
+        select distinct run_id, json_extract_string(j, '$.mode') as mode, try_cast(json_extract_string(j, '$.seed') as bigint) as seed, try_cast(json_extract_string(j, '$.n_requested') as bigint) as n_requested, try_cast(json_extract_string(j, '$.experiment_score') as double) as experiment_score,
+            try_cast(json_extract_string(j, '$.schema_evaluation.sample_size') as bigint) as sample_size, try_cast(json_extract_string(j, '$.schema_evaluation.diversity_metrics.coverage') as double) as coverage, try_cast(json_extract_string(j, '$.slot_diversity_metrics.avg_dist') as double) as avg_dist from p""",
     "p2_paths": f"""{_LINKS},
         walk as (select node, node as path, cast(0 as bigint) as depth from links where parent is null
             union all select l.node, w.path || '/' || l.node, w.depth + 1 from walk w join links l on l.parent = w.node)

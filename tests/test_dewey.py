@@ -47,12 +47,22 @@ def test_run_values(spark):
     single = {"shadow_simulations": {"responses": {"q": 1}}}
     packed = {"shadow_simulations": json.dumps([{"responses": {"q": 1}}])}
     rows = [("r", json.dumps(RUN), "x"), ("r", json.dumps(again, indent=1), "x"), ("r", json.dumps(RUN)[:90], "x"), ("r", None, "x"), ("s", json.dumps(single), "y"), ("t", json.dumps(packed), "y"), ("u", "{}", None)]
-    n = dewey.run_nodes(spark.createDataFrame(rows, "run_id string, payload string, label string"))
+    n = spark.createDataFrame(rows, "run_id string, payload string, label string")
     assert {tuple(r) for r in dewey.run_values(n).collect()} == WANT | {("s", 0, "response", "q", 1), ("t", 0, "response", "q", 1)}
     sims = {(r["run_id"], r["sim_no"], r["persona_id"]) for r in dewey.simulations(n).collect()}
     assert ("r", 0, "p") in sims and ("r", 2, None) in sims and ("s", 0, None) in sims
 
 
 def test_empty_table(spark):
-    n = dewey.run_nodes(spark.createDataFrame([], "run_id string, payload string"))
+    n = spark.createDataFrame([], "run_id string, payload string")
     assert dewey.run_values(n).count() == 0
+
+
+def test_tables_keep_parents(spark):
+    doc = {"a": 1, "b": {"c": "x", "d": {"e": None}}, "l": [{"k": 1, "deep": [{"z": 5}]}, 7], "m": {"q": {"v": 2}, "w": [1]}}
+    df = spark.createDataFrame([("0", json.dumps(doc))], "doc string, text string")
+    r = {(x["path"], x["label"]): {(f["at"], f["key"].replace(dewey.SEP, "/")): f["value"] for f in x["fields"]} for x in dewey.tables(df, "doc", "text", ("$", "$.l[]", "$.l[].deep[]", "$.m"), ("$.m",), "v").collect()}
+    assert r["$", "0"] == {("0", "a"): "n1", ("1", "b"): "o", ("1.0", "b/c"): "sx", ("1.1", "b/d"): "o", ("1.1.0", "b/d/e"): "z", ("2", "l"): "l", ("3", "m"): "o"}
+    assert r["$.l[]", "0.2.0"] == {("0", "k"): "n1", ("1", "deep"): "l"} and r["$.l[]", "0.2.1"] == {("", ""): "n7"}
+    assert r["$.l[].deep[]", "0.2.0.1.0"] == {("0", "z"): "n5"}  # its parent's label is a prefix
+    assert r["$.m", "0.3"] == {("0", "q"): "n2", ("1", "w"): "l"} and len(r) == 5
