@@ -80,11 +80,20 @@ def levels(slots: DataFrame) -> DataFrame:
     )
 
 
+#: The narrative of a built persona, of 250 to 1800 characters as the rules ask, and what it tells.
+NARRATIVE = (
+    "This person works in a %s way, trusts %s most and is moved by %s. Plans are %s, attention is %s and curiosity %s. "
+    "When something proves hard the first answer is: %s; criticism leaves them %s, success %s. In doubt they choose what will %s, "
+    "and in a group they are the %s, whose way of coping is %s."
+)
+TOLD = ("dominant_mode", "evidence", "drive", "planning", "attention", "curiosity", "under_difficulty", "under_criticism", "under_success", "tradeoff", "collaboration", "coping")
+
+
 def build(slots: DataFrame) -> DataFrame:
-    """One persona per slot: all ladders, distinct core values and a short narrative."""
+    """One persona per slot: all ladders, distinct core values and a narrative that passes the length rule."""
     out = levels(slots).withColumns({k: ladder(k) for k in LADDERS})
     out = out.withColumn("core_values", F.array_distinct(F.array(pick(("curiosity", "fairness", "growth", "care", "craft"), "i"), F.lit("growth"), c("value"))))
-    return out.withColumn("narrative", F.format_string("Works in a %s way, starts from %s and plans %s; under difficulty %s.", c("dominant_mode"), F.coalesce("drive", F.lit("no clear drive")), c("planning"), c("under_difficulty")))
+    return out.withColumn("narrative", F.format_string(NARRATIVE, *[F.coalesce(c(n), F.lit("no clear drive")) for n in TOLD]))
 
 
 # Hints for a slot, as (rule, conditions on target axes and constraints).

@@ -93,16 +93,6 @@ def elites(long: DataFrame, by: list[str]) -> DataFrame:
     return finite(long, "value").groupBy(*by, "metric").agg(best.alias("b")).select(*by, "metric", c("b.id").alias("id"), (-c("b.v")).alias("value"))
 
 
-def running_best(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
-    """Adds ``best_before``, ``new_best`` and ``stale``: rows since the value last exceeded all before it."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    out = df.withColumn("best_before", F.max(value).over(before)).withColumn("_n", F.row_number().over(w))
-    out = out.withColumn("new_best", F.coalesce(c(value) > c("best_before"), F.lit(True)))
-    last = F.max(F.when(c("new_best"), c("_n"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return out.withColumn("stale", (c("_n") - last).cast("bigint")).drop("_n")
-
-
 def roles(df: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
     """``role, metric, candidate_id, value, fitness``: the best row per role, ties by fitness, then earliest generation.
 
@@ -199,26 +189,33 @@ def deficit_weights(parent, best) -> dict[str, Column]:
 def tree_stats(actions: DataFrame, depth: int = 3) -> DataFrame:
     """``node, operator, visits, value_sum, mean``: every prefix of a path gets the reward; ``actions`` has path (array), reward.
 
-    The path's last ``depth`` steps count. ``node`` is the prefix before the operator, joined by ``/``.
+    The path's last ``depth`` steps count, as in the policy (:mod:`policy`), and all their prefixes. ``node`` is the prefix before the operator, joined by ``/``.
     """
     p = actions.select(F.slice("path", F.greatest(F.lit(1), F.size("path") - depth + 1), F.lit(depth)).alias("path"), "reward").where(F.size("path") > 0)
     each = p.select(F.posexplode("path").alias("k", "operator"), "path", "reward").select(F.array_join(F.slice("path", 1, c("k")), "/").alias("node"), "operator", "reward")
     return each.groupBy("node", "operator").agg(F.count("*").cast("bigint").alias("visits"), F.sum("reward").alias("value_sum")).withColumn("mean", c("value_sum") / c("visits"))
 
 
-def uct(stats: DataFrame, exploration: float = 1.4, stagnation: int = 0, plateau: int = 4, widen: bool = False) -> DataFrame:
-    """Best operator per node by mean + c sqrt(ln(N + 1) / n); on a plateau c grows by a fifth per generation up to eight.
+def uct(stats: DataFrame, exploration: float = 1.4, stagnation: int = 0, plateau: int = 4, widen: bool = False, operators: list[str] | None = None) -> DataFrame:
+    """``node, operator, uct``: the operator that each node of :func:`tree_stats` takes next.
 
-    ``widen`` admits only the floor(sqrt N) + 1 best-known operators of a node. Ties go to the smaller operator id.
+    Of ``operators`` the smallest that the node has not tried (``uct`` is then null); else the best by mean + c sqrt(ln(N +
+    1) / n), where N counts the visits of the node, also those that end there. On a plateau c grows by a fifth per
+    generation up to eight. ``widen`` admits only floor(sqrt N) + 1 operators, the best-known first, then untried ones.
+    Ties go to the smaller id.
     """
-    n = Window.partitionBy("node")
+    names = sorted(operators or [])
+    n = Window.partitionBy("node")  # as many rows as there are operators
     factor = exploration * (1.0 + 0.2 * min(stagnation, 8)) if stagnation >= plateau else exploration
-    s = stats.withColumn("total", F.sum("visits").over(n))
-    if widen:
-        rank = F.row_number().over(n.orderBy(F.desc("mean"), F.desc("visits"), "operator"))
-        s = s.withColumn("_r", rank).where(c("_r") <= F.floor(F.sqrt(c("total").cast("double"))) + 1).drop("_r")
-    s = s.withColumn("uct", c("mean") + factor * F.sqrt(F.ln(c("total") + 1.0) / c("visits")))
-    return s.groupBy("node").agg(F.min(F.struct((-c("uct")).alias("u"), c("operator").alias("o"))).alias("b")).select("node", c("b.o").alias("operator"), (-c("b.u")).alias("uct"))
+    into = stats.select(F.when(c("node") == "", c("operator")).otherwise(F.concat_ws("/", "node", "operator")).alias("node"), c("visits").alias("_into"))
+    s = stats.join(into, "node", "left").withColumn("total", F.coalesce("_into", F.sum("visits").over(n)))
+    s = s.withColumn("_width", F.floor(F.sqrt(F.greatest(c("total"), F.lit(1)).cast("double"))) + 1 if widen else F.lit(1 << 30))
+    s = s.withColumn("_r", F.row_number().over(n.orderBy(F.desc("mean"), F.desc("visits"), "operator")))
+    score = F.when(c("_r") <= c("_width"), c("mean") + factor * F.sqrt(F.ln(c("total") + 1.0) / c("visits")))
+    best = F.min(F.when(c("_r") <= c("_width"), F.struct((-score).alias("u"), c("operator").alias("o"))))
+    g = s.groupBy("node").agg(best.alias("b"), F.count("*").alias("k"), F.max("_width").alias("w"), F.array_min(F.array_except(F.array(*map(F.lit, names)).cast("array<string>"), F.collect_set("operator"))).alias("free"))
+    free = c("free").isNotNull() & (c("k") < F.least(c("w"), F.lit(len(names))))
+    return g.select("node", F.when(free, c("free")).otherwise(c("b.o")).alias("operator"), F.when(~free, -c("b.u")).alias("uct"))
 
 
 def fitness_view(m, fitness: Column) -> dict[str, Column]:

@@ -57,6 +57,7 @@ ALLOWED = {
 }
 LENGTHS = {"family_context": (20, 1000), "narrative": (250, 1800), "identity_anchor": (20, 480), "moral_tension": (20, 600), "reasoning": (40, 900)}
 SIZES = {"core_values": (2, 6), "protective": (1, 5), "risks": (1, 5)}
+# Fixed values, too, down to the scenarios.
 TENSION = ("fear", "avoid", "pressure", "shame", "protect")
 EFFORT = ("deadline", "ritual", "burst", "crisis", "external structure")
 GROUNDING = ("habit", "strategy", "resource", "practice", "feedback", "motivation", "planning", "support")

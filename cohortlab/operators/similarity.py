@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.functions.scalars import jaccard
+from cohortlab.workspace import materialize
 
 c = F.col
 
@@ -41,9 +42,25 @@ def similar_pairs(rows: DataFrame, t: float) -> DataFrame:
     return found.unionByName(twins)
 
 
+def pair_counts(rows: DataFrame, t: float) -> DataFrame:
+    """``grp, n_pairs``: pairs of ids with similarity >= ``t``, counted without expanding copies.
+
+    Ids of one token set are one row of a weight; copies count n (n - 1) / 2 and two similar sets the product of theirs.
+    """
+    sets = rows.where("id is not null and tokens is not null").select("grp", "id", F.sort_array("tokens").alias("tokens"))
+    sets = materialize(sets.groupBy("grp", "tokens").agg(F.count("*").alias("n")).withColumn("id", F.xxhash64("tokens")), "sets")
+    own = sets.where("n > 1").select("grp", F.expr("n * (n - 1) div 2").alias("k"))
+    size = lambda x: sets.select("grp", c("id").alias(x), c("n").alias(f"n{x}"))
+    apart = similar_pairs(sets.where(F.size("tokens") > 0), t).join(size("a"), ["grp", "a"]).join(size("b"), ["grp", "b"]).select("grp", F.expr("na * nb").alias("k"))
+    return own.unionByName(apart).groupBy("grp").agg(F.sum("k").alias("k"))
+
+
 def duplicate_rate(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``grp, n, n_pairs, rate``: near-duplicate pairs over all pairs of a group; 0 for groups of one."""
+    """``grp, n, n_pairs, rate``: near-duplicate pairs over all pairs of a group; 0 for groups of one.
+
+    ``pairs`` are those of :func:`similar_pairs`, or counts of :func:`pair_counts`.
+    """
     n = rows.where("id is not null").groupBy("grp").agg(F.count("*").cast("bigint").alias("n"))
-    p = pairs.groupBy("grp").agg(F.count("*").alias("k"))
+    p = pairs if "k" in pairs.columns else pairs.groupBy("grp").agg(F.count("*").alias("k"))
     j = n.join(p, "grp", "left").withColumn("n_pairs", F.coalesce("k", F.lit(0)).cast("bigint"))
     return j.select("grp", "n", "n_pairs", F.coalesce(F.try_divide(c("n_pairs").cast("double"), c("n") * (c("n") - 1) / 2), F.lit(0.0)).alias("rate"))

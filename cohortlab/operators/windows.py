@@ -7,7 +7,7 @@ third of all rows is thus spread over a third of the tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions.scalars import clip
@@ -36,17 +36,29 @@ def _join(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     return out
 
 
+def _merged(a: Column, b: Column) -> Column:
+    """(n, mean, m2) of two sets of rows together."""
+    n, gap = a["n"] + b["n"], b["mean"] - a["mean"]
+    part = F.try_divide(b["n"], n)
+    return F.struct(n.alias("n"), (a["mean"] + F.coalesce(gap * part, F.lit(0.0))).alias("mean"), (a["m2"] + b["m2"] + F.coalesce(gap * gap * a["n"] * part, F.lit(0.0))).alias("m2"))
+
+
 def running(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
-    """Adds ``run_n, run_mean, run_std`` (sample, 0 for one row) up to and with each row; ``value`` must not be null."""
+    """Adds ``run_n, run_mean, run_std`` (sample, 0 for one row) up to and with each row; ``value`` must not be null.
+
+    Counts, means and squared deviations are merged, so values far from zero lose no digits.
+    """
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    state = lambda f: F.struct(f(F.count("*")).cast("double").alias("n"), f(F.avg(value)).alias("mean"), (f(F.var_pop(value)) * f(F.count("*"))).alias("m2"))
     parts = _spread(df, by, order)
-    before = _before(parts, by, {"n": (F.count("*"), F.sum), "s": (F.sum(value), F.sum), "q": (F.sum(c(value) * c(value)), F.sum)})
+    one = parts.groupBy("_p", *by).agg(state(lambda x: x).alias("_own"))
+    w = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = one.select("_p", *by, F.aggregate(F.collect_list("_own").over(w), zero, _merged).alias("_before"))  # one entry per partition
     w = Window.partitionBy("_p", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = parts.withColumns({"_n": F.count("*").over(w), "_s": F.sum(value).over(w), "_q": F.sum(c(value) * c(value)).over(w)})
-    j = _join(local, before, by)
-    n, s, q = (c(f"_{k}") + F.coalesce(c(f"_b_{k}"), F.lit(0)) for k in "nsq")
-    var = F.greatest(F.lit(0.0), F.try_divide(q - s * s / n, n - 1))
-    out = j.withColumns({"run_n": n, "run_mean": s / n, "run_std": F.when(n > 1, F.sqrt(var)).otherwise(0.0)})
-    return out.drop("_p", "_n", "_s", "_q", "_b_n", "_b_s", "_b_q")
+    j = _join(parts.withColumn("_own", state(lambda x: x.over(w))), before, by)
+    all_ = j.withColumn("_all", _merged(F.coalesce("_before", zero), c("_own")))
+    std = F.when(c("_all.n") > 1, F.sqrt(c("_all.m2") / (c("_all.n") - 1))).otherwise(0.0)
+    return all_.withColumns({"run_n": c("_all.n").cast("bigint"), "run_mean": c("_all.mean"), "run_std": std}).drop("_p", "_own", "_before", "_all")
 
 
 def z_scores(df: DataFrame, by: list[str], order: list[str], value: str, floor: float = 0.02, limit: float = 3.0) -> DataFrame:

@@ -91,8 +91,8 @@ def metric_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def batch_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with the sample deviation and standard error per seed."""
-    r = reports.rollup(_c(spark, sf).withColumns({m: _v(m) for m in METRICS}), ["seed_name"], [*METRICS, "fitness"], sample=True)
+    """The same with the standard error per seed, fitness included."""
+    r = reports.rollup(_c(spark, sf).withColumns({m: _v(m) for m in METRICS}), ["seed_name"], [*METRICS, "fitness"])
     return r.select("seed_name", "metric", "n", *_m("mean", "std", "sem"))
 
 
@@ -104,10 +104,10 @@ def sealed_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def elite_metric_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """Per generation: mean, median, largest, least and deviation of the islands' best fitness."""
-    b = reports.finite(_c(spark, sf), "fitness").where("island_id is not null").groupBy("generation", "island_id").agg(F.max("fitness").alias("best"))
-    s = b.groupBy("generation").agg(F.count("*").cast("bigint").alias("n_islands"), F.avg("best").alias("mean"), F.median("best").alias("median"), F.max("best").alias("best"), F.min("best").alias("least"), F.stddev_pop("best").alias("std"))
-    return s.select("generation", "n_islands", "best", "least", *_m("mean", "median", "std"))
+    """Per generation and metric: mean, median, largest, least and deviation of the islands' elites."""
+    b = reports.elites(_long(spark, sf), ["island_id", "generation"])
+    s = b.groupBy("generation", "metric").agg(F.count("*").cast("bigint").alias("n_islands"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.max("value").alias("best"), F.min("value").alias("least"), F.stddev_pop("value").alias("std"))
+    return s.select("generation", "metric", "n_islands", "best", "least", *_m("mean", "median", "std"))
 
 
 def _repeats(spark, sf):
@@ -226,14 +226,18 @@ def tree_stats(spark: SparkSession, sf: str) -> DataFrame:
     return reports.tree_stats(_paths(spark, sf)).select("node", "operator", "visits", *_m("value_sum", "mean"))
 
 
+def _styles(spark, sf) -> list[str]:
+    return [r[0] for r in _c(spark, sf).select(_style()).distinct().collect()]  # the few operators of the tree
+
+
 def tree_choice(spark: SparkSession, sf: str) -> DataFrame:
-    """Operator of each node by upper confidence, on a plateau."""
-    return reports.uct(reports.tree_stats(_paths(spark, sf)), 1.4, stagnation=6).select("node", "operator", *_m("uct"))
+    """Operator of each node: one that it has not tried, else by upper confidence, on a plateau."""
+    return reports.uct(reports.tree_stats(_paths(spark, sf)), 1.4, stagnation=6, operators=_styles(spark, sf)).select("node", "operator", *_m("uct"))
 
 
 def widened_choice(spark: SparkSession, sf: str) -> DataFrame:
-    """The same among the few best-known operators of a node."""
-    return reports.uct(reports.tree_stats(_paths(spark, sf)), 1.4, widen=True).select("node", "operator", *_m("uct"))
+    """The same among the few operators that a node's visits admit."""
+    return reports.uct(reports.tree_stats(_paths(spark, sf)), 1.4, widen=True, operators=_styles(spark, sf)).select("node", "operator", *_m("uct"))
 
 
 def lineage(spark: SparkSession, sf: str) -> DataFrame:
@@ -411,6 +415,9 @@ _path = f"""{C}, d as (select lower(trim(candidate_id)) as k, {_pk} as pk, {_st}
     pa as (select list_filter([g.style, p.style, d.style], lambda x: x is not null) as path, round(d.fitness - p.fitness, 9) as reward from d join d p on p.k = d.pk left join d g on g.k = p.pk),
     st as (select array_to_string(path[1:n - 1], '/') as node, path[n] as operator, reward from (select path, reward, unnest(range(1, len(path) + 1)) as n from pa)),
     tr as (select node, operator, count(*) as visits, sum(reward) as value_sum, sum(reward) / count(*) as mean from st group by all)"""
+_choice = f"""{_path}, ed as (select case when node = '' then operator else node || '/' || operator end as node, visits from tr),
+    t as (select tr.*, coalesce(ed.visits, sum(tr.visits) over (partition by tr.node)) as total, row_number() over (partition by tr.node order by mean desc, tr.visits desc, operator) as r from tr left join ed on ed.node = tr.node),
+    un as (select n.node, min(o.style) as operator from (select distinct node from tr) n, (select distinct style from d) o where not exists (select 1 from tr x where x.node = n.node and x.operator = o.style) group by n.node)"""
 _mv = lambda m: f"metrics['{m}']"
 _cl = lambda x: f"greatest(0.0, least(1.0, {x}))"
 _shadow = f"(1 - coalesce({_mv('shadow_mae')}, greatest(0.0, 1 - coalesce({_mv('alignment')}, 0.0))))"
@@ -460,9 +467,9 @@ SQL = {
     "global_best": f"with {C} select generation, arg_min(candidate_id, (-coalesce(fitness, {_mv('coverage')}, 0.0), candidate_id)) as candidate_id, max(coalesce(fitness, {_mv('coverage')}, 0.0)) as value from c group by generation",
     "seed_baseline": f"with {C}, {_me}, n as (select seed_name, count(*) as n from c group by 1) select e.seed_name, metric, round(sum(value) / any_value(n.n) + 1e-9, 6) as mean from e join n using (seed_name) group by all",
     "metric_rollup": f"with {C}, {_me} select island_id, metric, count(*) as n, round(avg(value) + 1e-9, 6) as mean, round(stddev_pop(value) + 1e-9, 6) as std from e where island_id is not null group by all",
-    "batch_rollup": f"with {C}, l as (select seed_name, x.key as metric, x.value as value from (select seed_name, unnest(list_concat(coalesce(map_entries(metrics), []), [{{'key': 'fitness', 'value': fitness}}])) as x from c) where x.value is not null and not isnan(x.value)) select seed_name, metric, count(*) as n, round(avg(value) + 1e-9, 6) as mean, round(coalesce(stddev_samp(value), 0) + 1e-9, 6) as std, round(coalesce(stddev_samp(value), 0) / sqrt(count(*)) + 1e-9, 6) as sem from l group by all",
+    "batch_rollup": f"with {C}, l as (select seed_name, x.key as metric, x.value as value from (select seed_name, unnest(list_concat(coalesce(map_entries(metrics), []), [{{'key': 'fitness', 'value': fitness}}])) as x from c) where x.value is not null and not isnan(x.value)) select seed_name, metric, count(*) as n, round(avg(value) + 1e-9, 6) as mean, round(stddev_pop(value) + 1e-9, 6) as std, round(stddev_pop(value) / sqrt(count(*)) + 1e-9, 6) as sem from l group by all",
     "sealed_rollup": f"with {C}, {_me} select metric, generation, cast(grouping(generation) as bigint) as over_all, count(*) as n, round(avg(value) + 1e-9, 6) as mean, round(stddev_pop(value) + 1e-9, 6) as std from e group by grouping sets ((metric, generation), (metric))",
-    "elite_metric_stats": f"with {C}, b as (select generation, island_id, max(fitness) as best from c where fitness is not null and isfinite(fitness) and island_id is not null group by all) select generation, count(*) as n_islands, max(best) as best, min(best) as least, round(avg(best) + 1e-9, 6) as mean, round(median(best) + 1e-9, 6) as median, round(stddev_pop(best) + 1e-9, 6) as std from b group by generation",
+    "elite_metric_stats": f"with {_lg}, b as (select generation, island_id, metric, max(value) as best from l group by all) select generation, metric, count(*) as n_islands, max(best) as best, min(best) as least, round(avg(best) + 1e-9, 6) as mean, round(median(best) + 1e-9, 6) as median, round(stddev_pop(best) + 1e-9, 6) as std from b group by all",
     "repeat_summary": "with r as (select distinct candidate_id, recorded_at, fitness from candidates where candidate_id is not null and fitness is not null and not isnan(fitness)) select candidate_id, count(*) as n, round(avg(fitness) + 1e-9, 6) as mean, round(coalesce(stddev_samp(fitness), 0) + 1e-9, 6) as std, round(coalesce(stddev_samp(fitness), 0) / sqrt(count(*)) + 1e-9, 6) as sem from r group by 1",
     "repeat_values": "with r as (select distinct candidate_id, recorded_at, fitness from candidates where candidate_id is not null and fitness is not null and not isnan(fitness)) select candidate_id, row_number() over (partition by candidate_id order by recorded_at, fitness) - 1 as repeat, fitness from r",
     "noise_floor": f"with {_lg}, t as (select seed_name, count(distinct generation) as runs from l group by 1) select l.seed_name, metric, count(*) as n, round(avg(value) + 1e-9, 6) as mean, round(coalesce(stddev_samp(value), 0) + 1e-9, 6) as std, round(min(value) + 1e-9, 6) as low, round(max(value) + 1e-9, 6) as high, round(max(value) - min(value) + 1e-9, 6) as range, round(2 * coalesce(stddev_samp(value), 0) + 1e-9, 6) as two_sigma from l join t using (seed_name) group by l.seed_name, metric having count(distinct generation) = any_value(runs)",
@@ -479,8 +486,12 @@ SQL = {
     "extinction_plan": f"with {C}, b as (select island_id, max(fitness) as best from c where fitness is not null and island_id is not null group by 1), r as (select *, row_number() over (order by best, island_id desc) as r, count(*) over () as n from b) select island_id, best, r <= greatest(1, floor((n - 1) / 2.0)) and r < n as extinct from r",
     "metric_heads": f"with {C} select candidate_id, array_to_string(list_sort(map_keys(metrics))[1:3], ',') as names from c",
     "tree_stats": f"with {_path} select node, operator, visits, round(value_sum + 1e-9, 6) as value_sum, round(mean + 1e-9, 6) as mean from tr",
-    "tree_choice": f"with {_path}, t as (select *, sum(visits) over (partition by node) as total from tr), u as (select *, mean + 1.4 * 2.2 * sqrt(ln(total + 1.0) / visits) as uct from t) select node, arg_min(operator, (-uct, operator)) as operator, round(max(uct) + 1e-9, 6) as uct from u group by node",
-    "widened_choice": f"with {_path}, t as (select *, sum(visits) over (partition by node) as total, row_number() over (partition by node order by mean desc, visits desc, operator) as r from tr), u as (select *, mean + 1.4 * sqrt(ln(total + 1.0) / visits) as uct from t where r <= floor(sqrt(total)) + 1) select node, arg_min(operator, (-uct, operator)) as operator, round(max(uct) + 1e-9, 6) as uct from u group by node",
+    "tree_choice": f"with {_choice}, u as (select *, mean + 1.4 * 2.2 * sqrt(ln(total + 1.0) / visits) as uct from t) select u.node, coalesce(any_value(un.operator), arg_min(u.operator, (-uct, u.operator))) as operator, round(case when any_value(un.operator) is null then max(uct) end + 1e-9, 6) as uct from u left join un on un.node = u.node group by u.node",
+    "widened_choice": f"""with {_choice}, w as (select *, floor(sqrt(greatest(1, total))) + 1 as width, count(*) over (partition by node) as k from t), u as (select *, mean + 1.4 * sqrt(ln(total + 1.0) / visits) as uct from w where r <= width)
+        select u.node, case when any_value(k) < any_value(width) and any_value(un.operator) is not null then any_value(un.operator) else arg_min(u.operator, (-uct, u.operator)) end as operator, round(case when any_value(k) < any_value(width) and any_value(un.operator) is not null then null else max(uct) end + 1e-9, 6) as uct from u left join un on un.node = u.node group by u.node""",
+    "operator_design": """with ops as (select printf('op%02d', k) as operator_id, case when k <= 15 then 'legacy' when k <= 21 then 'v3' else 'v4' end as family from (select unnest(range(1, 28)) as k)),
+        modes as (select * from (values ('prompt_only', 0), ('operator_only', 1), ('mixed', 2), ('numeric_only', 3)) m (mode, mode_no)), d as (select operator_id, family, mode, mode_no, unnest([1, 2, 3]) as replicate from ops, modes where mode <> 'numeric_only' or family <> 'v4')
+        select operator_id, family, mode, replicate, row_number() over (order by mode_no, operator_id, replicate) as run_no from d""",
     "lineage": f"with {C} select c.candidate_id, p.candidate_id as parent, c.island_id is distinct from p.island_id as migrated, round(c.fitness - p.fitness, 6) as gain from c join c p on lower(trim(p.candidate_id)) = lower(trim(c.parent_id))",
     "fitness_view": f"with {_view_sql} select candidate_id, {', '.join(f'round({n} + 1e-9, 6) as {n}' for n in _viewcols)} from vw",
     "parent_rewards": f"""with {_view_sql}, j as (select a, p, {" + ".join(f"case when a.{m} > p.{m} then 1 else 0 end" for m in reports.WEIGHTS)} as nb from vw a join vw p on lower(trim(p.candidate_id)) = lower(trim(a.parent_id)))

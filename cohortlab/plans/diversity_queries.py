@@ -21,9 +21,9 @@ def _points(spark, sf):
 
 
 def _vectors(spark, sf):
-    """``pop`` (label), ``id`` and the first three coordinates of each embedding, scaled to 0..1."""
-    e = _t(spark, sf, "embeddings")
-    return e.select(F.coalesce("label", F.lit(-1)).alias("pop"), c("vec_id").alias("id"), F.array(*[clip((c("embedding")[k].cast("double") + 0.6) / 1.2) for k in range(3)]).alias("point"))
+    """``pop`` (label), ``id`` and the whole embedding."""
+    e = _t(spark, sf, "embeddings").where("embedding is not null")
+    return e.select(F.coalesce("label", F.lit(-1)).alias("pop"), c("vec_id").alias("id"), c("embedding").cast("array<double>").alias("point"))
 
 
 def pairwise_distances(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,9 +104,16 @@ def grid_occupancy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def grid_archive(spark: SparkSession, sf: str) -> DataFrame:
-    """Best persona of each realised cell; the smallest id on ties."""
+    """Best persona of each realised cell, the best first; the smallest id on ties."""
     k = _cells(spark, sf).select(_name("r").alias("cell"), F.round("quality", 9).alias("q"), "persona_id")
-    return k.groupBy("cell").agg(F.min(F.struct((-c("q")).alias("q"), "persona_id")).alias("b"), F.count("*").cast("bigint").alias("n")).select("cell", c("b.persona_id").alias("persona_id"), F.round(-c("b.q") + 1e-9, 6).alias("quality"), "n")
+    return k.groupBy("cell").agg(F.min(F.struct((-c("q")).alias("q"), "persona_id")).alias("b"), F.count("*").cast("bigint").alias("n")).select("cell", c("b.persona_id").alias("persona_id"), F.round(-c("b.q") + 1e-9, 6).alias("quality"), "n").orderBy(F.desc("quality"), "cell")
+
+
+def cumulative_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Realised cells that a source reached first on each day, and all that it had reached by then."""
+    day = _t(spark, sf, "personas").groupBy("persona_id").agg(F.date_format(F.min("created_at"), "yyyy-MM-dd").alias("day"))
+    k = _cells(spark, sf).join(day, "persona_id").where("day is not null").select(F.coalesce("source", F.lit("none")).alias("source"), "day", _name("r").alias("cell"))
+    return reports.cumulative_cells(k, ["source"], "day")
 
 
 def grid_projections(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,7 +146,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         *(pairwise_distances, vector_distances, kl_uniform, coverage, dispersion, hull_volume, diversity_fitness, recorded_diversity),
-        *(mean_diversity, grid_cells, grid_occupancy, grid_archive, grid_projections, grid_sets, axis_spread),
+        *(mean_diversity, grid_cells, grid_occupancy, grid_archive, cumulative_cells, grid_projections, grid_sets, axis_spread),
     )
 }
 
@@ -147,7 +154,7 @@ from cohortlab.plans.survey_queries import _beh  # noqa: E402
 
 _dist = "sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))"
 _pts = f"{T.FILLED}, pt as (select coalesce(source, 'none') as pop, persona_id as id, cognitive_core as x, motivation_core as y, regulation_core as z from f)"
-_vec = "pt as (select coalesce(label, -1) as pop, vec_id as id, " + ", ".join(f"greatest(0.0, least(1.0, (embedding[{k + 1}]::double + 0.6) / 1.2)) as {n}" for k, n in enumerate("xyz")) + " from embeddings)"
+_vec = "pt as (select coalesce(label, -1) as pop, vec_id as id, cast(embedding as double[64]) as e from embeddings where embedding is not null)"
 _pairs = lambda name: f"select n.pop as {name}, count(b.id) as n_pairs, round(coalesce(avg({_dist}), 0) + 1e-9, 6) as avg_dist, round(coalesce(min({_dist}), 0) + 1e-9, 6) as min_dist from (select distinct pop from pt) n join pt a on a.pop = n.pop left join pt b on a.pop = b.pop and a.id < b.id group by n.pop"
 _bin = lambda v: f"least(greatest(cast(floor({v} * b) as bigint), 0), b - 1)"
 _step = lambda v: f"least(greatest(cast(floor(coalesce({v}, 0.5) * 4) as bigint), 0), 3)"
@@ -157,9 +164,15 @@ _cellsql = f"""{_beh}, {T.SLOTS}, {T.TRAITS}, j as (select bm.persona_id, {", ".
 _div = "e as (select run_id, arg_max({'m': diversity_metrics, 'v': validity_rate, 'd': near_duplicate_rate}, evaluated_at) as r from evaluations group by run_id)"
 _g = lambda k, d: f"coalesce(r.m['{k}'], {d})"
 _cl = lambda x: f"greatest(0.0, least(1.0, {x}))"
+_refs = lambda salt: "r as (select * from (values " + ", ".join(f"({i}, {x!r}::double, {y!r}::double, {z!r}::double)" for i, (x, y, z) in enumerate(diversity.reference_points(3, salt).tolist())) + ") v (ref, x, y, z)), nr as (select b.pop, a.ref, min(" + _dist + ") as d from r a, pt b group by all)"
 SQL = {
+    "coverage": f"with {_pts}, {_refs(1)} select pop as source, round(avg(case when d <= 0.2 then 1.0 else 0.0 end) + 1e-9, 6) as coverage from nr group by pop",
+    "dispersion": f"with {_pts}, {_refs(2)} select pop as source, round(max(d) + 1e-9, 6) as dispersion from nr group by pop",
+    "cumulative_cells": f"""with {_cellsql}, dy as (select persona_id, strftime(min(created_at), '%Y-%m-%d') as day from personas group by persona_id),
+        f as (select source, cell, min(day) as day from (select coalesce(source, 'none') as source, realised_cell as cell, day from kc join dy using (persona_id) where day is not null) group by all), n as (select source, day, count(*) as new_cells from f group by all)
+        select source, day, new_cells, cast(sum(new_cells) over (partition by source order by day) as bigint) as cells_so_far from n""",
     "pairwise_distances": f"with {_pts} {_pairs('source')}",
-    "vector_distances": f"with {_vec} {_pairs('label')}",
+    "vector_distances": f"with {_vec} {_pairs('label').replace(_dist, 'array_distance(a.e, b.e)')}",
     "kl_uniform": f"""with {_pts}, n as (select pop, count(*) as n, greatest(3, cast(floor(pow(count(*), 1.0 / 3)) as bigint)) as b from pt group by pop),
         h as (select pop, n, b, {_bin("x")} as i, {_bin("y")} as j, {_bin("z")} as k, count(*) as c from pt join n using (pop) group by all)
         select pop as source, n, cast(b * b * b as bigint) as bins, round(sum((c + 1e-10) / (n + b * b * b * 1e-10) * ln((c + 1e-10) / (n + b * b * b * 1e-10) * b * b * b)) + (b * b * b - count(*)) * (1e-10 / (n + b * b * b * 1e-10)) * ln(1e-10 / (n + b * b * b * 1e-10) * b * b * b) + 1e-9, 6) as kl from h group by pop, n, b""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortlab.functions import scalars as S
 from cohortlab.operators import builder, personas, rules, sampling, scoring, similarity, student
 from cohortlab.operators.personas import AXES
+from cohortlab.plans import expected
 from cohortlab.plans import sqltext as T
 from cohortlab.workspace import materialize
 
@@ -71,9 +72,10 @@ def validation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def validity_by_run(spark: SparkSession, sf: str) -> DataFrame:
-    """Valid personas per run."""
-    v = rules.validate(_traits(spark, sf))
-    return v.groupBy("run_id").agg(F.count("*").cast("bigint").alias("sample_size"), F.count_if("is_valid").cast("bigint").alias("valid_count"), F.round(F.avg(c("is_valid").cast("double")), 6).alias("validity_rate"))
+    """Valid personas per run, and personas per slot of the run."""
+    v = rules.validate(_traits(spark, sf)).groupBy("run_id").agg(F.count("*").cast("bigint").alias("sample_size"), F.count_if("is_valid").cast("bigint").alias("valid_count"), F.round(F.avg(c("is_valid").cast("double")), 6).alias("validity_rate"))
+    n = _t(spark, sf, "slots").where("run_id is not null").groupBy("run_id").agg(F.count_distinct("slot_id").cast("bigint").alias("n_slots"))
+    return v.join(n, "run_id", "left").withColumn("generation_rate", F.round(c("sample_size") / c("n_slots"), 6))
 
 
 def consistency(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,8 +90,8 @@ def population_consistency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def consistency_rule_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Issues per rule."""
-    return rules.rule_counts(_scored(spark, sf), [])
+    """Issues per rule, in order of the rules."""
+    return rules.rule_counts(_scored(spark, sf), []).orderBy("rule_id", "severity")
 
 
 TEXTS = ("family_context", "narrative", "identity_anchor", "moral_tension", "reasoning")
@@ -101,7 +103,7 @@ def blueprint_critic(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("persona_id", F.array_join("missing", ",").alias("missing"), (F.size("missing") >= 3).alias("is_error"))
 
 
-STATES = ("stress", "fatigue", "perceived_autonomy", "perceived_competence", "social_safety", "task_interest", "avoidance", "recovery", "flexibility", "autonomous", "defensive", "capacity", "confidence", "growth", "reactivity", "accuracy", "stress2", "fatigue2", "perceived_autonomy2", "perceived_competence2", "social_safety2", "task_interest2", "avoidance2", "recovery2", "self_access", "variability", "acquiescence", "desirability", "uncertainty", "extremity", "compression")
+STATES = ("stress", "fatigue", "perceived_autonomy", "perceived_competence", "social_safety", "task_interest", "avoidance", "recovery_capacity", "cognitive_flexibility", "autonomous_orientation", "defensive_orientation", "self_regulation_capacity", "social_confidence", "growth_readiness", "pressure_reactivity", "reflective_accuracy", "stress2", "fatigue2", "perceived_autonomy2", "perceived_competence2", "social_safety2", "task_interest2", "avoidance2", "recovery_capacity2", "honest_self_access", "state_variability", "acquiescence", "social_desirability", "uncertainty_preference", "extremity_preference", "fatigue_compression")
 
 
 def _contexts(spark, sf):
@@ -242,7 +244,7 @@ def _dup_rows(spark, sf):
 def near_duplicate_rates(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate pairs of narratives per source, exactly."""
     rows = _dup_rows(spark, sf)
-    d = similarity.duplicate_rate(rows, similarity.similar_pairs(rows, 0.8))
+    d = similarity.duplicate_rate(rows, similarity.pair_counts(rows, 0.8))
     return d.select(c("grp").alias("source"), "n", "n_pairs", F.round("rate", 8).alias("rate"))
 
 
@@ -311,20 +313,13 @@ _consistent = f"""{T.ALIGNED}, d as (select *, {_difficulty} as difficulty from
     z as (select *, 0.08::double * len(list_filter(il, lambda q: q like '%:error')) + 0.035::double * len(list_filter(il, lambda q: q like '%:warning')) as penalty from y),
     k as (select *, greatest(0.0, 1.0 - least(0.65, penalty)) as rule_score from z),
     w as (select *, 0.7 * axis_alignment + 0.3 * rule_score as score from k)"""
-_ctx_cues = ", ".join(f"max(greatest(case when {T.contains('tx', a)} then 1.0 else 0.0 end, {w} * case when {T.contains('tx', b)} then 1.0 else 0.0 end)) as {n}" for n, (a, b, w) in student.CUES.items())
-_ctx = f"u as (select survey_id, concat_ws(' ', context, text) as tx from survey_items where survey_id is not null), q as (select survey_id, {_ctx_cues} from u group by survey_id), " + T.stages("q", (student.CONTEXT,), "ctx")[0]
-
-
-def _drive_sql(table: dict[str, float]) -> str:
-    return "case " + " ".join(f"when drive = '{k}' then {v}" for k, v in table.items()) + " else 0.0 end"
-
-
-_drives = ", ".join(f"{_drive_sql(t)} as {n}" for n, t in student.DRIVES.items())
-_st1, _n1 = T.stages("st", (*student.STATE, *student.TRAITS, *student.STATE2), "g")
-_st2, _n2 = T.stages("sp", student.STYLE, "h")
+_ctx = f"u as (select survey_id, concat_ws(' ', context, text) as tx from survey_items where survey_id is not null), q as (select survey_id, {expected.cues('tx', 'max({})')} from u group by survey_id), {expected.steps('q', expected.CONTEXTS, 'ctx')[0]}"
+_ctx_last = expected.steps("q", expected.CONTEXTS, "ctx")[1]
+_context_names = [x.split()[0] for x in expected.lines(expected.CONTEXTS)]
+_gap = "greatest(growth_readiness, defensive_orientation) - least(growth_readiness, defensive_orientation)"
+_st1, _n1 = expected.steps("st", expected.STATES.replace("1*growth_gap", f"1*({_gap})".replace(" ", "")), "g")
 _states = f"""{T.FILLED}, {_ctx}, pr as (select distinct persona_id, survey_id from simulations),
-    st as (select pr.survey_id, f.*, ctx0.* exclude (survey_id), {_drives} from pr join f using (persona_id) join ctx0 on ctx0.survey_id = pr.survey_id), {_st1},
-    sp as (select *, abs(growth - defensive) as _spread from {_n1}), {_st2}"""
+    st as (select pr.survey_id, f.*, {", ".join(f"x.{n}" for n in _context_names)}, {", ".join(expected.drive(x) for x in expected.lines(expected.DRIVES))} from pr join f using (persona_id) join {_ctx_last} x on x.survey_id = pr.survey_id), {_st1}"""
 _levels = f"""{T.SLOTS}, ix as (select *, cast('0x' || substring(md5(slot_id), 1, 6) as bigint) % 1000 + 1 as i from s),
     lv as (select *, coalesce(target_cognitive_core, 0.5) as cog, coalesce(target_motivation_core, 0.5) as mot, coalesce(target_regulation_core, 0.5) as reg, constraints.primary_drive as drive,
         constraints.stress_band as stress_band, constraints.social_energy_band as energy_band, constraints.derived_performance_band as performance_band,
@@ -346,7 +341,7 @@ SQL = {
     "persona_bound_axes": f"with {T.FILLED} select persona_id, round(cognitive_core, 6) as axis_openness, round(motivation_core, 6) as axis_ownership, round(regulation_core, 6) as axis_self_regulation_resilience, 0.5::double as axis_unbound from f",
     "persona_matrix": f"with {T.FILLED}, m as (select persona_id, {_axes} from f) select *, concat_ws(',', cast(floor(cognitive_core * 1000) as bigint), cast(floor(motivation_core * 1000) as bigint), cast(floor(regulation_core * 1000) as bigint)) as row from m",
     "validation": f"with {_validated} select persona_id, issues, not contains(issues, ':error') as is_valid, cast((length(issues) - length(replace(issues, ':error', ''))) / 6 as bigint) as hard_errors from v",
-    "validity_by_run": f"with {_validated} select run_id, count(*) as sample_size, cast(count(*) filter (where not contains(issues, ':error')) as bigint) as valid_count, round(avg(case when contains(issues, ':error') then 0.0 else 1.0 end), 6) as validity_rate from v group by run_id",
+    "validity_by_run": f"with {_validated}, vr as (select run_id, count(*) as sample_size, cast(count(*) filter (where not contains(issues, ':error')) as bigint) as valid_count, round(avg(case when contains(issues, ':error') then 0.0 else 1.0 end), 6) as validity_rate from v group by run_id), sn as (select run_id, count(distinct slot_id) as n_slots from slots where run_id is not null group by run_id) select vr.*, n_slots, round(sample_size / n_slots, 6) as generation_rate from vr left join sn using (run_id)",
     "consistency": f"with {_consistent} select persona_id, issues, round(axis_alignment, 6) as axis_alignment, round(rule_score, 6) as rule_score, round(score, 6) as score from w",
     "population_consistency": f"""with {_consistent}, p as (select run_id, count(*) as sample_size, cast(sum(len(il)) as bigint) as issue_count, avg(score) as mean_score, min(score) as min_score, avg(axis_alignment) as axis_alignment_mean,
         avg(rule_score) as rule_score_mean, avg(1 - axis_alignment) as axis_target_mae, least(1.0, sum(penalty) / count(*)) as weighted_issue_rate, sum(len(il)) / count(*) as issue_rate from w group by run_id)
@@ -354,10 +349,10 @@ SQL = {
     "consistency_rule_counts": f"with {_consistent}, e as (select unnest(il) as q from w) select string_split(q, ':')[1] as rule_id, string_split(q, ':')[2] as severity, count(*) as n from e group by all",
     "blueprint_critic": f"""with {T.TRAITS}, b as (select persona_id, concat_ws(' ', {", ".join(TEXTS)}) as blob from t), m as (select persona_id, list_filter([{", ".join(f"case when not {T.contains('blob', w)} then '{n}' end" for n, w in rules.SCENARIOS.items())}], lambda x: x is not null) as l from b)
         select persona_id, array_to_string(l, ',') as missing, len(l) >= 3 as is_error from m""",
-    "survey_contexts": f"with {_ctx} select survey_id, {', '.join(f'round({n}, 6) as {n}' for n in student.CONTEXT)} from ctx0",
-    "student_states": f"with {_states} select persona_id, survey_id, {', '.join(f'round({n}, 6) as {n}' for n in STATES)} from {_n2}",
-    "item_mechanisms": f"""with {T.ITEMS}, m as (select *, list_filter([{", ".join(f"case when {T.contains('text', w)} then '{n}' end" for n, w in student.MECHANISMS.items())}], lambda x: x is not null) as l from i)
-        select item_id, case when len(l) = 0 then '{student.GENERAL}' else array_to_string(l, '|') end as mechanisms,
+    "survey_contexts": f"with {_ctx} select survey_id, {', '.join(f'round({n}, 6) as {n}' for n in _context_names)} from {_ctx_last}",
+    "student_states": f"with {_states} select persona_id, survey_id, {', '.join(f'round({n}, 6) as {n}' for n in STATES)} from {_n1}",
+    "item_mechanisms": f"""with {T.ITEMS}, m as (select *, list_filter([{", ".join(f"case when {expected.has('text', x.split(':')[1])} then '{x.split(':')[0]}' end" for x in expected.lines(expected.MECHANISMS))}], lambda x: x is not null) as l from i)
+        select item_id, case when len(l) = 0 then 'no special one' else array_to_string(l, '|') end as mechanisms,
             case when direction = -1 then 'reverse' else 'forward' end || '; ' || case when cardinality(axis_weights) = 0 then 'none' else array_to_string(list_transform(list_sort(map_keys(axis_weights)), lambda k: k || ':' || format('{{:.2f}}', axis_weights[k])), ', ') end || '; ' ||
             case when list_contains(map_keys(axis_weights), 'motivation_core') then 'motivation' when list_contains(map_keys(axis_weights), 'regulation_core') then 'regulation' when list_contains(map_keys(axis_weights), 'cognitive_core') then 'cognition' else 'context' end as hint from m""",
     "calibration_flags": f"""with {T.FILLED} select persona_id, array_to_string(list_filter([{", ".join(f"case when {n} {op} {v} then '{k}' end" for k, (n, op, v) in WARNINGS.items())}, case when drive in {OUTER_DRIVES!r} then 'outer_drive' end], lambda x: x is not null), ',') as flags from f""",
@@ -365,7 +360,8 @@ SQL = {
     "built_personas": f"""with {_levels}, b as (select *, {", ".join(f"{builder.ladder_sql(k)} as {k}" for k in builder.LADDERS)} from lv)
         select slot_id, cast(lo + i % (hi - lo + 1) as bigint) as age, round(greatest(0.0, least(1.0, sb + 0.1 * (1.0 - reg))), 6) as stress, round(energy, 6) as energy, {", ".join(builder.LADDERS)},
             case when v = 'growth' then 'growth,' || value else v || ',growth,' || value end as core_values,
-            'Works in a ' || dominant_mode || ' way, starts from ' || coalesce(drive, 'no clear drive') || ' and plans ' || planning || '; under difficulty ' || under_difficulty || '.' as narrative
+            'This person works in a ' || dominant_mode || ' way, trusts ' || evidence || ' most and is moved by ' || coalesce(drive, 'no clear drive') || '. Plans are ' || planning || ', attention is ' || attention || ' and curiosity ' || curiosity || '. ' ||
+            'When something proves hard the first answer is: ' || under_difficulty || '; criticism leaves them ' || under_criticism || ', success ' || under_success || '. In doubt they choose what will ' || tradeoff || ', and in a group they are the ' || collaboration || ', whose way of coping is ' || coping || '.' as narrative
         from (select *, ['curiosity', 'fairness', 'growth', 'care', 'craft'][cast((i - 1) % 5 as int) + 1] as v from b)""",
     "slot_hints": f"with {_levels} select slot_id, array_to_string({builder.hints_sql()}, ',') as hints from lv",
     "slot_blueprints": f"""with {_levels} select slot_id, {_band("cog")} as cognitive_band, {_band("mot")} as motivation_band, {_band("reg")} as regulation_band,

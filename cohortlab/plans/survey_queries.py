@@ -148,6 +148,11 @@ def survey_tasks(spark: SparkSession, sf: str) -> DataFrame:
     return p.join(s, "run_id").select("run_id", "persona_id", "survey_id", F.row_number().over(w).cast("bigint").alias("task_no"))
 
 
+def all_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every persona with every survey, in order."""
+    return sampling.tasks(_traits(spark, sf), "persona_id", _items(spark, sf), "survey_id")
+
+
 def split_digests(spark: SparkSession, sf: str) -> DataFrame:
     """Items and digest per split, by which a frozen split is recognised."""
     i = _items(spark, sf).withColumn("split", F.coalesce(F.lower(F.trim("split")), F.lit("none")))
@@ -193,7 +198,7 @@ QUERIES = {
     for f in (
         *(construct_scores, survey_axis_scores, behaviour_means, element_defaults, behaviour_report, split_simulations, remapped_weights),
         *(response_quality, repeat_stability, axis_stability, axis_correlation, discrimination, backend_deltas, survey_windows),
-        *(survey_tasks, split_digests, expected_answers, shared_items, uncovered_axes, seed_repeats, frozen_split),
+        *(survey_tasks, all_tasks, split_digests, expected_answers, shared_items, uncovered_axes, seed_repeats, frozen_split),
     )
 }
 
@@ -213,6 +218,7 @@ _win = """b as (select *, row_number() over (order by item_id) - 1 as no, (selec
     mx as (select split, s, unnest(range(1, len(l) + 1)) as r, l from ms), fi as (select axis, arg_min(item_id, no) as first from (select no, item_id, unnest(map_keys(axis_weights)) as axis from b) group by axis),
     sw as (select split, s, 12 - r as p, first from mx join fi on fi.axis = l[r])"""
 SQL = {
+    "all_tasks": "with p as (select persona_id, row_number() over (order by persona_id) - 1 as i from (select distinct persona_id from personas where persona_id is not null)), s as (select survey_id, row_number() over (order by survey_id) - 1 as j, count(*) over () as n from (select distinct survey_id from survey_items where survey_id is not null and item_id is not null)) select persona_id, survey_id, cast(i * n + j as bigint) as task_no from p, s",
     "construct_scores": f"with {T.SCORED} select sim_id, construct, round(avg(score) + 1e-9, 6) as score, count(*) as n_items from sc where construct is not null group by all",
     "survey_axis_scores": f"with {_simax} select sim_id, axis, round(score + 1e-9, 6) as score from sx",
     "behaviour_means": f"with {_beh}, {T.TRAITS} select t.persona_id, {', '.join(f'round(coalesce(bm.{a}, 0.5) + 1e-9, 6) as {a}' for a in AXES)} from t left join bm using (persona_id)",

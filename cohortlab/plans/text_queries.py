@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions import scalars, texts
 from cohortlab.operators import rules, student
+from cohortlab.plans import expected
 from cohortlab.plans.persona_queries import _m, _t
 from cohortlab.sources.artifacts import count_patterns
 
@@ -81,8 +82,8 @@ def _has(words) -> str:
     return "(" + (" or ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in words) or "false") + ")"
 
 
-_cue = ", ".join(f"greatest(case when {_has(a)} then 1.0 else 0.0 end, {w} * case when {_has(b)} then 1.0 else 0.0 end) as {n}" for n, (a, b, w) in student.CUES.items())
-_sum = ", ".join("round(greatest(0.0, least(1.0, " + " + ".join([repr(k)] + [f"{w!r} * {n}" for n, w in ws.items()]) + f")) + 1e-9, 6) as {name}" for name, (k, ws) in student.CONTEXT.items())
+_cue = expected.cues("text")
+_sum = ", ".join(f"round({sql} + 1e-9, 6) as {name}" for name, sql in map(expected.formula, expected.lines(expected.CONTEXTS)))
 _rep = "r as (select event_id, case when event_id % 3 = 0 then substring(props, 1, length(props) - 1) else props end as reply from events)"
 SQL = {
     "log_counts": "select source, " + ", ".join(f"cast(sum((length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{p}', ''))) / {len(p)}) as bigint) as {n}" for n, p in PATTERNS.items()) + " from documents group by source",

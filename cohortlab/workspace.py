@@ -7,6 +7,7 @@ intermediate result, and a long chain of rounds never has to be recomputed.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -16,7 +17,10 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where none is set (tests, notebooks)."""
+    """The session's checkpoint folder; one of our own only where none is set and the session has one machine (tests).
+
+    A session on a cluster without a checkpoint folder is an error: a machine-local folder would lose tables.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
@@ -24,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     now = context._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="cohortlab-")
     context.setCheckpointDir(own)
     return shared_dir(spark)
