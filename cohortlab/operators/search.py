@@ -1,13 +1,15 @@
 """The island search: plan, mutate, evaluate, update elites, spread, checkpoint; one driver iteration per generation.
 
-State is two small tables in the shared folder (elites by island and metric, history by generation); a generation reads
-the last state and writes the next, so a lost driver resumes from the last complete one.
+With a ``path`` every generation writes its elites, its results and its metrics there, and last a small file that names
+it complete; a driver that is lost or killed goes on from the last complete generation in a new session, with the same
+elites, history and learnt policy. Without a path the state is given back and lives as long as the session.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
@@ -16,8 +18,10 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions.texts import genome_hash, phenotype_hash
 from cohortlab.operators import genome as G
+from cohortlab.operators import reports
+from cohortlab.operators.policy import Policy
 from cohortlab.operators.sampling import PRIMES, condition, radical_inverse
-from cohortlab.workspace import materialize
+from cohortlab.workspace import drop, materialize, read_text, write_text
 
 c = F.col
 ROLES = ("global_best", "coverage", "alignment", "consistency", "diversity", "axis_target", "schema")
@@ -31,7 +35,11 @@ class Config:
     seed: int = 7
     base_scale: float = 0.2
     extinction_every: int = 5
+    extinction_seconds: float | None = None
     plateau: int = 4
+    learn: bool = True
+    widen: bool = False
+    repeats: int = 1
     workers: int = 4
     family: str = "free"
 
@@ -91,57 +99,156 @@ def extinct(elites: DataFrame) -> DataFrame:
     return j.select("island_id", "metric", F.when(take, c("bv")).otherwise(c("value")).alias("value"), F.when(take, c("bc")).otherwise(c("candidate_id")).alias("candidate_id"), F.when(take, c("bg")).otherwise(c("child")).alias("child"))
 
 
-def plan(spark: SparkSession, config: Config, generation: int, operators: DataFrame, stagnation: int) -> DataFrame:
-    """One job per island and child: mode, scale and operator in turn."""
+def plan(spark: SparkSession, config: Config, generation: int, operators: DataFrame, stagnation: int, policy: Policy | None = None) -> DataFrame:
+    """One job per island and child: mode, scale and operator, which the policy chooses, or else comes in turn."""
     ops = G.family(operators, config.family)
     w = Window.orderBy("operator_id")
     ranked = ops.withColumn("k", F.row_number().over(w) - 1)
-    total = ranked.count()
     jobs = spark.range(config.islands * config.children).select((c("id") % config.islands).cast("int").alias("island_id"), F.floor(c("id") / config.islands).cast("int").alias("child_idx"), F.lit(generation).alias("generation"))
-    jobs = jobs.withColumn("mode", G.mode_of(c("child_idx"))).withColumn("k", F.pmod(F.lit(generation * 7) + c("island_id") * 3 + c("child_idx"), F.lit(total)).cast("int"))
+    if policy is None:
+        jobs = jobs.withColumn("k", F.pmod(F.lit(generation * 7) + c("island_id") * 3 + c("child_idx"), F.lit(ranked.count())).cast("int"))
+        jobs = jobs.join(F.broadcast(ranked), "k").drop("k")  # 27 operators
+    else:
+        chosen = [(i, k, policy.choose(generation, i, k)) for i in range(config.islands) for k in range(config.children)]
+        jobs = jobs.join(F.broadcast(spark.createDataFrame(chosen, "island_id int, child_idx int, operator_id string")), ["island_id", "child_idx"]).join(F.broadcast(ranked.drop("k")), "operator_id")  # one row per child
     table = F.create_map(*[F.lit(x) for kv in G.MODE_SCALE.items() for x in kv])
-    scale = G.mutation_scale(config.base_scale, F.lit(stagnation), F.lit(generation)) * F.element_at(table, c("mode"))
-    return jobs.withColumn("scale", scale).join(F.broadcast(ranked), "k").drop("k")  # 27 operators
+    jobs = jobs.withColumn("mode", G.mode_of(c("child_idx")))
+    return jobs.withColumn("scale", G.mutation_scale(config.base_scale, F.lit(stagnation), F.lit(generation)) * F.element_at(table, c("mode")))
+
 
+RESULT = "island_id int, child_idx int, generation int, child string, parent_id string, operator_id string, phenotype string, code string, metrics map<string,double>, candidate_id string, cache_hit boolean"
+CACHE = "phenotype string, metrics map<string,double>"
+ELITES = "island_id int, metric string, value double, candidate_id string, child string"
 
-def run(spark: SparkSession, config: Config, first: list[str], evaluate: Evaluator, resume: dict | None = None) -> dict:
+
+def run(spark: SparkSession, config: Config, first: list[str], evaluate: Evaluator, resume: dict | None = None, path: str | None = None) -> dict:
     """Search from seed genomes (one per island, in turn). Returns elites, history, results and the state to resume from.
 
-    ``evaluate`` gives ``phenotype, metrics`` for rows of ``phenotype, child``; failures are rows with zero metrics.
+    ``evaluate`` gives ``phenotype, metrics`` for rows of ``phenotype, child, repeat``; failures are rows with zero
+    metrics. What would become an elite is evaluated ``config.repeats`` times before it does. ``path`` holds the search
+    (any folder that all executors share); if it already has complete generations, the search goes on from them.
     """
     ops = G.catalogue(spark)
+    if path and resume is None:
+        resume = load(spark, path)
     if resume:
         if resume["fingerprint"] != config.fingerprint():
             raise ValueError("the configuration differs from that of the run to resume")
         elites, results, cache, history, start = (resume[k] for k in ("elites", "results", "cache", "history", "generation"))
-        history = list(history)
+        history, spread = [tuple(h) for h in history], resume["spread"]
+        policy = Policy.restore(resume["policy"]) if resume["policy"] else None
     else:
+        names = [r[0] for r in G.family(ops, config.family).select("operator_id").orderBy("operator_id").collect()]
+        policy = Policy(names, widen=config.widen, plateau=config.plateau) if config.learn else None
         seeds = spark.createDataFrame([(i, 0, 0, first[i % len(first)], None, None) for i in range(config.islands)], "island_id int, child_idx int, generation int, child string, parent_id string, operator_id string")
-        cache = spark.createDataFrame([], "phenotype string, metrics map<string,double>")
-        elites = spark.createDataFrame([], "island_id int, metric string, value double, candidate_id string, child string")
-        results, cache, elites = _evaluate(seeds, cache, elites, evaluate)
-        history, start = [(0, elites.where("metric = 'global_best'").agg(F.max("value")).first()[0])], 1
+        results, cache, elites = (spark.createDataFrame([], k) for k in (RESULT, CACHE, ELITES))
+        new, fresh, elites = _evaluate(seeds, cache, elites, evaluate, config.repeats)
+        history, start, spread = [(0, _best(elites))], 1, [0, time.time()]
+        results, cache, elites = _keep(spark, path, 0, config, results, cache, new, fresh, elites, history, policy, spread)
     for g in range(start, config.generations + 1):
         stagnation = _stagnation(history)
-        jobs = choose_parents(elites, plan(spark, config, g, ops, stagnation), stagnation, config.plateau)
+        jobs = choose_parents(elites, plan(spark, config, g, ops, stagnation, policy), stagnation, config.plateau)
         children = G.mutate(jobs.select("island_id", "child_idx", "generation", "mode", "scale", "operator_id", "family", "axis", "stretch", "bias", "module", "genome", "parent_id"), config.seed)
-        new, cache, elites = _evaluate(children.select("island_id", "child_idx", "generation", "child", "parent_id", "operator_id"), cache, elites, evaluate)
-        results = materialize(results.unionByName(new), "results")
-        if g % config.extinction_every == 0:
-            elites = materialize(extinct(elites), "elites")
-        history.append((g, elites.where("metric = 'global_best'").agg(F.max("value")).first()[0]))
-    state = {"fingerprint": config.fingerprint(), "elites": elites, "results": results, "cache": cache, "history": history, "generation": max(start, config.generations + 1)}
-    return {"elites": elites, "results": results, "history": spark.createDataFrame(history, "generation int, best double"), "state": state}
+        new, fresh, elites = _evaluate(children.select("island_id", "child_idx", "generation", "child", "parent_id", "operator_id"), cache, elites, evaluate, config.repeats)
+        if extinction_due(config, g, spread[0], time.time() - spread[1]):
+            elites, spread = materialize(extinct(elites), "elites"), [g, time.time()]
+        history.append((g, _best(elites)))
+        if policy:
+            _learn(policy, g, new, results, history)
+        results, cache, elites = _keep(spark, path, g, config, results, cache, new, fresh, elites, history, policy, spread)
+    state = {"fingerprint": config.fingerprint(), "elites": elites, "results": results, "cache": cache, "history": history, "generation": max(start, config.generations + 1), "policy": policy.state() if policy else None, "spread": spread}
+    return {"elites": elites, "results": results, "history": spark.createDataFrame(history, "generation int, best double"), "state": state, "policy": policy}
+
+
+def extinction_due(config: Config, generation: int, last: int, seconds: float) -> bool:
+    """Every so many generations, or after so many seconds, but never in the generation right after one."""
+    due = generation % config.extinction_every == 0 or config.extinction_seconds is not None and seconds >= config.extinction_seconds
+    return due and (last == 0 or generation - last > 1)
+
+
+def _best(elites: DataFrame) -> float | None:
+    return elites.where("metric = 'global_best'").agg(F.max("value")).first()[0]
 
 
-def _evaluate(children: DataFrame, cache: DataFrame, elites: DataFrame, evaluate: Evaluator) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _evaluate(children: DataFrame, cache: DataFrame, elites: DataFrame, evaluate: Evaluator, repeats: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The children with their metrics, the metrics of new phenotypes, and the elites after them."""
     children = materialize(children, "children")
     new, hashed = unevaluated(children, cache)
-    fresh = materialize(evaluate(new.select("phenotype", "child")), "metrics")
-    cache = materialize(cache.unionByName(fresh.select("phenotype", "metrics")), "cache")
-    out = hashed.join(cache, "phenotype").withColumn("candidate_id", F.substring("code", 1, 12))
-    out = materialize(out.join(fresh.select("phenotype", F.lit(False).alias("cache_hit")), "phenotype", "left").withColumn("cache_hit", F.coalesce("cache_hit", F.lit(True))), "evaluated")
-    return out, cache, materialize(merge_elites(elites, out), "elites")
+    fresh = materialize(evaluate(new.select("phenotype", "child", F.lit(1).alias("repeat"))).select("phenotype", "metrics"), "metrics")
+
+    def judged(metrics: DataFrame) -> DataFrame:
+        known = cache.withColumn("cache_hit", F.lit(True)).unionByName(metrics.withColumn("cache_hit", F.lit(False)))
+        return hashed.join(known, "phenotype").withColumn("candidate_id", F.substring("code", 1, 12)).select(*[x.split()[0] for x in RESULT.split(", ")])
+
+    if repeats > 1:
+        out = materialize(judged(fresh), "first")
+        doubtful = confirm(out.where("not cache_hit"), merge_elites(elites, out), out.select("candidate_id").distinct(), repeats)
+        again = doubtful.select(phenotype_hash("child").alias("phenotype"), "child", F.explode(F.sequence(F.lit(2), c("missing") + 1)).alias("repeat")).dropDuplicates(["phenotype", "repeat"])
+        more = evaluate(again).select("phenotype", "metrics").unionByName(fresh.join(again.select("phenotype").distinct(), "phenotype", "left_semi"))
+        mean = more.select("phenotype", F.explode("metrics").alias("k", "v")).groupBy("phenotype", "k").agg(F.avg("v").alias("v")).groupBy("phenotype").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("metrics"))
+        fresh = materialize(fresh.join(mean.select("phenotype"), "phenotype", "left_anti").unionByName(mean), "confirmed")
+    out = materialize(judged(fresh), "evaluated")
+    return out, fresh, materialize(merge_elites(elites, out), "elites")
+
+
+def _learn(policy: Policy, generation: int, new: DataFrame, before: DataFrame, history: list) -> None:
+    """Rewards of a generation's children over their parents go to the policy: one row per child."""
+    parents = before.select(c("candidate_id").alias("parent_id"), c("metrics").alias("old")).dropDuplicates(["parent_id"])
+    j = new.join(parents, "parent_id", "left")
+    old, now = (lambda m: F.element_at("old", F.lit(m))), (lambda m: F.element_at("metrics", F.lit(m)))
+    better = F.filter(F.map_keys("metrics"), lambda k: F.element_at("metrics", k) > F.coalesce(F.element_at("old", k), F.lit(0.0)))
+    rows = j.select("island_id", "child_idx", reports.reward(old, now, F.when(F.size(better) > 0, better)).alias("reward"), (F.size(better) > 0).alias("improved"), now("global_best").alias("best")).orderBy("island_id", "child_idx").collect()
+    so_far = max((b for _, b in history[:-1] if b is not None), default=float("-inf"))
+    for r in rows:
+        policy.record(generation, r["island_id"], r["child_idx"], r["reward"] or 0.0, bool(r["improved"]), r["best"] is not None and r["best"] > so_far)
+
+
+def _keep(spark, path, g, config, results, cache, new, fresh, elites, history, policy, spread) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Results, metrics and elites up to a generation; durable if there is a path."""
+    if not path:
+        return results.unionByName(new), cache.unionByName(fresh), elites
+    at = f"{path}/generation={g:05d}"
+    for name, df in (("results", new), ("cache", fresh), ("elites", elites)):
+        df.write.mode("overwrite").parquet(f"{at}/{name}")
+    state = {"fingerprint": config.fingerprint(), "history": history, "policy": policy.state() if policy else None, "spread": spread}
+    write_text(spark, f"{at}/complete.json", json.dumps(state))
+    for df in (new, fresh, elites):
+        drop(df)
+    kept = load(spark, path)
+    return kept["results"], kept["cache"], kept["elites"]
+
+
+def load(spark: SparkSession, path: str) -> dict | None:
+    """The state of a search after its last complete generation, or None."""
+    g, last = 0, None
+    while (text := read_text(spark, f"{path}/generation={g:05d}/complete.json")) is not None:
+        last, g = json.loads(text), g + 1
+    if last is None:
+        return None
+    read = lambda name, kind: spark.read.schema(kind).parquet(*[f"{path}/generation={k:05d}/{name}" for k in range(g)])
+    elites = spark.read.schema(ELITES).parquet(f"{path}/generation={g - 1:05d}/elites")
+    return last | {"elites": elites, "results": read("results", RESULT), "cache": read("cache", CACHE), "generation": g}
+
+
+def study(spark: SparkSession, config: Config, first: list[str], evaluate: Evaluator, sealed_evaluate: Evaluator, path: str) -> dict:
+    """Search, then the sealed evaluation of its elites, then summaries and a manifest in ``path``; each step can be resumed."""
+    done = run(spark, config, first, evaluate, path=path)
+    test = sealed(done["elites"], sealed_evaluate)
+    test.write.mode("overwrite").parquet(f"{path}/sealed")
+    by_generation = done["results"].groupBy("generation").agg(F.count("*").alias("n"), F.count_if("cache_hit").alias("cached"), F.max(F.element_at("metrics", F.lit("global_best"))).alias("best"), F.avg(F.element_at("metrics", F.lit("global_best"))).alias("mean"))
+    by_generation.write.mode("overwrite").parquet(f"{path}/summary")
+    best = done["elites"].where("metric = 'global_best'").orderBy(F.desc("value"), "island_id").first()
+    manifest = {"config": asdict(config), "fingerprint": config.fingerprint(), "generations": config.generations, "best": {"candidate_id": best["candidate_id"], "value": best["value"], "island_id": best["island_id"]} if best else None, "tables": ["sealed", "summary", "generation=*/results", "generation=*/elites", "generation=*/cache"]}
+    write_text(spark, f"{path}/manifest.json", json.dumps(manifest, sort_keys=True))
+    return done | {"sealed": spark.read.parquet(f"{path}/sealed"), "summary": spark.read.parquet(f"{path}/summary"), "manifest": manifest}
+
+
+def config_of(spark: SparkSession, path: str) -> Config:
+    """The configuration that a manifest holds."""
+    text = read_text(spark, f"{path}/manifest.json")
+    if text is None:
+        raise FileNotFoundError(f"no manifest in {path}")
+    return Config(**json.loads(text)["config"])
 
 
 def _stagnation(history: list[tuple[int, float]]) -> int:

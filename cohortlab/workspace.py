@@ -64,6 +64,37 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _fs(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in any file system Spark knows, whole or absent: it is written beside its place and renamed."""
+    fs, target = _fs(spark, path)
+    beside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + ".part")
+    out = fs.create(beside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    fs.delete(target, False)
+    if not fs.rename(beside, target):
+        raise OSError(f"can't rename to {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, or None if there is none."""
+    fs, target = _fs(spark, path)
+    if not fs.exists(target):
+        return None
+    stream = fs.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:

@@ -223,3 +223,61 @@ def test_design(spark):
     d = genome.factorial(genome.catalogue(spark), genome.MODES, 2, [("numeric_only", "v4")])
     assert d.count() == 27 * 4 * 2 - 6 * 2 and d.agg(F.max("run_no")).first()[0] == d.count()
     assert genome.family(genome.catalogue(spark), "free").count() == 21
+
+
+def test_running_deviation_far_from_zero(spark):
+    """Values around a billion with a deviation of 1: squared sums would lose every digit."""
+    import numpy as np
+    from cohortlab.operators import windows
+
+    v = 1e9 + np.random.default_rng(1).standard_normal(400)
+    df = spark.createDataFrame([("g", i, float(x)) for i, x in enumerate(v)], "g string, i int, v double").repartition(4)
+    got = {r["i"]: (r["run_n"], r["run_mean"], r["run_std"]) for r in windows.running(df, ["g"], ["i"], "v").collect()}
+    for i in (0, 1, 57, 399):
+        assert got[i][0] == i + 1 and got[i][1] == pytest.approx(v[: i + 1].mean(), abs=1e-6) and got[i][2] == pytest.approx(v[: i + 1].std(ddof=1) if i else 0.0, abs=1e-5)
+
+
+def test_pair_counts_weigh_copies(spark):
+    from cohortlab.operators import similarity
+
+    words = [f"w{i}" for i in range(20)]
+    rows = [("g", f"a{i}", words) for i in range(30)] + [("g", f"b{i}", [*words, "new"]) for i in range(10)] + [("g", "e1", []), ("g", "e2", []), ("g", "e3", []), ("g", None, words), ("h", "x", None)]
+    df = spark.createDataFrame(rows, "grp string, id string, tokens array<string>")
+    assert {r["grp"]: r["k"] for r in similarity.pair_counts(df, 0.8).collect()} == {"g": 40 * 39 // 2 + 3}
+    assert similarity.similar_pairs(df, 0.8).count() == 40 * 39 // 2 + 3
+
+
+def test_all_tasks(spark):
+    from cohortlab.operators import sampling
+
+    a, b = spark.createDataFrame([("p2",), ("p1",), (None,), ("p1",)], "p string"), spark.createDataFrame([(f"s{i}",) for i in range(5)], "s string")
+    got = sorted((r["task_no"], r["p"], r["s"]) for r in sampling.tasks(a, "p", b, "s", block=2).collect())
+    assert got == [(k, "p1" if k < 5 else "p2", f"s{k % 5}") for k in range(10)]
+    assert sampling.tasks(a, "p", b.limit(0), "s").count() == 0
+
+
+def test_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from cohortlab import workspace
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        workspace.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+
+
+@pytest.mark.parametrize("table", ["STATE", "TRAITS", "STATE2", "STYLE"])
+def test_a_wrong_weight_shows(spark, sf, table, monkeypatch):
+    """The SQL twins have their own constants: a changed weight makes them differ."""
+    from cohortlab.operators import student
+    from cohortlab.plans import registry
+
+    from tests import oracle
+
+    stages = getattr(student, table)
+    name, (constant, weights) = next(iter(stages[0].items()))
+    wrong = {**stages[0], name: (constant, {**weights, next(iter(weights)): 0.011})}
+    monkeypatch.setattr(student, table, (wrong, *stages[1:]))
+    got = oracle.rows(registry.queries()["student_states"](spark, sf))
+    assert got != oracle.sql_rows(oracle.tables(sf), registry.oracle_sql()["student_states"])

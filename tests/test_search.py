@@ -2,6 +2,7 @@ import json
 
 import pytest
 from cohortlab.operators import genome, search
+from cohortlab.operators.policy import Policy
 
 SEED = json.dumps({"quota_weights": {"a": 0.5, "b": 0.5}, "axis_bias": dict.fromkeys(genome.AXES, 0.1), "axis_stretch": dict.fromkeys(genome.AXES, 1.0), "style": "plain"}, sort_keys=True)
 CONFIG = search.Config(islands=2, children=2, generations=2, extinction_every=2)
@@ -51,3 +52,79 @@ def test_confirmation(spark):
     eli = spark.createDataFrame([("a",)], "candidate_id string")
     rep = spark.createDataFrame([("a", 1)], "candidate_id string, k int")
     assert [(r["candidate_id"], r["missing"]) for r in search.confirm(res, eli, rep, 3).collect()] == [("a", 2)]
+
+
+def test_a_killed_search_goes_on_from_its_folder(spark, tmp_path):
+    """Stopped in the middle of a generation, and in another process for what the driver knows: same elites, same policy."""
+    evaluate = search.conditioned_evaluator(spark, 16)
+    whole = search.run(spark, CONFIG, [SEED], evaluate, path=f"{tmp_path}/a")
+    calls = []
+
+    def dying(rows):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("killed")
+        return evaluate(rows)
+
+    with pytest.raises(RuntimeError, match="killed"):
+        search.run(spark, CONFIG, [SEED], dying, path=f"{tmp_path}/b")
+    assert search.load(spark, f"{tmp_path}/b")["generation"] == 2
+    again = search.run(spark, CONFIG, [], evaluate, path=f"{tmp_path}/b")
+    rows = lambda d: sorted(map(tuple, d.select("island_id", "metric", "value", "candidate_id").collect()))
+    assert rows(again["elites"]) == rows(whole["elites"]) and again["state"]["history"] == whole["state"]["history"]
+    assert again["policy"].state() == whole["policy"].state() and again["results"].count() == whole["results"].count()
+    with pytest.raises(ValueError, match="differs"):
+        search.run(spark, search.Config(islands=3), [], evaluate, path=f"{tmp_path}/b")
+
+
+def test_study_and_manifest(spark, tmp_path):
+    config = search.Config(islands=2, children=1, generations=1, repeats=2)
+    evaluate = search.conditioned_evaluator(spark, 16)
+    seen = []
+
+    def noisy(rows):  # the second evaluation gives half of the first
+        seen.append(sorted(r[0] for r in rows.select("repeat").distinct().collect()))
+        half = rows.select("phenotype", "repeat").distinct()
+        return evaluate(rows.select("phenotype", "child").distinct()).join(half, "phenotype").selectExpr("phenotype", "transform_values(metrics, (k, v) -> v / repeat) as metrics")
+
+    done = search.study(spark, config, [SEED], noisy, evaluate, f"{tmp_path}/s")
+    assert [2] in seen  # would-be elites were evaluated again
+    top = done["elites"].where("metric = 'schema'").first()["value"]
+    assert top == pytest.approx(0.75)  # the mean of 1 and 0.5
+    assert search.config_of(spark, f"{tmp_path}/s") == config and done["manifest"]["best"]["value"] == search._best(done["elites"])
+    assert done["sealed"].count() == done["elites"].count() and done["summary"].count() == 2
+
+
+def test_extinction_interval_time_and_guard():
+    c = search.Config(extinction_every=3, extinction_seconds=10.0)
+    assert [g for g in range(1, 8) if search.extinction_due(c, g, 0, 0.0)] == [3, 6]
+    assert search.extinction_due(c, 4, 0, 11.0) and not search.extinction_due(c, 4, 3, 11.0) and not search.extinction_due(c, 4, 2, 1.0)
+
+
+def test_policy_learns_and_restores():
+    p = Policy(["a", "b", "c"])
+    assert [p.choose(1, 0, k) for k in range(3)] == ["a", "b", "c"]  # untried first, siblings apart
+    for k, r in enumerate((0.1, 0.9, -0.2)):
+        p.record(1, 0, k, r, r > 0.5)
+    assert p.nodes[""].visits == 3 and p.paths[0] == ["b"] and p.edges[""]["b"].mean == 0.9
+    assert p.choose(2, 1, 0) == "b" and p.choose(2, 0, 0) == "a"  # island 0 stands at a node that has tried nothing
+    p.record(2, 0, 0, 0.5, True)
+    assert p.paths[0] == ["b", "a"] and p.nodes["b"].visits == 2 and p.nodes["b/a"].visits == 1
+    q = Policy.restore(p.state())
+    assert q.state() == p.state() and q.choose(3, 1, 0) == p.choose(3, 1, 0)
+    assert p.record(9, 9, 9, 1.0, True) == 0.0  # unknown children are ignored
+    deep = Policy(["a"], depth=2)
+    for g in range(5):
+        deep.choose(g, 0, 0), deep.record(g, 0, 0, 1.0, True)
+    assert deep.paths[0] == ["a", "a"] and max(len(k.split("/")) for k in deep.nodes) == 2
+    assert "b" not in {o for own in Policy.restore(p.state(), ["a", "c"]).edges.values() for o in own}
+
+
+def test_policy_widens_and_standardises():
+    p = Policy([f"o{i}" for i in range(9)], widen=True, standardise=True)
+    picks = []
+    for g in range(6):
+        picks.append(p.choose(g, 0, 0))
+        p.record(g, 0, 0, 0.5 if g else 0.1, False)
+        p.paths.clear()
+    assert len(set(picks)) <= 4 and abs(p.seen[1] - (0.1 + 5 * 0.5) / 6) < 1e-12
