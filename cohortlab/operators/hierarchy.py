@@ -1,12 +1,16 @@
 """Parent-child links of unknown depth: root, depth, path, descendants and loops.
 
-A weighted disjoint-set forest is built per block of links (each node keeps an anchor and its distance to it, with path
-compression by pointer jumping on arrays). Only the *boundary* nodes, which other blocks refer to, are merged further:
-their anchors are composed pairwise, so a chain over many blocks halves with every round. Nodes that never reach a root
-lead into a loop. Each node's result is the composition of its block's offset with that of its anchor.
+Weighted disjoint-set forests are built partition by partition: each node keeps an anchor, its distance to it and the
+smallest id on the way, with path compression by pointer jumping on arrays. Only the *boundary* nodes, to which other
+blocks refer, go on. They are a forest of the same kind, with longer links, and are merged hierarchically: neighbouring
+blocks together into blocks of the next level, until one block of bounded size holds what is left. Then ends are handed
+down level by level, and each node's result is the composition of its offset with that of its anchor.
 
-Memory: a block has at most ``block_rows`` links whatever the size of a tree, and the rounds are ordinary shuffled joins
-on boundary nodes. Nothing is collected but one count a round.
+If the rows have no locality at all, merging neighbours leaves most boundary nodes on the boundary. Such a level is
+composed by shuffled joins instead, in which every chain halves with each round. Nodes that never reach a root lead into
+a loop.
+
+Memory: no task holds more than ``block_rows`` links, whatever the size of a tree. Nothing is collected but counts.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +28,16 @@ from cohortlab.workspace import drop, materialize
 OPEN, ROOTED, LOOP = 0, 1, 2
 
 
-def _compress(parent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _compress(parent: np.ndarray, rank: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Weighted forest over one block.
 
-    ``parent`` holds positions, -1 for a local top. Returns each node's top, its distance, the smallest rank from the
-    node up to the top inclusive, and whether it leads into a loop (then the smallest rank is that of the loop only).
+    ``parent`` holds positions, -1 for a local top; ``weight`` the length of the link to it. Returns each node's top, its
+    distance, the smallest rank from the node up to the top inclusive, and whether it leads into a loop (then the
+    smallest rank is that of the loop only).
     """
     n = len(parent)
     top = np.where(parent < 0, np.arange(n), parent)
-    far = (parent >= 0).astype(np.int64)
+    far = np.where(parent >= 0, weight, 0)
     low = np.where(parent >= 0, np.minimum(rank, rank[top]), rank)
     for _ in range(max(1, int(n).bit_length())):
         if np.array_equal(top[top], top):
@@ -68,42 +74,48 @@ def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+FOREST = "node string, anchor string, hops bigint, state int, least string, block bigint"
+
+
 def _forest(block_rows: int, with_path: bool):
+    """Input and output: :data:`FOREST` (and ``path``, the nodes from a node up to its anchor, the anchor left out).
+
+    An open row links its node to its anchor; what ends inside the block, or leaves it, is known afterwards.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 20
         for block in _blocks(batches, block_rows):
-            names = block.column("node").to_pylist()
-            above = block.column("parent").to_pylist()
+            names, anchors, lows = (block.column(c).to_pylist() for c in ("node", "anchor", "least"))
+            hops, state = (np.array(block.column(c).to_pylist(), np.int64) for c in ("hops", "state"))
             at = {x: i for i, x in enumerate(names)}
-            parent = np.fromiter((-1 if p is None else at.get(p, -1) for p in above), np.int64, len(names))
-            order = sorted(range(len(names)), key=names.__getitem__)
+            parent = np.fromiter((at.get(x, -1) if s == OPEN else -1 for x, s in zip(anchors, state.tolist(), strict=True)), np.int64, len(names))
+            order = sorted(range(len(names)), key=lows.__getitem__)
             rank = np.empty(len(names), np.int64)
             rank[order] = np.arange(len(names))
-            top, far, low, looped = _compress(parent, rank)
-            anchor, hops, state, least, paths = [], [], [], [], []
-            for i in range(len(names)):
-                t = int(top[i])
-                beyond = above[t]
-                least.append(names[order[low[i]]])
-                if looped[i]:
-                    anchor.append(least[-1]), hops.append(-1), state.append(LOOP)
-                elif beyond is None:
-                    anchor.append(names[t]), hops.append(int(far[i])), state.append(ROOTED)
-                else:
-                    anchor.append(beyond), hops.append(int(far[i]) + 1), state.append(OPEN)
-                if with_path:
+            top, far, low, looped = _compress(parent, rank, hops)
+            least = [lows[order[k]] for k in low.tolist()]
+            ends = np.where(looped | (state[top] == LOOP), LOOP, state[top])
+            far = np.where(ends == LOOP, -1, far + hops[top])
+            # A loop is named by its smallest id, which an end that was known before has as its anchor.
+            anchor = [x if c else anchors[t] for x, c, t in zip(least, looped.tolist(), top.tolist(), strict=True)]
+            columns = [pa.array(names, pa.string()), pa.array(anchor, pa.string()), pa.array(far), pa.array(ends.astype(np.int32)), pa.array(least, pa.string()), pa.array(np.full(len(names), number), pa.int64())]
+            fields = [x.split()[0] for x in FOREST.split(", ")]
+            if with_path:
+                own = block.column("path").to_pylist()
+                paths: list[list[str] | None] = []
+                for i in range(len(names)):
                     chain: list[str] | None = None
-                    if not looped[i]:
-                        chain, k = [names[i]], int(parent[i])
+                    if ends[i] != LOOP:
+                        chain, k = [], i
                         while k >= 0:
-                            chain.append(names[k])
+                            chain += own[k]
                             k = int(parent[k])
                     paths.append(chain)
-            columns = [pa.array(names, pa.string()), pa.array(anchor, pa.string()), pa.array(hops, pa.int64()), pa.array(state, pa.int32()), pa.array(least, pa.string())]
-            fields = ["node", "anchor", "hops", "state", "least"]
-            if with_path:
                 columns.append(pa.array(paths, pa.list_(pa.string())))
                 fields.append("path")
             yield from pa.table(columns, fields).to_batches(max_chunksize=10_000)
+            number += 1
 
     return run
 
@@ -134,44 +146,76 @@ def resolve(df: DataFrame, node: str, parent: str, *, key=lambda c: c, locality:
     if locality:
         near = [f"near{i}" for i in range(len(locality))]
         links = links.repartitionByRange(*near, "node").sortWithinPartitions(*near, "node")  # a hot value is split, too
-    schema = "node string, anchor string, hops bigint, state int, least string" + ", path array<string>" * with_path
-    local = materialize(links.select("node", "parent").mapInArrow(_forest(block_rows, with_path), schema), "forest")
-    ends, loops = _merge(local, with_path)
-    # What is still open ends where its boundary node ends.
-    e = ends.select(F.col("node").alias("anchor"), F.col("anchor").alias("root"), F.col("hops").alias("more"), F.col("state").alias("ended"), *([F.col("path").alias("above")] if with_path else []))
-    z = loops.select(F.col("node").alias("anchor"), F.col("least").alias("loop"))
-    done = local.where(F.col("state") != OPEN)
-    first = [F.col("node"), F.col("anchor").alias("root"), F.col("hops").alias("depth")]
-    out = done.select(*first, *([_from_root("path")] if with_path else []))
-    rest = local.where(F.col("state") == OPEN).join(e, "anchor", "left").join(z, "anchor", "left")
-    caught = F.col("loop").isNotNull() | (F.col("ended") == LOOP)
-    more = rest.select(
+    open_ = F.col("parent").isNotNull()
+    start = links.select("node", F.coalesce("parent", "node").alias("anchor"), open_.cast("bigint").alias("hops"), F.when(open_, OPEN).otherwise(ROOTED).cast("int").alias("state"), F.col("node").alias("least"), F.lit(0).cast("bigint").alias("block"), *([F.array("node").alias("path")] if with_path else []))
+    schema = FOREST + ", path array<string>" * with_path
+    local = materialize(start.mapInArrow(_forest(block_rows, with_path), schema), "forest")
+    ends = _merge(local, block_rows, with_path)
+    out = local.where(F.col("state") != OPEN).unionByName(_handed_down(local, ends, with_path))
+    path = [F.when(F.col("state") == ROOTED, F.reverse("path")).alias("path")] if with_path else []
+    return out.select("node", F.col("anchor").alias("root"), F.col("hops").alias("depth"), *path)
+
+
+def _handed_down(level: DataFrame, ends: DataFrame, with_path: bool) -> DataFrame:
+    """The open rows of a level, which end where their boundary nodes end."""
+    e = ends.select(F.col("node").alias("anchor"), F.col("anchor").alias("a2"), F.col("hops").alias("h2"), F.col("state").alias("s2"), *([F.col("path").alias("p2")] if with_path else []))
+    return level.where(F.col("state") == OPEN).join(e, "anchor").select(
         "node",
-        F.coalesce("loop", "root").alias("root"),
-        F.when(caught, F.lit(-1)).otherwise(F.col("hops") + F.col("more")).cast("bigint").alias("depth"),
-        *([F.when(~caught, F.reverse(F.concat("path", "above"))).alias("path")] if with_path else []),
+        F.col("a2").alias("anchor"),
+        F.when(F.col("s2") == LOOP, F.lit(-1)).otherwise(F.col("hops") + F.col("h2")).cast("bigint").alias("hops"),
+        F.col("s2").alias("state"),
+        "least",
+        "block",
+        *([F.when(F.col("s2") != LOOP, F.concat("path", "p2")).alias("path")] if with_path else []),
     )
-    return out.unionByName(more)
 
 
-def _from_root(path: str) -> Column:
-    return F.reverse(F.col(path)).alias(path)
+def _boundary(level: DataFrame) -> DataFrame:
+    """The nodes of a level at which open rows of other blocks end."""
+    targets = level.where(F.col("state") == OPEN).select(F.col("anchor").alias("node")).distinct()
+    return materialize(level.join(targets, "node", "left_semi"), "boundary")
 
 
-def _merge(local: DataFrame, with_path: bool) -> tuple[DataFrame, DataFrame]:
-    """Ends of the boundary nodes, and (node, least) of those that lead into a loop over several blocks."""
-    targets = local.where(F.col("state") == OPEN).select(F.col("anchor").alias("node")).distinct()
-    start = materialize(local.join(targets, "node", "left_semi"), "boundary")
+def _merge(local: DataFrame, block_rows: int, with_path: bool) -> DataFrame:
+    """Ends of the boundary nodes of the first level: no row of the result is open."""
+    schema = local.schema
+    levels: list[DataFrame] = []
+    now = _boundary(local)
+    while True:
+        n, left = now.agg(F.count("*"), F.count_if(F.col("state") == OPEN)).first()
+        if left == 0:
+            ends = now
+            break
+        if n <= block_rows:  # one block holds all that is left
+            ends = materialize(now.repartition(1).mapInArrow(_forest(block_rows, with_path), schema), "ends")
+            break
+        groups = -(-2 * n // block_rows)
+        merged = materialize(now.repartitionByRange(groups, "block").mapInArrow(_forest(block_rows, with_path), schema), "level")
+        above = _boundary(merged)
+        if above.count() > 0.7 * n:  # neighbours hardly refer to each other
+            drop(above), drop(merged)
+            ends = _doubled(now, with_path)
+            break
+        levels.append(merged)
+        now = above
+    for level in reversed(levels):  # a level holds all rows of the boundary below it
+        ends = materialize(level.where(F.col("state") != OPEN).unionByName(_handed_down(level, ends, with_path)), "ends")
+    return ends
+
+
+def _doubled(start: DataFrame, with_path: bool) -> DataFrame:
+    """Ends of boundary nodes by composing every open node with its anchor's anchor, round after round."""
     now, open_before = start, None
-    none = start.select("node", "least").limit(0)
     while True:
         left = now.where(F.col("state") == OPEN).count()
         if left == 0:
-            return now, none
+            return now
         if left == open_before:
             # No node ended although all looked twice as far: the rest never ends.
             stuck = now.where(F.col("state") == OPEN)
-            return now.where(F.col("state") != OPEN), _loops(start, stuck)
+            z = _loops(start, stuck).withColumnRenamed("least", "loop")
+            caught = stuck.join(z, "node").select("node", F.col("loop").alias("anchor"), F.lit(-1).cast("bigint").alias("hops"), F.lit(LOOP).alias("state"), "least", "block", *([F.lit(None).cast("array<string>").alias("path")] if with_path else []))
+            return materialize(now.where(F.col("state") != OPEN).unionByName(caught), "ends")
         open_before = left
         nxt = materialize(_compose(now, with_path), "round")
         if now is not start:
@@ -181,18 +225,7 @@ def _merge(local: DataFrame, with_path: bool) -> tuple[DataFrame, DataFrame]:
 
 def _compose(now: DataFrame, with_path: bool) -> DataFrame:
     """Every open node takes over its anchor's anchor."""
-    other = now.select(F.col("node").alias("anchor"), F.col("anchor").alias("a2"), F.col("hops").alias("h2"), F.col("state").alias("s2"), *([F.col("path").alias("p2")] if with_path else []))
-    moved = now.where(F.col("state") == OPEN).join(other, "anchor")
-    return now.where(F.col("state") != OPEN).unionByName(
-        moved.select(
-            "node",
-            F.col("a2").alias("anchor"),
-            F.when(F.col("s2") == LOOP, F.lit(-1)).otherwise(F.col("hops") + F.col("h2")).cast("bigint").alias("hops"),
-            F.col("s2").alias("state"),
-            "least",
-            *([F.when(F.col("s2") != LOOP, F.concat("path", "p2")).alias("path")] if with_path else []),
-        )
-    )
+    return now.where(F.col("state") != OPEN).unionByName(_handed_down(now, now, with_path))
 
 
 def _loops(start: DataFrame, stuck: DataFrame) -> DataFrame:
@@ -204,8 +237,9 @@ def _loops(start: DataFrame, stuck: DataFrame) -> DataFrame:
         now = on.count()
         if now == size:
             break
-        size = now
+        size, old = now, reach
         reach = materialize(reach.join(reach.select(F.col("node").alias("anchor"), F.col("anchor").alias("a2")), "anchor").select("node", F.col("a2").alias("anchor")), "reach")
+        drop(old)
     ring = materialize(start.join(on, "node", "left_semi").select("node", "anchor", "least"), "ring")
     while True:  # the smallest id over a window that doubles
         wider = materialize(

@@ -59,3 +59,24 @@ def test_empty_and_hot_parent(spark):
     assert hierarchy.resolve(spark.createDataFrame([], "id string, up string"), "id", "up").count() == 0
     parent = {"root": None} | {f"k{i}": "root" for i in range(500)}
     assert solve(spark, parent, block_rows=40) == brute(parent)
+
+
+def test_neighbouring_blocks_merge_level_by_level(spark, monkeypatch):
+    """With locality the boundary shrinks at every level and no round of joins is needed; loops cross blocks, too."""
+    monkeypatch.setattr(hierarchy, "_doubled", lambda *a: pytest.fail("no locality found"))
+    made, forest = [], hierarchy._forest
+    monkeypatch.setattr(hierarchy, "_forest", lambda rows, path: made.append(rows) or forest(rows, path))
+    rng = random.Random(8)
+    rows, before = [], []
+    for g in range(90):
+        now = [f"g{g:02d}n{i}" for i in range(8)]
+        rows += [(x, rng.choice(before[:2]) if before else None, g) for x in now]
+        before = now
+    rows += [("loop1", "loop2", 3), ("loop2", "loop3", 40), ("loop3", "loop1", 80), ("below", "loop3", 81)]
+    df = spark.createDataFrame(rows, "id string, up string, generation int")
+    res = hierarchy.resolve(df, "id", "up", locality=("generation",), block_rows=24, with_path=True).collect()
+    parent = {a: b for a, b, _ in rows}
+    assert {r["node"]: (r["root"], r["depth"]) for r in res} == brute(parent) and len(made) > 2
+    for r in res:
+        if r["path"] is not None:
+            assert r["path"][-1] == r["node"] and r["path"][0] == r["root"] and all(parent[b] == a for a, b in zip(r["path"], r["path"][1:], strict=False))
