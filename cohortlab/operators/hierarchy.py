@@ -63,13 +63,17 @@ def _compress(parent: np.ndarray, rank: np.ndarray, weight: np.ndarray) -> tuple
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of exactly ``rows`` rows, but for the last."""
     held, n = [], 0
     for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= rows:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
+        while batch.num_rows:
+            part = batch.slice(0, rows - n)
+            held.append(part)
+            n += part.num_rows
+            batch = batch.slice(part.num_rows)
+            if n == rows:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
     if n:
         yield pa.Table.from_batches(held)
 
