@@ -118,6 +118,53 @@ def mutate(jobs: DataFrame, seed: int) -> DataFrame:
     return jobs.mapInPandas(run, kinds)
 
 
+def mutate_with(jobs: DataFrame, responder, seed: int, *, repairs: int = 1, tries: int = 3, pause: float = 0.5) -> DataFrame:
+    """:func:`mutate` by a responder: adds ``child``, ``by`` (``responder`` or ``rules``) and ``error``.
+
+    The responder gets the genome, operator and mode as JSON and answers with a genome. An answer that is no JSON object,
+    lacks a numeric part of its parent or changes nothing is asked for again with what was wrong; what still fails, after
+    retries of errors that may pass, is mutated by the rules, and ``error`` says why.
+    """
+    from cohortlab.operators.responders import Retry, repaired
+
+    retry = Retry(tries, pause)
+    kinds = StructType([*jobs.schema.fields, StructField("child", StringType()), StructField("by", StringType()), StructField("error", StringType())])
+
+    def asked(parent: dict, request: str) -> dict:
+        said, text = "", request
+        for _ in range(repairs + 1):
+            try:
+                child = repaired(retry.call(responder, text)[0])
+            except ValueError as e:
+                said = str(e)
+            else:
+                gone = [k for k in LIMITS if k in parent and not isinstance(child.get(k), dict)]
+                same = all(child.get(k) == parent.get(k) for k in {*parent, *child} if not k.startswith("last_"))
+                if not gone and not same:
+                    return child
+                said = f"{', '.join(gone)} missing" if gone else "nothing was changed"
+            text = f"{request}\n\nThe last reply was wrong: {said}"
+        raise ValueError(said)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out, by, errors = [], [], []
+            for r in f.to_dict("records"):
+                parent = json.loads(r["genome"])
+                try:
+                    child = asked(parent, json.dumps({"genome": parent, "operator_id": r["operator_id"], "mode": r["mode"], "scale": float(r["scale"])}, sort_keys=True))
+                    child["last_mutation"], child["last_evolution_operator"] = {"mode": r["mode"], "scale": float(r["scale"])}, {"id": r["operator_id"]}
+                    by.append("responder"), errors.append(None)
+                except Exception as e:  # noqa: BLE001 - a failure is a row, and the rules take over
+                    rng = np.random.default_rng([seed, int(r["generation"]), int(r["island_id"]), int(r["child_idx"])])
+                    child = _mutate_one(parent, rng, float(r["scale"]), r["mode"], r)
+                    by.append("rules"), errors.append(f"{type(e).__name__}: {e}"[:500])
+                out.append(json.dumps(child, sort_keys=True))
+            yield f.assign(child=out, by=by, error=errors)
+
+    return jobs.mapInPandas(run, kinds)
+
+
 def audit(parent: Column, child: Column, declared: Column) -> dict[str, Column]:
     """Edits of a child against its parent, both maps of JSON values by key: actual, undeclared and phantom edits."""
     keys = F.array_union(F.map_keys(parent), F.map_keys(child))

@@ -132,6 +132,28 @@ def projections(cells: DataFrame, axes: list[str]) -> DataFrame:
     return out
 
 
+#: Ranges of a radar; the last two are losses, of which 0 is best and the value given worst.
+RADAR = {"coverage": (0.0, 1.0), "convex_hull": (0.0, 0.5), "avg_dist": (0.0, 1.0), "min_dist": (0.0, 0.5)}
+LOSSES = {"dispersion": 2.0, "kl_divergence": 3.0}
+
+
+def radar(metric: Column, value: Column) -> Column:
+    """A metric's place in its fixed range, clipped to 0..1; 0..1 is the range of all others."""
+    out = None
+    for name, (low, high) in RADAR.items():
+        here = (value - low) / (high - low)
+        out = F.when(metric == name, here) if out is None else out.when(metric == name, here)
+    for name, worst in LOSSES.items():
+        out = out.when(metric == name, 1.0 - F.abs(value) / worst)
+    return clip(out.otherwise(value))
+
+
+def paired(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
+    """``key, a, b, delta`` of what both sides have as a finite number."""
+    one, two = finite(a, value).select(key, c(value).alias("a")), finite(b, value).select(key, c(value).alias("b"))
+    return one.join(two, key).withColumn("delta", c("b") - c("a"))
+
+
 def improved(child: Column, parent: Column) -> Column:
     return F.coalesce(child - parent, F.lit(0.0))
 

@@ -12,6 +12,7 @@ import json
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -230,15 +231,20 @@ def load(spark: SparkSession, path: str) -> dict | None:
     return last | {"elites": elites, "results": read("results", RESULT), "cache": read("cache", CACHE), "generation": g}
 
 
+def backfill(spark: SparkSession, path: str) -> DataFrame:
+    """``generation, n, cached, best, mean``: the statistics of every generation, from the results kept in ``path``."""
+    m = F.element_at("metrics", F.lit("global_best"))
+    return load(spark, path)["results"].groupBy("generation").agg(F.count("*").cast("bigint").alias("n"), F.count_if("cache_hit").cast("bigint").alias("cached"), F.max(m).alias("best"), F.avg(m).alias("mean"))
+
+
 def study(spark: SparkSession, config: Config, first: list[str], evaluate: Evaluator, sealed_evaluate: Evaluator, path: str) -> dict:
     """Search, then the sealed evaluation of its elites, then summaries and a manifest in ``path``; each step can be resumed."""
     done = run(spark, config, first, evaluate, path=path)
     test = sealed(done["elites"], sealed_evaluate)
     test.write.mode("overwrite").parquet(f"{path}/sealed")
-    by_generation = done["results"].groupBy("generation").agg(F.count("*").alias("n"), F.count_if("cache_hit").alias("cached"), F.max(F.element_at("metrics", F.lit("global_best"))).alias("best"), F.avg(F.element_at("metrics", F.lit("global_best"))).alias("mean"))
-    by_generation.write.mode("overwrite").parquet(f"{path}/summary")
+    backfill(spark, path).write.mode("overwrite").parquet(f"{path}/summary")
     best = done["elites"].where("metric = 'global_best'").orderBy(F.desc("value"), "island_id").first()
-    manifest = {"config": asdict(config), "fingerprint": config.fingerprint(), "generations": config.generations, "best": {"candidate_id": best["candidate_id"], "value": best["value"], "island_id": best["island_id"]} if best else None, "tables": ["sealed", "summary", "generation=*/results", "generation=*/elites", "generation=*/cache"]}
+    manifest = {"created_at": datetime.now(UTC).isoformat(timespec="seconds"), "config": asdict(config), "fingerprint": config.fingerprint(), "generations": config.generations, "best": {"candidate_id": best["candidate_id"], "value": best["value"], "island_id": best["island_id"]} if best else None, "tables": ["sealed", "summary", "generation=*/results", "generation=*/elites", "generation=*/cache"]}
     write_text(spark, f"{path}/manifest.json", json.dumps(manifest, sort_keys=True))
     return done | {"sealed": spark.read.parquet(f"{path}/sealed"), "summary": spark.read.parquet(f"{path}/summary"), "manifest": manifest}
 

@@ -208,6 +208,12 @@ def extinction_plan(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("island_id", "best", ((c("r") <= F.greatest(F.lit(1), F.floor((c("n") - 1) / 2))) & (c("r") < c("n"))).alias("extinct"))
 
 
+def extinction_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Elites of the islands after an extinction: the worst half takes over the best island's where those are better."""
+    e = reports.elites(_long(spark, sf), ["island_id"]).select("island_id", F.when(c("metric") == "fitness", "global_best").otherwise(c("metric")).alias("metric"), "value", c("id").alias("candidate_id"), F.lit("").alias("child"))
+    return search.extinct(materialize(e, "elites")).select("island_id", "metric", "candidate_id", "value")
+
+
 def metric_heads(spark: SparkSession, sf: str) -> DataFrame:
     """First three metric names of each candidate: a slice with an explicit order."""
     return _c(spark, sf).select("candidate_id", F.array_join(F.slice(F.array_sort(F.map_keys("metrics")), 1, 3), ",").alias("names"))
@@ -396,7 +402,7 @@ QUERIES = {
     for f in (
         *(generation_report, first_reach, seed_report, style_report, island_elites, global_best, seed_baseline, metric_rollup, batch_rollup),
         *(sealed_rollup, elite_metric_stats, repeat_summary, repeat_values, noise_floor, bootstrap_intervals, ablation, time_deltas, reward_z),
-        *(stale_counters, phenotypes, genome_hashes, role_selection, elite_children, extinction_plan, metric_heads, tree_stats, tree_choice),
+        *(stale_counters, phenotypes, genome_hashes, role_selection, elite_children, extinction_plan, extinction_merge, metric_heads, tree_stats, tree_choice),
         *(widened_choice, lineage, fitness_view, parent_rewards, experiment_scores, heatmap, best_vs_baseline, normalised_genomes),
         *(genome_edits, patched_metrics, operator_design, filled_grid, latest_payloads, metric_keys, candidate_status, stream_elites, island_search),
     )
@@ -415,6 +421,8 @@ _path = f"""{C}, d as (select lower(trim(candidate_id)) as k, {_pk} as pk, {_st}
     pa as (select list_filter([g.style, p.style, d.style], lambda x: x is not null) as path, round(d.fitness - p.fitness, 9) as reward from d join d p on p.k = d.pk left join d g on g.k = p.pk),
     st as (select array_to_string(path[1:n - 1], '/') as node, path[n] as operator, reward from (select path, reward, unnest(range(1, len(path) + 1)) as n from pa)),
     tr as (select node, operator, count(*) as visits, sum(reward) as value_sum, sum(reward) / count(*) as mean from st group by all)"""
+_number = lambda x: f"case json_type({x}) when 'DOUBLE' then cast(cast({x} as double) as varchar) else cast({x} as varchar) end"
+_canonical = f"""case json_type(json_extract(g, '$.' || k)) when 'OBJECT' then '{{' || array_to_string(list_transform(list_sort(json_keys(json_extract(g, '$.' || k))), lambda m: '"' || m || '":' || {_number("json_extract(g, '$.' || k || '.' || m)")}), ',') || '}}' else {_number("json_extract(g, '$.' || k)")} end"""
 _choice = f"""{_path}, ed as (select case when node = '' then operator else node || '/' || operator end as node, visits from tr),
     t as (select tr.*, coalesce(ed.visits, sum(tr.visits) over (partition by tr.node)) as total, row_number() over (partition by tr.node order by mean desc, tr.visits desc, operator) as r from tr left join ed on ed.node = tr.node),
     un as (select n.node, min(o.style) as operator from (select distinct node from tr) n, (select distinct style from d) o where not exists (select 1 from tr x where x.node = n.node and x.operator = o.style) group by n.node)"""
@@ -484,11 +492,21 @@ SQL = {
     "role_selection": f"with {C} " + " union all ".join(_role_sql(r, m, w) for r, (m, w) in ROLES.items()),
     "elite_children": f"with {C}, t as (select *, row_number() over (order by fitness desc, candidate_id) - 1 as r from c where fitness is not null) select k.child, t.candidate_id as parent, t.fitness from (select unnest(range(0, 20)) as child) k join t on t.r = k.child % 8",
     "extinction_plan": f"with {C}, b as (select island_id, max(fitness) as best from c where fitness is not null and island_id is not null group by 1), r as (select *, row_number() over (order by best, island_id desc) as r, count(*) over () as n from b) select island_id, best, r <= greatest(1, floor((n - 1) / 2.0)) and r < n as extinct from r",
+    "extinction_merge": f"""with {_lg}, e as (select island_id, case metric when 'fitness' then 'global_best' else metric end as metric, arg_min(candidate_id, (-value, generation, candidate_id)) as candidate_id, max(value) as value from l group by all),
+        r as (select island_id, row_number() over (order by value, island_id desc) as r, count(*) over () as n from e where metric = 'global_best'), b as (select e.metric, e.candidate_id, e.value from e join r using (island_id) where r.r = r.n)
+        select e.island_id, e.metric, case when r <= greatest(1, (n - 1) // 2) and b.value > e.value then b.candidate_id else e.candidate_id end as candidate_id, case when r <= greatest(1, (n - 1) // 2) and b.value > e.value then b.value else e.value end as value
+        from e join r using (island_id) left join b on b.metric = e.metric""",
     "metric_heads": f"with {C} select candidate_id, array_to_string(list_sort(map_keys(metrics))[1:3], ',') as names from c",
     "tree_stats": f"with {_path} select node, operator, visits, round(value_sum + 1e-9, 6) as value_sum, round(mean + 1e-9, 6) as mean from tr",
     "tree_choice": f"with {_choice}, u as (select *, mean + 1.4 * 2.2 * sqrt(ln(total + 1.0) / visits) as uct from t) select u.node, coalesce(any_value(un.operator), arg_min(u.operator, (-uct, u.operator))) as operator, round(case when any_value(un.operator) is null then max(uct) end + 1e-9, 6) as uct from u left join un on un.node = u.node group by u.node",
     "widened_choice": f"""with {_choice}, w as (select *, floor(sqrt(greatest(1, total))) + 1 as width, count(*) over (partition by node) as k from t), u as (select *, mean + 1.4 * sqrt(ln(total + 1.0) / visits) as uct from w where r <= width)
         select u.node, case when any_value(k) < any_value(width) and any_value(un.operator) is not null then any_value(un.operator) else arg_min(u.operator, (-uct, u.operator)) end as operator, round(case when any_value(k) < any_value(width) and any_value(un.operator) is not null then null else max(uct) end + 1e-9, 6) as uct from u left join un on un.node = u.node group by u.node""",
+    "genome_hashes": f"""with {C}, g as (select candidate_id, cast(genome as json) as g from c), k as (select candidate_id, g, list_sort(json_keys(g)) as ks from g),
+        v as (select candidate_id, case when g is not null then '{{' || array_to_string(list_transform(ks, lambda k: '"' || k || '":' || {_canonical}), ',') || '}}' end as t from k)
+        select candidate_id, sha256(t) as code_hash, sha256(t) as phenotype_hash from v""",
+    "genome_edits": f"""with {C}, g as (select lower(trim(candidate_id)) as k, candidate_id, lower(trim(parent_id)) as pk, {", ".join(f"json_extract_string(genome, '$.{k}') as g_{k}" for k in ("version", "style", "bias", "scenario"))} from c where genome is not null),
+        e as (select a.candidate_id, list_filter([{", ".join(f"case when a.g_{k} is distinct from p.g_{k} then '{k}' end" for k in ("bias", "scenario", "style", "version"))}], lambda x: x is not null) as l from g a join g p on p.k = a.pk)
+        select candidate_id, array_to_string(l, ',') as actual, array_to_string(list_filter(l, lambda x: x <> 'style'), ',') as undeclared, case when list_contains(l, 'style') then '' else 'style' end as phantom from e""",
     "operator_design": """with ops as (select printf('op%02d', k) as operator_id, case when k <= 15 then 'legacy' when k <= 21 then 'v3' else 'v4' end as family from (select unnest(range(1, 28)) as k)),
         modes as (select * from (values ('prompt_only', 0), ('operator_only', 1), ('mixed', 2), ('numeric_only', 3)) m (mode, mode_no)), d as (select operator_id, family, mode, mode_no, unnest([1, 2, 3]) as replicate from ops, modes where mode <> 'numeric_only' or family <> 'v4')
         select operator_id, family, mode, replicate, row_number() over (order by mode_no, operator_id, replicate) as run_no from d""",

@@ -72,6 +72,12 @@ def recorded_diversity(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("run_id", F.round(diversity.balanced(m("coverage", 0.0), m("kl_divergence", 10.0), m("avg_dist", 0.0), m("min_dist", 0.0)) + 1e-9, 6).alias("balanced"), F.round(diversity.combined(clip(F.coalesce("validity_rate", F.lit(0.0))), dup, m("coverage", 0.0), m("avg_dist", 0.0), m("min_dist", 0.0), 3) + 1e-9, 6).alias("combined"))
 
 
+def radar_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Every diversity metric of a run's last evaluation in its fixed range."""
+    e = _t(spark, sf, "evaluations").groupBy("run_id").agg(F.max_by("diversity_metrics", "evaluated_at").alias("m")).select("run_id", F.explode("m").alias("metric", "value"))
+    return reports.finite(e, "value").select("run_id", "metric", F.round(reports.radar(c("metric"), c("value")) + 1e-9, 6).alias("scaled"))
+
+
 def mean_diversity(spark: SparkSession, sf: str) -> DataFrame:
     """Mean of each recorded measure over runs, empty maps and missing values skipped."""
     e = _t(spark, sf, "evaluations").select("run_id", "diversity_metrics", "evaluated_at").groupBy("run_id").agg(F.max_by("diversity_metrics", "evaluated_at").alias("m"))
@@ -146,7 +152,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         *(pairwise_distances, vector_distances, kl_uniform, coverage, dispersion, hull_volume, diversity_fitness, recorded_diversity),
-        *(mean_diversity, grid_cells, grid_occupancy, grid_archive, cumulative_cells, grid_projections, grid_sets, axis_spread),
+        *(mean_diversity, radar_values, grid_cells, grid_occupancy, grid_archive, cumulative_cells, grid_projections, grid_sets, axis_spread),
     )
 }
 
@@ -178,6 +184,8 @@ SQL = {
         select pop as source, n, cast(b * b * b as bigint) as bins, round(sum((c + 1e-10) / (n + b * b * b * 1e-10) * ln((c + 1e-10) / (n + b * b * b * 1e-10) * b * b * b)) + (b * b * b - count(*)) * (1e-10 / (n + b * b * b * 1e-10)) * ln(1e-10 / (n + b * b * b * 1e-10) * b * b * b) + 1e-9, 6) as kl from h group by pop, n, b""",
     "recorded_diversity": f"""with {_div} select run_id, round(0.45 * {_cl(_g("coverage", 0.0))} + 0.25 * {_cl(f"exp(-{_g('kl_divergence', 10.0)})")} + 0.2 * {_cl(_g("avg_dist", 0.0) + " / sqrt(3.0)")} + 0.1 * {_cl(_g("min_dist", 0.0) + " / 0.25")} + 1e-9, 6) as balanced,
         round({_cl("coalesce(r.v, 0.0)")} * (1 - {_cl("coalesce(r.d, 0.0)")}) * (0.65 * {_cl(_g("coverage", 0.0))} + 0.25 * {_cl(_g("avg_dist", 0.0) + " / sqrt(3.0)")} + 0.1 * {_cl(_g("min_dist", 0.0) + " / sqrt(3.0)")}) + 1e-9, 6) as combined from e""",
+    "radar_values": f"""with {_div}, m as (select run_id, unnest(map_entries(r.m)) as x from e), v as (select run_id, x.key as metric, x.value as v from m where x.value is not null and isfinite(x.value))
+        select run_id, metric, round(greatest(0.0, least(1.0, case metric when 'convex_hull' then v / 0.5 when 'min_dist' then v / 0.5 when 'dispersion' then 1 - abs(v) / 2.0 when 'kl_divergence' then 1 - abs(v) / 3.0 else v end)) + 1e-9, 6) as scaled from v""",
     "mean_diversity": f"with {_div}, m as (select unnest(map_entries(r.m)) as x from e) select x.key as metric, count(*) as n, round(avg(x.value) + 1e-9, 6) as mean from m where x.value is not null and isfinite(x.value) group by x.key",
     "grid_cells": f"with {_cellsql} select persona_id, target_cell, realised_cell, round(quality + 1e-9, 6) as quality from kc",
     "grid_occupancy": f"""with {_cellsql}, o as (select coalesce(source, 'none') as source, run_id, realised_cell from kc where run_id is not null), ft as (select source, run_id, count(distinct realised_cell) as k from o group by all)

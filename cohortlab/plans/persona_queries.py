@@ -166,9 +166,8 @@ def memory_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _slots(spark, sf):
-    """Slots with an index from 1 by which options are picked in turn; it comes from the id, so no order is needed."""
-    s = personas.slots(_t(spark, sf, "slots"))
-    return s.withColumn("i", F.conv(F.substring(F.md5("slot_id"), 1, 6), 16, 10).cast("bigint") % 1000 + 1)
+    """Slots with their place from 1 in the order of ids, by which options are picked in turn."""
+    return sampling.numbered(personas.slots(_t(spark, sf, "slots")), ["slot_id"], "i").withColumn("i", c("i") + 1)
 
 
 def built_personas(spark: SparkSession, sf: str) -> DataFrame:
@@ -320,7 +319,7 @@ _gap = "greatest(growth_readiness, defensive_orientation) - least(growth_readine
 _st1, _n1 = expected.steps("st", expected.STATES.replace("1*growth_gap", f"1*({_gap})".replace(" ", "")), "g")
 _states = f"""{T.FILLED}, {_ctx}, pr as (select distinct persona_id, survey_id from simulations),
     st as (select pr.survey_id, f.*, {", ".join(f"x.{n}" for n in _context_names)}, {", ".join(expected.drive(x) for x in expected.lines(expected.DRIVES))} from pr join f using (persona_id) join {_ctx_last} x on x.survey_id = pr.survey_id), {_st1}"""
-_levels = f"""{T.SLOTS}, ix as (select *, cast('0x' || substring(md5(slot_id), 1, 6) as bigint) % 1000 + 1 as i from s),
+_levels = f"""{T.SLOTS}, ix as (select *, row_number() over (order by slot_id) as i from s),
     lv as (select *, coalesce(target_cognitive_core, 0.5) as cog, coalesce(target_motivation_core, 0.5) as mot, coalesce(target_regulation_core, 0.5) as reg, constraints.primary_drive as drive,
         constraints.stress_band as stress_band, constraints.social_energy_band as energy_band, constraints.derived_performance_band as performance_band,
         case constraints.stress_band when 'low' then 0.2 when 'low_mid' then 0.38 when 'mid' then 0.52 when 'mid_high' then 0.68 when 'high' then 0.8 else 0.52 end as sb,
@@ -371,6 +370,10 @@ SQL = {
         select quota_label, scenario, string_agg(distinct axis, ',' order by axis) as axes, count(*) as n from e group by all""",
     "conditioned_slots": f"with {T.SLOTS} select slot_id, {', '.join(f'round(greatest(0.0, least(1.0, 0.5 + (coalesce(target_{a}, 0.5) - 0.5) * {STRETCH[a]} + {BIAS[a]})), 6) as {a}' for a in AXES)} from s",
     "quota_allocation": f"with {_quota} select quota_label, cast(fl + case when rk <= lft then 1 else 0 end as bigint) as n_slots from rk",
+    "quota_sampled_slots": f"""with {_quota}, al as (select quota_label, cast(fl + case when rk <= lft then 1 else 0 end as bigint) as n from rk), sp as (select *, coalesce(sum(n) over (order by quota_label rows between unbounded preceding and 1 preceding), 0) as start from al),
+        ek as (select quota_label, unnest(range(cast(start as bigint), cast(start + n as bigint))) as k from sp), dl as (select quota_label, (k * 616 + 7) % 997 + 1 as i from ek),
+        op as (select quota_label, list_sort(list(distinct constraints.grade_or_stage) filter (where constraints.grade_or_stage is not null)) as stages, list_sort(list(distinct constraints.primary_drive) filter (where constraints.primary_drive is not null)) as drives from slots where quota_label is not null group by quota_label)
+        select printf('slot_%06d', i) as slot_id, quota_label, {_radical(2)} as x0, {_radical(3)} as x1, {_radical(5)} as x2, stages[cast((i * 7919 + 7 * 104729 + i // 7) % len(stages) as int) + 1] as grade_or_stage, drives[cast((i * 7919 + 8 * 104729 + i // 7) % len(drives) as int) + 1] as primary_drive from dl join op using (quota_label)""",
     "halton_points": f"with g as (select unnest(range(1, 4097)) as i) select i, {_radical(2)} as x0, {_radical(3)} as x1, {_radical(5)} as x2 from g",
     "persona_tokens": f"with {T.TRAITS}, k as (select persona_id, {_tok} as l from t) select persona_id, len(l) as n_tokens, list_min(l) as first_token from k",
     "near_duplicate_rates": f"""with {T.TRAITS}, k as (select source, persona_id, {_tok1} as l from t where source is not null and narrative is not null), n as (select source, count(*) as n from k group by source),

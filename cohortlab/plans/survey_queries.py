@@ -160,6 +160,14 @@ def split_digests(spark: SparkSession, sf: str) -> DataFrame:
     return artifacts.combined_digest(i.select("split", each.alias("d")), ["split"])
 
 
+def validation_vs_test(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean axis scores on the surveys of the validation split beside those of the test split."""
+    split = _items(spark, sf).where("survey_id is not null").groupBy("survey_id").agg(F.min(F.lower(F.trim("split"))).alias("split"))
+    a = _sim_axes(spark, sf).join(_sims(spark, sf).select("sim_id", "survey_id"), "sim_id").join(split, "survey_id").groupBy("split", "axis").agg(F.avg("score").alias("score"))
+    both = reports.paired(*(a.where(c("split") == s).select("axis", "score") for s in ("validation", "test")), "axis", "score")
+    return both.select("axis", *[F.round(c(x) + 1e-9, 6).alias(n) for x, n in (("a", "validation"), ("b", "test"), ("delta", "delta"))])
+
+
 def expected_answers(spark: SparkSession, sf: str) -> DataFrame:
     """Expected, present and missing answers of every simulation: a left join from the items."""
     e = _sims(spark, sf).select("sim_id", "survey_id").join(_items(spark, sf).select("survey_id", "item_id"), "survey_id")
@@ -198,7 +206,7 @@ QUERIES = {
     for f in (
         *(construct_scores, survey_axis_scores, behaviour_means, element_defaults, behaviour_report, split_simulations, remapped_weights),
         *(response_quality, repeat_stability, axis_stability, axis_correlation, discrimination, backend_deltas, survey_windows),
-        *(survey_tasks, all_tasks, split_digests, expected_answers, shared_items, uncovered_axes, seed_repeats, frozen_split),
+        *(survey_tasks, all_tasks, split_digests, validation_vs_test, expected_answers, shared_items, uncovered_axes, seed_repeats, frozen_split),
     )
 }
 
@@ -239,7 +247,11 @@ SQL = {
         select r.backend, f.backend as reference, round(r.mean_answer - f.mean_answer, 5) as answer_delta, round(r.completeness - f.completeness, 5) as completeness_delta from r, f""",
     "survey_windows": f"with {T.ITEMS}, {_win} select ch.split, cast(ch.s + 1 as bigint) as survey_no, ch.p as pos, coalesce(sw.first, ch.item_id) as item_id from ch left join sw on sw.split = ch.split and sw.s = ch.s and sw.p = ch.p",
     "survey_tasks": f"with {_plain}, {T.TRAITS}, p as (select persona_id, run_id from t where run_id is not null), s as (select distinct p.run_id, sim.survey_id from sim join p using (persona_id)) select p.run_id, p.persona_id, s.survey_id, row_number() over (partition by p.run_id, p.persona_id order by s.survey_id) as task_no from p join s using (run_id)",
+    "frozen_split": f"""with {T.ITEMS}, j as (select coalesce(lower(trim(split)), 'none') as split, '{{' || concat_ws(',', '"construct":' || to_json(construct), '"direction":' || direction, '"item_id":' || to_json(item_id), '"item_pos":' || item_pos, '"survey_id":' || to_json(survey_id), '"text":' || to_json(text)) || '}}' as t from i),
+        d as (select split, sha256(t) as d from j) select split, count(*) as n_items, sha256(concat_ws(':', count(*), sum(cast('0x' || substring(d, 1, 15) as bigint)), sum(cast('0x' || substring(d, 16, 15) as bigint)))) as digest from d group by split""",
     "split_digests": f"with {T.ITEMS}, d as (select coalesce(lower(trim(split)), 'none') as split, survey_id, item_pos, item_id, sha256(concat_ws('|', item_id, coalesce(survey_id, ''), item_pos, coalesce(text, ''), direction)) as d from i) select split, count(*) as n_items, sha256(concat_ws(':', count(*), sum(cast('0x' || substring(d, 1, 15) as bigint)), sum(cast('0x' || substring(d, 16, 15) as bigint)))) as digest from d group by split",
+    "validation_vs_test": f"""with {_simax}, sp as (select survey_id, min(lower(trim(split))) as split from i where survey_id is not null group by survey_id), m as (select split, axis, avg(score) as v from sx join sp using (survey_id) group by all)
+        select a.axis, round(a.v + 1e-9, 6) as validation, round(b.v + 1e-9, 6) as test, round(b.v - a.v + 1e-9, 6) as delta from m a join m b on a.axis = b.axis and a.split = 'validation' and b.split = 'test'""",
     "expected_answers": f"with {T.ITEMS}, {T.ANSWERS}, e as (select sim_id, i.item_id from sim join i on i.survey_id = sim.survey_id) select sim_id, count(*) as expected, count(response) as present, count(*) - count(response) as missing from e left join ans using (sim_id, item_id) group by sim_id",
     "shared_items": f"with {T.ANSWERS}, n as (select survey_id, count(distinct sim_id) as sims from ans group by 1), k as (select survey_id, item_id, count(distinct sim_id) as k from ans group by 1, 2) select survey_id, count(*) filter (where k = sims) as in_all, count(*) as in_any from k join n using (survey_id) group by survey_id",
     "uncovered_axes": f"with {T.ITEMS}, h as (select survey_id, flatten(list(map_keys(axis_weights))) as h from i where survey_id is not null group by 1) select survey_id, array_to_string(list_filter(['cognitive_core', 'motivation_core', 'regulation_core'], lambda a: not list_contains(h, a)), ',') as missing from h",

@@ -281,3 +281,12 @@ def test_a_wrong_weight_shows(spark, sf, table, monkeypatch):
     monkeypatch.setattr(student, table, (wrong, *stages[1:]))
     got = oracle.rows(registry.queries()["student_states"](spark, sf))
     assert got != oracle.sql_rows(oracle.tables(sf), registry.oracle_sql()["student_states"])
+
+
+def test_built_narratives_pass_the_length_rule(spark, sf):
+    from cohortlab.operators import rules
+    from cohortlab.plans import registry
+
+    low, high = rules.LENGTHS["narrative"][:2]
+    n = registry.queries()["built_personas"](spark, sf).selectExpr("min(length(narrative)) a", "max(length(narrative)) b").first()
+    assert low <= n["a"] <= n["b"] <= high

@@ -93,6 +93,7 @@ def test_study_and_manifest(spark, tmp_path):
     assert top == pytest.approx(0.75)  # the mean of 1 and 0.5
     assert search.config_of(spark, f"{tmp_path}/s") == config and done["manifest"]["best"]["value"] == search._best(done["elites"])
     assert done["sealed"].count() == done["elites"].count() and done["summary"].count() == 2
+    assert {r["generation"]: r["n"] for r in search.backfill(spark, f"{tmp_path}/s").collect()} == {0: 2, 1: 2}
 
 
 def test_extinction_interval_time_and_guard():
@@ -128,3 +129,25 @@ def test_policy_widens_and_standardises():
         p.record(g, 0, 0, 0.5 if g else 0.1, False)
         p.paths.clear()
     assert len(set(picks)) <= 4 and abs(p.seen[1] - (0.1 + 5 * 0.5) / 6) < 1e-12
+
+
+def test_responder_mutates_and_rules_stand_in(spark):
+    jobs = [(0, i, 1, "mixed", 0.2, f"op{i:02d}", "v3", "cognitive_core", 1.1, 0.05, None, SEED) for i in range(4)]
+    df = spark.createDataFrame(jobs, "island_id int, child_idx int, generation int, mode string, scale double, operator_id string, family string, axis string, stretch double, bias double, module string, genome string")
+
+    def responder(request):
+        job = json.loads(request.split("\n\n")[0])
+        if job["operator_id"] == "op00":
+            return json.dumps({**job["genome"], "style": "vivid"})
+        if job["operator_id"] == "op01":  # no change at first
+            return json.dumps({**job["genome"], "style": "terse"}) if "nothing was changed" in request else json.dumps(job["genome"])
+        if job["operator_id"] == "op02":
+            return '{"style": "bare"}'
+        raise RuntimeError("down")
+
+    got = {r["operator_id"]: r for r in genome.mutate_with(df, responder, 5, pause=0.0).collect()}
+    assert [got[f"op{i:02d}"]["by"] for i in range(4)] == ["responder", "responder", "rules", "rules"]
+    assert json.loads(got["op00"]["child"])["style"] == "vivid" and json.loads(got["op01"]["child"])["style"] == "terse"
+    assert "missing" in got["op02"]["error"] and "down" in got["op03"]["error"] and got["op00"]["error"] is None
+    plain = {r["operator_id"]: r["child"] for r in genome.mutate(df, 5).collect()}
+    assert got["op03"]["child"] == plain["op03"]
