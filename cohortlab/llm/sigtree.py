@@ -78,6 +78,7 @@ class Tree:
         self.at = at = at[np.lexsort((*(r.bits[at].T), r.size[at]))]
         self.levels = []
         cuts = np.arange(0, len(at), LEAF)
+        self.pack(r, len(cuts))
         bits = np.bitwise_or.reduceat(r.bits[at], cuts, axis=0)
         low, high = np.minimum.reduceat(r.size[at], cuts), np.maximum.reduceat(r.size[at], cuts)
         slack = np.maximum.reduceat(r.slack[at], cuts)
@@ -90,6 +91,15 @@ class Tree:
             self.levels.append((bits, low, high, slack))
 
 
+    def pack(self, r: Records, leaves: int) -> None:
+        """Leaves as arrays of ``LEAF`` columns; places without a record have a slack that excludes them."""
+        pad = leaves * LEAF - len(self.at)
+        fill = lambda x, v: np.concatenate([x, np.full(pad, v, x.dtype)]).reshape(leaves, LEAF)
+        self.bits = [fill(r.bits[self.at, w], 0) for w in range(WORDS)]
+        self.size = fill(r.size[self.at].astype(np.float32), 0)
+        self.slack = fill(r.slack[self.at].astype(np.float32), -1e9)
+
+
 def dual(r: Records, a: Tree, b: Tree, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Record pairs of two trees (or of one tree with itself) that the traversal can't exclude."""
     own = a is b
@@ -134,14 +144,17 @@ def _children(x: Tree, level: int, nodes: np.ndarray) -> np.ndarray:
 
 
 def _leaves(r: Records, a: Tree, b: Tree, i: np.ndarray, j: np.ndarray, t: float, own: bool) -> tuple[np.ndarray, np.ndarray]:
-    p = i[:, None] * LEAF + np.arange(LEAF)
-    q = j[:, None] * LEAF + np.arange(LEAF)
-    x = np.repeat(p, LEAF, axis=1).reshape(-1)
-    y = np.tile(q, (1, LEAF)).reshape(-1)
-    ok = (x < len(a.at)) & (y < len(b.at))
+    """All pairs of the records of pairs of leaves: a rough bound on whole leaves, then the exact one on what it leaves."""
+    most = np.zeros((len(i), LEAF, LEAF), np.uint8)
+    for x, y in zip(a.bits, b.bits, strict=True):
+        most += np.bitwise_count(x[i][:, :, None] & y[j][:, None, :])
+    need = np.float32(t / (1 + t) * (1 - 1e-5)) * (a.size[i][:, :, None] + b.size[j][:, None, :]) - np.float32(1e-3)
+    need -= np.minimum(a.slack[i][:, :, None], b.slack[j][:, None, :])
+    p, x, y = np.nonzero(most >= need)
+    x, y = i[p] * LEAF + x, j[p] * LEAF + y
     if own:
-        ok &= x < y
-    x, y = a.at[x[ok]], b.at[y[ok]]
+        x, y = x[x < y], y[x < y]
+    x, y = a.at[x], b.at[y]
     keep = possible(r, x, y, t)
     return x[keep], y[keep]
 
