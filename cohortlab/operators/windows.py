@@ -79,3 +79,12 @@ def bests(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFra
     last = _before(j, by, {"k": (hit, F.max)})
     out = _join(j.withColumn("_k", hit.over(upto)), last, by)
     return out.withColumn("stale", (c("run_n") - F.greatest("_k", "_b_k")).cast("bigint")).drop("_p", "_k", "_b_k")
+
+
+def best_before(df: DataFrame, by: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """Adds ``b_<value>``, the largest value of the rows before each row of its group, or null; ``by`` may be empty."""
+    parts = _spread(df, by, order)
+    w = Window.partitionBy("_p", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = _before(parts, by, {v: (F.max(v), F.max) for v in values})
+    j = _join(parts.withColumns({f"_m_{v}": F.max(v).over(w) for v in values}), before, by)
+    return j.withColumns({f"b_{v}": F.greatest(f"_m_{v}", f"_b_{v}") for v in values}).drop("_p", *[f"{x}_{v}" for v in values for x in ("_m", "_b")])

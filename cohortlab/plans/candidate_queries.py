@@ -261,7 +261,7 @@ def fitness_view(spark: SparkSession, sf: str) -> DataFrame:
 
 def _view(d: DataFrame) -> DataFrame:
     v = reports.fitness_view(lambda m: _strict() if m == "strict_consistency" else _v(m) if m in METRICS else F.lit(None).cast("double"), c("fitness"))
-    return d.where("fitness is not null").select("candidate_id", "parent_id", *[x.alias(n) for n, x in v.items()])
+    return d.where("fitness is not null").select("candidate_id", "parent_id", "generation", *[x.alias(n) for n, x in v.items()])
 
 
 def _strict():
@@ -269,7 +269,7 @@ def _strict():
 
 
 def _pairs(spark, sf):
-    d = materialize(_view(_c(spark, sf)), "views")
+    d = materialize(windows.best_before(_view(_c(spark, sf)), [], ["generation", "candidate_id"], list(reports.WEIGHTS)), "views")
     p = d.select(F.lower(F.trim("candidate_id")).alias("k"), *[c(m).alias(f"p_{m}") for m in reports.WEIGHTS])
     return d.withColumn("k", F.lower(F.trim("parent_id"))).join(p, "k")
 
@@ -279,16 +279,20 @@ def _better():
 
 
 def parent_rewards(spark: SparkSession, sf: str) -> DataFrame:
-    """Plain and structured reward of every candidate over its parent, with fixed and with deficit weights."""
+    """Plain and structured reward of every candidate over its parent, with fixed and with deficit weights.
+
+    Progress and deficits are taken against the best of all candidates before, by generation and id.
+    """
     j = _pairs(spark, sf).withColumn("better", _better())
     better = F.when(F.size("better") > 0, c("better"))
     parent, child = lambda m: c(f"p_{m}"), lambda m: c(m)
-    w = reports.deficit_weights(parent, lambda m: F.lit(0.9))
+    w = reports.deficit_weights(parent, lambda m: c(f"b_{m}"))
+    progress = F.greatest(F.lit(0.0), F.coalesce(c("global_best") - c("b_global_best"), F.lit(0.0)))
     return j.select(
         "candidate_id",
         F.round(reports.reward(parent, child, better) + 1e-9, 6).alias("plain"),
-        F.round(reports.structured_reward(parent, child, better, F.lit(0.0)) + 1e-9, 5).alias("structured"),
-        F.round(reports.structured_reward(parent, child, better, F.lit(0.1), w) + 1e-9, 5).alias("deficit"),
+        F.round(reports.structured_reward(parent, child, better, progress) + 1e-9, 5).alias("structured"),
+        F.round(reports.structured_reward(parent, child, better, progress, w) + 1e-9, 5).alias("deficit"),
     )
 
 
@@ -444,7 +448,7 @@ _viewcols = {
     "diversity": f"coalesce({_mv('avg_dist')}, {_mv('coverage')}, 0.0)",
     "schema": f"coalesce({_mv('validity')}, 0.0)",
 }
-_view_sql = f"{C}, vw as (select candidate_id, parent_id, {', '.join(f'{x}::double as {n}' for n, x in _viewcols.items())} from c where fitness is not null)"
+_view_sql = f"{C}, vw as (select candidate_id, parent_id, generation, {', '.join(f'{x}::double as {n}' for n, x in _viewcols.items())} from c where fitness is not null)"
 _d = lambda m: f"(a.{m} - p.{m})"
 _lost = lambda m: f"greatest(0.0, -{_d(m)})"
 _plain = (
@@ -455,7 +459,7 @@ _plain = (
 )
 _rel = lambda m: f"{_d(m)} / greatest(abs(p.{m}), 1e-6)"
 _guard = " + ".join(f"greatest(0.0, -({_rel(m)}) - 0.02)" for m in reports.GUARDS)
-_defw = {m: f"{w} * (greatest(0.0, 0.9 - p.{m}) + 0.02)" for m, w in reports.WEIGHTS.items()}
+_defw = {m: f"{w} * (greatest(0.0, coalesce(bb.b_{m}, p.{m}, 0.0) - p.{m}) + 0.02)" for m, w in reports.WEIGHTS.items()}
 _deft = "(" + " + ".join(_defw.values()) + ")"
 _z = lambda m: f"coalesce({_mv(m)}, 0.0)"
 
@@ -512,10 +516,11 @@ SQL = {
         select operator_id, family, mode, replicate, row_number() over (order by mode_no, operator_id, replicate) as run_no from d""",
     "lineage": f"with {C} select c.candidate_id, p.candidate_id as parent, c.island_id is distinct from p.island_id as migrated, round(c.fitness - p.fitness, 6) as gain from c join c p on lower(trim(p.candidate_id)) = lower(trim(c.parent_id))",
     "fitness_view": f"with {_view_sql} select candidate_id, {', '.join(f'round({n} + 1e-9, 6) as {n}' for n in _viewcols)} from vw",
-    "parent_rewards": f"""with {_view_sql}, j as (select a, p, {" + ".join(f"case when a.{m} > p.{m} then 1 else 0 end" for m in reports.WEIGHTS)} as nb from vw a join vw p on lower(trim(p.candidate_id)) = lower(trim(a.parent_id)))
+    "parent_rewards": f"""with {_view_sql}, bb as (select candidate_id, {", ".join(f"max({m}) over w as b_{m}" for m in reports.WEIGHTS)} from vw window w as (order by generation, candidate_id rows between unbounded preceding and 1 preceding)),
+        j as (select a, p, bb, greatest(0.0, coalesce(a.global_best - bb.b_global_best, 0.0)) as progress, {" + ".join(f"case when a.{m} > p.{m} then 1 else 0 end" for m in reports.WEIGHTS)} as nb from vw a join vw p on lower(trim(p.candidate_id)) = lower(trim(a.parent_id)) join bb on bb.candidate_id = a.candidate_id)
         select a.candidate_id as candidate_id, round({_plain} + 1e-9, 6) as plain,
-            round(case when a.global_best <= 0 then -1.0 else {" + ".join(f"{w} * {_rel(m)}" for m, w in reports.WEIGHTS.items())} - 0.5 * ({_guard}) + case when nb > 0 then 0.02 * nb else 0 end end + 1e-9, 5) as structured,
-            round(case when a.global_best <= 0 then -1.0 else ({" + ".join(f"{w} * {_rel(m)}" for m, w in _defw.items())}) / {_deft} + 0.05 - 0.5 * ({_guard}) + case when nb > 0 then 0.02 * nb else 0 end end + 1e-9, 5) as deficit from j""",
+            round(case when a.global_best <= 0 then -1.0 else {" + ".join(f"{w} * {_rel(m)}" for m, w in reports.WEIGHTS.items())} + 0.5 * progress - 0.5 * ({_guard}) + case when nb > 0 then 0.02 * nb else 0 end end + 1e-9, 5) as structured,
+            round(case when a.global_best <= 0 then -1.0 else ({" + ".join(f"{w} * {_rel(m)}" for m, w in _defw.items())}) / {_deft} + 0.5 * progress - 0.5 * ({_guard}) + case when nb > 0 then 0.02 * nb else 0 end end + 1e-9, 5) as deficit from j""",
     "experiment_scores": f"with {C} select candidate_id, round({_z('validity')} * (0.5 + 0.5 * {_cl(_z('strict_consistency'))}) * (0.5 + 0.5 * {_cl(_z('coverage'))}) * (0.5 + 0.5 * {_cl(_z('alignment'))}) + 1e-9, 6) as gated, round(0.4 * {_z('coverage')} + 0.3 * {_z('alignment')} + 0.2 * {_z('avg_dist')} - 0.1 * {_z('shadow_mae')} + 1e-9, 6) as composite from c where metrics is not null",
     "heatmap": f"with {C}, {_me}, m as (select seed_name, metric, round(avg(value), 9) as v from e group by all), w as (select *, min(v) over (partition by metric) as lo, max(v) over (partition by metric) as hi from m) select seed_name, metric, round(case when hi = lo then 0.5 when metric = 'shadow_mae' then 1 - (v - lo) / (hi - lo) else (v - lo) / (hi - lo) end + 1e-9, 6) as scaled from w",
     "best_vs_baseline": f"with {C}, g as (select seed_name, arg_min({{'id': candidate_id, 'f': fitness}}, (generation, candidate_id)) as f, arg_min({{'id': candidate_id, 'f': fitness}}, (-fitness, candidate_id)) as b from c where fitness is not null group by 1) select seed_name, f.id as baseline, f.f as baseline_fitness, b.id as best, b.f as best_fitness, round(case when abs(f.f) >= 1e-12 then (b.f - f.f) / abs(f.f) * 100 end + 1e-9, 5) as percent from g",

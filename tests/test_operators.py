@@ -290,3 +290,12 @@ def test_built_narratives_pass_the_length_rule(spark, sf):
     low, high = rules.LENGTHS["narrative"][:2]
     n = registry.queries()["built_personas"](spark, sf).selectExpr("min(length(narrative)) a", "max(length(narrative)) b").first()
     assert low <= n["a"] <= n["b"] <= high
+
+
+def test_best_before(spark):
+    from cohortlab.operators import windows
+
+    v = [3.0, 1.0, None, 5.0, 4.0, 5.0]
+    df = spark.createDataFrame([(i, x, -i) for i, x in enumerate(v)], "i int, a double, b int").repartition(3)
+    got = [(r["b_a"], r["b_b"]) for r in windows.best_before(df, [], ["i"], ["a", "b"]).orderBy("i").collect()]
+    assert got == [(None, None), (3.0, 0), (3.0, 0), (3.0, 0), (5.0, 0), (5.0, 0)]
