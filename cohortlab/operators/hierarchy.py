@@ -154,7 +154,7 @@ def resolve(df: DataFrame, node: str, parent: str, *, key=lambda c: c, locality:
     start = links.select("node", F.coalesce("parent", "node").alias("anchor"), open_.cast("bigint").alias("hops"), F.when(open_, OPEN).otherwise(ROOTED).cast("int").alias("state"), F.col("node").alias("least"), F.lit(0).cast("bigint").alias("block"), *([F.array("node").alias("path")] if with_path else []))
     schema = FOREST + ", path array<string>" * with_path
     local = materialize(start.mapInArrow(_forest(block_rows, with_path), schema), "forest")
-    ends = _merge(local, block_rows, with_path)
+    ends = _merge(local, max(1, block_rows // 10) if with_path else block_rows, with_path)  # ends have whole paths
     out = local.where(F.col("state") != OPEN).unionByName(_handed_down(local, ends, with_path))
     path = [F.when(F.col("state") == ROOTED, F.reverse("path")).alias("path")] if with_path else []
     return out.select("node", F.col("anchor").alias("root"), F.col("hops").alias("depth"), *path)

@@ -84,6 +84,19 @@ def schema_gate() -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def extra_keys(text: Column, allowed: dict[str, tuple[str, ...]]) -> Column:
+    """Paths of the keys of a JSON text that a schema doesn't have; null for null and for broken texts.
+
+    ``allowed`` maps the path of an object (``$``, ``$.demographics``) to its keys; objects that are missing have none.
+    """
+    parts = []
+    for path, keys in allowed.items():
+        prefix = path + "."
+        own = F.json_object_keys(text if path == "$" else F.get_json_object(text, path))
+        parts.append(F.transform(F.array_except(F.coalesce(own, F.array().cast("array<string>")), F.array(*map(F.lit, keys))), lambda k: F.concat(F.lit(prefix), k)))
+    return F.when(F.json_object_keys(text).isNotNull(), F.array_sort(F.concat(*parts)))
+
+
 def near_all(test) -> Column:
     """All numeric traits but at most one meet a test."""
     values = F.array(*[c(n) for n in NUMBERS])

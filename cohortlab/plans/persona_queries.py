@@ -161,7 +161,7 @@ def calibration_flags(spark: SparkSession, sf: str) -> DataFrame:
 def memory_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Personas as numbered memory lines: an unpivot of their fields into text."""
     f = _traits(spark, sf)
-    lines = F.filter(F.array(*[F.concat(F.lit(f"{n}: "), c(n)) for n in ("stage", "drive", "goal", "planning", "coping", "collaboration")]), lambda x: x.isNotNull())
+    lines = F.filter(F.array(*[F.concat(F.lit(f"{n}: "), c(n)) for n in personas.WORDS]), lambda x: x.isNotNull())
     return f.select("persona_id", F.posexplode(lines).alias("line_no", "line")).withColumn("line_no", c("line_no").cast("bigint"))
 
 
@@ -334,7 +334,7 @@ _quota = """st as (select quota_label, count(distinct slot_id) as w from slots w
     rk as (select *, row_number() over (order by round(raw - fl, 12) desc, quota_label desc) as rk, 997 - sum(fl) over () as lft from fl)"""
 _tok = "list_distinct(regexp_extract_all(lower(concat_ws(' ', " + ", ".join(TEXTS) + ")), '[a-zA-Z][a-zA-Z_''\\-]{2,}'))"
 _tok1 = "list_distinct(regexp_extract_all(lower(narrative), '[a-zA-Z][a-zA-Z_''\\-]{2,}'))"
-_lines = ", ".join(f"'{n}: ' || {n}" for n in ("stage", "drive", "goal", "planning", "coping", "collaboration"))
+_lines = ", ".join(f"'{n}: ' || {n}" for n in "stage region family_context drive reward goal attention planning narrative collaboration coping performance reasoning identity_anchor moral_tension".split())
 SQL = {
     "persona_axes": f"with {T.FILLED} select persona_id, {_axes} from f",
     "persona_bound_axes": f"with {T.FILLED} select persona_id, round(cognitive_core, 6) as axis_openness, round(motivation_core, 6) as axis_ownership, round(regulation_core, 6) as axis_self_regulation_resilience, 0.5::double as axis_unbound from f",

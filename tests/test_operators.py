@@ -299,3 +299,11 @@ def test_best_before(spark):
     df = spark.createDataFrame([(i, x, -i) for i, x in enumerate(v)], "i int, a double, b int").repartition(3)
     got = [(r["b_a"], r["b_b"]) for r in windows.best_before(df, [], ["i"], ["a", "b"]).orderBy("i").collect()]
     assert got == [(None, None), (3.0, 0), (3.0, 0), (3.0, 0), (5.0, 0), (5.0, 0)]
+
+
+def test_extra_keys(spark):
+    from cohortlab.operators import rules
+
+    df = spark.createDataFrame([('{"a": 1, "d": {"x": 1, "y": 2}, "z": 0}',), ('{"a": 1}',), (None,), ("{broken",)], "t string")
+    got = [r[0] for r in df.select(rules.extra_keys(F.col("t"), {"$": ("a", "d"), "$.d": ("x",)})).collect()]
+    assert got == [["$.d.y", "$.z"], [], None, None]
