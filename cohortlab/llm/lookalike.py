@@ -105,13 +105,13 @@ class Transducer:
             if any(x in single for x in image):
                 raise Conflict(f"U+{ord(c):04X}: image {image!r} isn't final")
         marks += [x for x, y in base.items() if y and all(map(unicodedata.combining, y))]  # marks of another width
-        unseen = _class(x for x, y in base.items() if not y)
-        mark = _class(marks)
-        special = _class(x for x in single if not unicodedata.combining(x))
+        unseen = _either(x for x, y in base.items() if not y)
+        mark = _either(marks)
+        special = _either(x for x in single if not unicodedata.combining(x))
         self.single = single
         jamo = "\u1100-\u11ff\uffa1-\uffdc"  # parts of syllables, of either width
-        self.need = re.compile(f"[{special}{mark}\r{jamo}]")
-        self.cluster = re.compile(f"\r\n?|[\uac00-\ud7a3]?[{unseen}]*[{jamo}][{jamo}{unseen}]*|[^{mark}{unseen}\r\n][{unseen}]*(?:[{mark}][{unseen}]*)+|[{special}]")
+        self.need = re.compile(f"{special}|{mark}|[\r{jamo}]")
+        self.cluster = re.compile(f"\r\n?|(?=[\uac00-\ud7a3{jamo}]|{unseen})[\uac00-\ud7a3]?{unseen}*[{jamo}](?:[{jamo}]|{unseen})*|(?!{mark}|{unseen}|[\r\n])(?s:.){unseen}*(?:{mark}{unseen}*)+|{special}")
         self.memo: dict[str, str] = {"\r\n": "\n", "\r": "\n"}
 
     def _compose(self, cluster: str) -> str:
@@ -149,6 +149,14 @@ def _class(chars) -> str:
     return "".join(out)
 
 
+def _either(chars) -> str:
+    """A pattern for one of some characters. Those beyond the basic plane are looked at only there: they are many ranges."""
+    chars = set(chars)
+    far = {c for c in chars if ord(c) > 0xFFFF}
+    near = f"[{_class(chars - far)}]"
+    return f"(?:{near}|(?=[\U00010000-\U0010ffff])[{_class(far)}])" if far else near
+
+
 @lru_cache(1)
 def transducer() -> Transducer:
     return Transducer()
