@@ -256,6 +256,27 @@ def test_all_tasks(spark):
     assert sampling.tasks(a, "p", b.limit(0), "s").count() == 0
 
 
+def test_tasks_shuffle_blocks_of_ids(spark):
+    """No row of a left id and a block of right ids is shuffled: those grow as the pairs."""
+    from cohortlab.operators import sampling
+
+    a, b = spark.range(3000).selectExpr("format_string('p%04d', id) p"), spark.range(700).selectExpr("format_string('s%03d', id) s")
+    df = sampling.tasks(a, "p", b, "s")
+    r = df.selectExpr("count(*)", "count(distinct task_no)", "max(task_no)", "count_if(int(substr(p, 2)) * 700 + int(substr(s, 2)) <> task_no)").first()
+    assert tuple(r) == (2_100_000, 2_100_000, 2_099_999, 0)
+
+    def shuffled(node):
+        """Rows written by each exchange of a plan that has run."""
+        name = node.getClass().getSimpleName()
+        below = [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        own = [node.metrics().apply("shuffleRecordsWritten").value()] if name == "ShuffleExchangeExec" else []
+        return own + [x for k in below for x in shuffled(k)]
+
+    plan = df._jdf.queryExecution().executedPlan()
+    assert plan.execute().count() == 2_100_000
+    assert 0 < max(shuffled(plan)) <= 3000
+
+
 def test_cluster_needs_a_shared_folder():
     from types import SimpleNamespace
 
