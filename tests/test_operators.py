@@ -256,6 +256,24 @@ def test_all_tasks(spark):
     assert sampling.tasks(a, "p", b.limit(0), "s").count() == 0
 
 
+def nodes(node):
+    """All nodes of a plan that has run."""
+    name = node.getClass().getSimpleName()
+    below = [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+    return [(name, node), *(x for k in below for x in nodes(k))]
+
+
+def test_tasks_hold_no_pairs_of_blocks(spark):
+    """Until a task passes its first row on, it has made the pairs of one left id, not all of its two blocks: those fill the memory."""
+    from cohortlab.operators import sampling
+
+    a, b = spark.range(3000).selectExpr("format_string('p%04d', id) p"), spark.range(700).selectExpr("format_string('s%03d', id) s")
+    plan = sampling.tasks(a, "p", b, "s")._jdf.queryExecution().executedPlan()
+    assert len(plan.execute().take(1)) == 1
+    assert 0 < max(x.metrics().apply("numOutputRows").value() for name, x in nodes(plan) if name == "GenerateExec") <= 700
+    assert not [x for name, x in nodes(plan) if name == "BroadcastHashJoinExec" and "_x#" in x.simpleString(25)]  # nor are copies of blocks broadcast
+
+
 def shuffled_rows(df):
     """Runs a plan; the rows written by each of its exchanges."""
     plan = df._jdf.queryExecution().executedPlan()
